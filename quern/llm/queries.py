@@ -87,11 +87,11 @@ WITH p AS (
   SELECT page_id, coalesce(html, '') AS h FROM pages
 ), b AS (
   SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
-         array_to_string(list_transform(string_split(sha1(h), ''), c -> lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits
+         array_to_string(list_transform(string_split(sha1(h), ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits
   FROM p
 ), d AS (
   SELECT page_id, payload_bytes,
-         array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            (substr(bits, 5 * i + 1, 1)::INT * 16 + substr(bits, 5 * i + 2, 1)::INT * 8 + substr(bits, 5 * i + 3, 1)::INT * 4
             + substr(bits, 5 * i + 4, 1)::INT * 2 + substr(bits, 5 * i + 5, 1)::INT + 1)::INT, 1)), '') AS payload_digest
   FROM b
@@ -106,10 +106,10 @@ FROM m
 
 OP9_SQL = """
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents
 ), s AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-         ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END)) AS g
+         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS g
   FROM w
 ), k AS (
   SELECT g, min(doc_id) AS rep, count(*) AS copies, len(g) AS n FROM s GROUP BY g
