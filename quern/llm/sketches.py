@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.batches import scratch, shingles, small_batches, span_hash, text_buffers, words_of
+from quern.llm.batches import shingles, slices, small_batches, span_hash, text_buffers, words_of
 
 #: Hashes that a sketch keeps: the standard error of a resemblance is at most 0.5 / sqrt(K).
 K = 128
@@ -89,6 +89,12 @@ def edited(text: str, other: str) -> str:
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+NAMES = [c.split(" ")[0] for c in OUT.split(", ")]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+#: Ranges at most: the driver holds two numbers a range.
+MOST_RANGES = 20_000
+
+
 def _rows(ids: list, texts: list[str], nexts: list[str], own: list[np.ndarray], following: list[np.ndarray], k: int) -> dict:
     new = [edited(t, n) for t, n in zip(texts, nexts)]
     sk = []
@@ -113,64 +119,51 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     return add_columns(docs, text, lambda: lambda col: [pa.array([encode(x) for x in sketches(col, k)], pa.string())], [StructField("fingerprint", StringType())])
 
 
-def neighbour_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, bytes_per_range: int = 24 << 20) -> DataFrame:
+def neighbour_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, bytes_per_range: int = 16 << 20) -> DataFrame:
     """Every text against its edited text and against the next text by key.
 
-    One range shuffle puts neighbours side by side; a task streams its range and keeps one row back. What joins two
-    ranges - the last row of one and the first of the next - is written beside the rows and finished by a small second
-    step over two rows a range. Skew can't gather: ranges are cut by key, and keys hardly repeat."""
+    Keys are cut into ranges at approximate quantiles. The first row of each range is copied to the range before it (the
+    very first to the last) as a sentinel, so one shuffle of the texts puts every row beside its successor; a task streams
+    its ranges in order and holds one row back. On the driver are only the ranges' bounds and least keys. Skew can't gather:
+    ranges are cut by key, and keys hardly repeat."""
+    from pyspark.ml.feature import Bucketizer
+
     spark = docs.sparkSession
-    small_batches(docs)
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = small_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, min(20_000, -(-total // bytes_per_range)))
-    n = max(n, spark.sparkContext.defaultParallelism) if total > 1 << 20 else 1
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edge int, part int, text string"
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edge", "part", "text"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
+    n = max(1, min(MOST_RANGES, -(-total // bytes_per_range)))
+    order = rows.withColumn("_at", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("double"))
+    marks = order.agg(F.percentile_approx("_at", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    cuts = [-float("inf"), *sorted(set(marks or [])), float("inf")]
+    if len(cuts) > 2:
+        ranged = Bucketizer(splits=cuts, inputCol="_at", outputCol="_range").transform(order).withColumn("_range", F.col("_range").cast("int"))
+    else:
+        ranged = order.withColumn("_range", F.lit(0))
+    least = {r[0]: r[1] for r in ranged.groupBy("_range").agg(F.min("_at")).collect()}
+    filled = sorted(least)
+    before = dict(zip(filled, filled[-1:] + filled[:-1]))
+    ranged = ranged.withColumn("_sentinel", F.lit(False))
+    if filled:
+        firsts = spark.createDataFrame([(least[r], r, before[r]) for r in filled], "_at double, _range int, _to int")
+        heads = ranged.join(F.broadcast(firsts), ["_at", "_range"]).groupBy("_to").agg(F.min(F.struct("doc_id", "text")).alias("_head"))
+        heads = heads.select(F.col("_head.doc_id").alias("doc_id"), F.col("_head.text").alias("text"), F.col("_to").alias("_range"), F.lit(True).alias("_sentinel"))
+        ranged = ranged.select("doc_id", "text", "_range", "_sentinel").unionByName(heads)
+    else:
+        ranged = ranged.select("doc_id", "text", "_range", "_sentinel")
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        back = None  # (id, text, sketch) of the row not yet paired
-
-        def edge(kind, row):
-            cols = [[row[0]], None, None, None, None, None, None, [kind], [part], [row[1]]]
-            return pa.RecordBatch.from_arrays([pa.array(c or [None], t) for c, t in zip(cols, types)], names)
-
+        back = None  # (range, id, text, sketch) of the row not yet paired
         for b in batches:
-            from quern.llm.batches import slices
-
             for s in slices(b, "text"):
-                ids, texts, own = s.column("doc_id").to_pylist(), s.column("text").to_pylist(), sketches(s.column("text"), k)
-                if back is None:
-                    yield edge(0, (ids[0], texts[0]))
-                else:
-                    ids, texts, own = [back[0], *ids], [back[1], *texts], [back[2], *own]
-                back = ids[-1], texts[-1], own[-1]
-                if len(ids) > 1:
-                    got = _rows(ids[:-1], texts[:-1], texts[1:], own[:-1], own[1:], k)
-                    got |= {"edge": [None] * (len(ids) - 1), "part": [None] * (len(ids) - 1), "text": [None] * (len(ids) - 1)}
-                    yield pa.RecordBatch.from_arrays([pa.array(got[c], t) for c, t in zip(names, types)], names)
-        if back is not None:
-            yield edge(1, back)
-
-    path = scratch(spark, "neighbours")
-    rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(run, schema).write.parquet(path)
-    both = spark.read.schema(schema).parquet(path)
-    parts = sorted(r[0] for r in both.where("edge = 0").select("part").collect())  # one integer a range
-    nxt = dict(zip(parts, parts[1:] + parts[:1]))
-    pairs = spark.createDataFrame(list(nxt.items()), "part int, next_part int") if nxt else spark.createDataFrame([], "part int, next_part int")
-    last = both.where("edge = 1").select("part", "doc_id", "text").join(pairs, "part")
-    first = both.where("edge = 0").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-
-    def finish(batches):
-        for b in batches:
-            ids, texts, nexts = b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("next_text").to_pylist()
-            if ids:
-                got = _rows(ids, texts, nexts, sketches(b.column("text"), k), sketches(b.column("next_text"), k), k)
-                yield pa.RecordBatch.from_arrays([pa.array(got[c], t) for c, t in zip(names[:7], types)], names[:7])
-
-    done = last.join(first, "next_part").select("doc_id", "text", "next_text").mapInArrow(finish, OUT)
-    return both.where("edge is null").select(*names[:7]).unionByName(done)
+                cols = [s.column(c).to_pylist() for c in ("_range", "_sentinel", "doc_id", "text")] + [sketches(s.column("text"), k)]
+                if back is not None:
+                    cols = [[x, *c] for x, c in zip(back, cols)]
+                r, last, ids, texts, own = cols
+                pairs = [i for i in range(len(ids) - 1) if r[i] == r[i + 1] and not last[i]]
+                if pairs:
+                    got = _rows([ids[i] for i in pairs], [texts[i] for i in pairs], [texts[i + 1] for i in pairs], [own[i] for i in pairs], [own[i + 1] for i in pairs], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(got[c], t) for c, t in zip(NAMES, TYPES)], NAMES)
+                back = [c[-1] for c in cols]
+
+    parts = max(len(filled), 1)
+    return ranged.repartition(parts, "_range").sortWithinPartitions("_range", "_sentinel", "doc_id", "text").mapInArrow(run, OUT)
