@@ -112,32 +112,58 @@ def _classes(docs: DataFrame, key: str, text: str, width: int, banding: Banding)
     return rows.mapInArrow(run, "id long, set1 long, set2 long, grams long, keys array<long>, sig binary")
 
 
-def _lead(sigs: np.ndarray, ids: np.ndarray, leaders: list, tight: float, loose: float, out: list) -> None:
-    """Stream members of one bucket against its leaders. leaders: [id, signature]; out gets (id, leader id)."""
-    size = sigs.shape[1]
-    free = np.ones(len(ids), bool)
-
-    def meet(lid, lsig):
-        same = (sigs == lsig).sum(1)
-        for i in np.flatnonzero(same >= loose * size):
-            if ids[i] != lid:
-                out.append((int(ids[i]), lid))
-        free[same >= tight * size] = False
-
-    for lid, lsig in leaders:
-        meet(lid, lsig)
-    while free.any():
-        i = int(free.argmax())
-        free[i] = False
-        leaders.append((int(ids[i]), sigs[i].copy()))
-        meet(int(ids[i]), sigs[i])
+class Leaders:
+    """Leaders of one bucket, and which of them are connected: a bucket yields a spanning forest, fewer edges than members."""
+
+    def __init__(self):
+        self.ids: list[int] = []
+        self.sigs: list[np.ndarray] = []
+        self.above: list[int] = []
+
+    def root(self, i: int) -> int:
+        while self.above[i] != i:
+            self.above[i] = self.above[self.above[i]]
+            i = self.above[i]
+        return i
+
+    def stream(self, sigs: np.ndarray, ids: np.ndarray, tight: float, loose: float, out: list) -> None:
+        """Members against all leaders. A member joins each leader over loose, by an edge if that connects anything new; one that
+        no leader over tight follows becomes a leader, met by all."""
+        size = sigs.shape[1]
+        free = np.ones(len(ids), bool)
+        linked = np.full(len(ids), -1)
+
+        def meet(n: int) -> None:
+            same = (sigs == self.sigs[n]).sum(1)
+            close = np.flatnonzero((same >= loose * size) & (ids != self.ids[n]))
+            new = close[linked[close] < 0]
+            out.extend((int(i), self.ids[n]) for i in ids[new].tolist())
+            linked[new] = n
+            old, at = np.unique(linked[close], return_index=True)
+            for leader, where in zip(old.tolist(), at.tolist()):
+                a, b = self.root(leader), self.root(n)
+                if a != b:
+                    self.above[a] = b
+                    out.append((int(ids[close[where]]), self.ids[n]))
+            free[same >= tight * size] = False
+
+        for n in range(len(self.ids)):
+            meet(n)
+        while free.any():
+            i = int(free.argmax())
+            free[i] = False
+            n = len(self.ids)
+            self.ids.append(int(ids[i]))
+            self.sigs.append(sigs[i].copy())
+            self.above.append(n if linked[i] < 0 else self.root(int(linked[i])))
+            meet(n)
 
 
 def _bucket_edges(rows: DataFrame, size: int, tight: float, loose: float, leaders_too: bool) -> DataFrame:
     """rows: bucket, salt, salts, id, sig, sorted and kept together by (bucket, salt). Edges, and of salted buckets the leaders."""
 
     def run(batches):
-        now, leaders, out, led = None, [], [], []
+        now, leaders, out, led = None, Leaders(), [], []
 
         def flush(force):
             if out and (force or len(out) > 20_000):
@@ -151,7 +177,7 @@ def _bucket_edges(rows: DataFrame, size: int, tight: float, loose: float, leader
 
         def close():
             if now is not None and now[2] > 1 and leaders_too:
-                led.extend((lid, now[0], ls.tobytes()) for lid, ls in leaders)
+                led.extend((lid, now[0], ls.tobytes()) for lid, ls in zip(leaders.ids, leaders.sigs))
 
         for b in batches:
             if not b.num_rows:
@@ -164,8 +190,8 @@ def _bucket_edges(rows: DataFrame, size: int, tight: float, loose: float, leader
                 k = (int(bucket[lo]), int(salt[lo]), int(salts[lo]))
                 if k != now:
                     close()
-                    now, leaders = k, []
-                _lead(sigs[lo:hi], ids[lo:hi], leaders, tight, loose, out)
+                    now, leaders = k, Leaders()
+                leaders.stream(sigs[lo:hi], ids[lo:hi], tight, loose, out)
                 yield from flush(False)
         close()
         yield from flush(True)
