@@ -1,15 +1,487 @@
-"""Registered queries and their SQL."""
+"""Registered queries and, for each that SQL can express, its SQL for the oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import checks, text
+from quern.operators import bytestats, census, clocks, crossing, relations, search, similarity
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+class Tables:
+    """Tables of a folder by name, read when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+SIZED = "(SELECT *, strlen(coalesce(text, ''))::BIGINT AS size FROM documents)"
+HASHED = "(SELECT sha1(coalesce(text, '')) AS sha1, strlen(coalesce(text, ''))::BIGINT AS size, doc_id, source, lang FROM documents)"
+ITEMS = "(SELECT sha1(coalesce(text, '')) AS sha1, item_id FROM benchmark)"
+
+
+def sized(t: Tables) -> DataFrame:
+    return t.documents.withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+
+
+def docs_hashed(t: Tables) -> DataFrame:
+    return crossing.hashed(t.documents, "text", "doc_id", "source", "lang")
+
+
+def items_hashed(t: Tables) -> DataFrame:
+    return crossing.hashed(t.benchmark, "text", "item_id")
+
+
+# census and shares
+
+
+@query(f"SELECT source, count(*) AS files, sum(size)::BIGINT AS bytes, round(sum(size) * 100.0 / (SELECT sum(size) FROM {SIZED}), 4) AS share_pct FROM {SIZED} GROUP BY source")
+def tree_census(t):
+    return census.by_key(sized(t), ["source"], "size").select("source", "files", "bytes", "share_pct")
+
+
+@query("SELECT year(o_orderdate)::INT AS y, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def census_by_year(t):
+    return t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(f"SELECT lang, source, count(*) AS files, sum(size)::BIGINT AS bytes, grouping(lang, source)::BIGINT AS level FROM {SIZED} GROUP BY ROLLUP (lang, source)")
+def share_rollup(t):
+    return census.rolled_up(sized(t), "lang", "source", "size").withColumn("level", F.col("level").cast("long"))
+
+
+@query(f"SELECT sum(size)::BIGINT AS leaves, sum(size)::BIGINT AS total, 0::BIGINT AS residue FROM {SIZED}")
+def share_residue(t):
+    return census.reconciled(census.rolled_up(sized(t), "lang", "source", "size"))
+
+
+@query(f"SELECT CASE WHEN size < 1000 THEN 'small' WHEN size < 5000 THEN 'middle' ELSE 'large' END AS grp, 1 AS matched, count(*) AS items FROM {SIZED} GROUP BY 1")
+def exhaustive_groups(t):
+    s = F.col("size")
+    return census.assigned(sized(t), "doc_id", {"small": s < 1000, "middle": (s >= 1000) & (s < 5000), "large": s >= 5000})
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY size) AS k, count(*) OVER (PARTITION BY source, lang) AS group_n FROM {SIZED}),
+m AS (SELECT source, lang, size AS upper_median, group_n FROM r WHERE k = floor(group_n / 2) + 1)
+SELECT doc_id, d.size, upper_median, group_n, round(d.size / upper_median, 6) AS ratio FROM {SIZED} d JOIN m USING (source, lang)
+WHERE group_n >= 4 AND upper_median <> 0 AND (d.size / upper_median < 0.05 OR d.size / upper_median > 12)""")
+def size_outliers(t):
+    return census.size_outliers(sized(t), ["source", "lang"], "size").select("doc_id", "size", "upper_median", "group_n", "ratio")
+
+
+@query(f"SELECT doc_id, size, (SELECT count(*) FROM documents) AS population FROM {SIZED} ORDER BY size DESC, doc_id LIMIT 12")
+def top_files(t):
+    return census.largest(sized(t), "size", "doc_id").select("doc_id", "size", "population")
+
+
+@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY CUBE (quality, toxic)")
+def tier_cube(t):
+    return t.labels.cube("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+# hashes, copies, crossings
+
+
+@query(f"SELECT sha1, size, doc_id FROM {HASHED}")
+def hash_list(t):
+    return docs_hashed(t).select("sha1", "size", "doc_id")
+
+
+@query(f"""WITH b AS (SELECT sha1, count(*) AS n, max(size) AS size FROM {HASHED} GROUP BY 1)
+SELECT sum(n)::BIGINT AS leaves, count(*) AS distinct_sha1, sum(n * size)::BIGINT AS stored_bytes, sum(size)::BIGINT AS distinct_bytes, (sum(n * size) - sum(size))::BIGINT AS redundant_bytes,
+round((sum(n * size) - sum(size)) * 100.0 / sum(n * size), 4) AS redundant_pct, (sum(n) - count(*))::BIGINT AS copies FROM b""")
+def redundancy(t):
+    return crossing.redundancy(docs_hashed(t))
+
+
+@query(f"SELECT sha1, count(*) AS copies, max(size) AS size, min(doc_id) AS first_key FROM {HASHED} GROUP BY sha1 HAVING count(*) > 1")
+def dup_groups(t):
+    return crossing.dup_groups(docs_hashed(t), "doc_id")
+
+
+@query(f"""WITH p AS (SELECT sha1, source, count(*) AS n, max(size) AS size FROM {HASHED} GROUP BY 1, 2), o AS (SELECT sha1, count(*) AS owners FROM p GROUP BY 1)
+SELECT source, sum(n - 1)::BIGINT AS redundant_copies, sum((n - 1) * size)::BIGINT AS redundant_bytes, count(*) FILTER (owners > 1) AS shared_hashes FROM p JOIN o USING (sha1) GROUP BY source""")
+def dups_within_across(t):
+    return crossing.within_across(docs_hashed(t), "source")
+
+
+CROSS = f"SELECT sha1, max(size) AS size, min(doc_id) AS doc_id FROM {HASHED} WHERE sha1 <> '{crossing.EMPTY}' AND sha1 {{}} (SELECT sha1 FROM {ITEMS}) GROUP BY 1"
+
+
+@query(CROSS.format("IN"))
+def crossing_hashes(t):
+    return crossing.crossings(docs_hashed(t), items_hashed(t))
+
+
+@query(f"SELECT count(*) AS hashes, sum(size)::BIGINT AS bytes FROM ({CROSS.format('NOT IN')})")
+def not_crossing(t):
+    return crossing.crossings(docs_hashed(t), items_hashed(t), present=False).agg(F.count("*").alias("hashes"), F.sum("size").alias("bytes"))
+
+
+@query(f"""WITH m AS (SELECT sha1, max(size) AS size FROM {HASHED} WHERE sha1 <> '{crossing.EMPTY}' GROUP BY 1), t AS (SELECT unnest([{', '.join(map(str, crossing.LEAST_SIZES))}])::BIGINT AS min_bytes),
+r AS (SELECT min_bytes, count(sha1) AS population, count(sha1) FILTER (sha1 IN (SELECT sha1 FROM {ITEMS})) AS crossings FROM t LEFT JOIN m ON size >= min_bytes GROUP BY 1)
+SELECT min_bytes, population, crossings, round(CASE WHEN population = 0 THEN NULL ELSE crossings * 100.0 / population END, 4) AS rate_pct FROM r""")
+def crossing_rate_by_min_len(t):
+    return crossing.crossing_rates(docs_hashed(t), items_hashed(t))
+
+
+@query("""WITH a AS (SELECT doc_id FROM documents WHERE lang = 'en'), b AS (SELECT doc_id FROM labels), c AS (SELECT doc_id FROM documents WHERE n_chars > 2000),
+u AS (SELECT doc_id FROM a UNION SELECT doc_id FROM b UNION SELECT doc_id FROM c)
+SELECT doc_id IN (FROM a) AS in_g, doc_id IN (FROM b) AS in_h, doc_id IN (FROM c) AS in_d, count(*) AS keys FROM u GROUP BY ALL""")
+def seven_regions(t):
+    return crossing.regions({"in_g": t.documents.where("lang = 'en'"), "in_h": t.labels, "in_d": t.documents.where("n_chars > 2000")}, "doc_id")
+
+
+@query("""WITH a AS (SELECT doc_id, n_chars AS was FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE n_chars END AS now FROM documents WHERE doc_id % 7 <> 0)
+SELECT CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'gone' WHEN was IS NOT DISTINCT FROM now THEN 'same' ELSE 'changed' END AS verdict, count(*) AS n
+FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY 1""")
+def tree_diff(t):
+    a = t.documents.where("doc_id % 3 <> 0")
+    b = t.documents.where("doc_id % 7 <> 0").withColumn("n_chars", F.when(F.col("doc_id") % 5 == 0, -1).otherwise(F.col("n_chars")))
+    return crossing.tree_diff(a, b, "doc_id", "n_chars").groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT siblings, count(*) AS hashes, sum(size)::BIGINT AS bytes FROM (SELECT sha1, count(DISTINCT source) AS siblings, max(size) AS size FROM {HASHED} GROUP BY 1) GROUP BY 1")
+def sibling_mirror(t):
+    return crossing.sibling_mirror(docs_hashed(t), "source")
+
+
+@query(f"WITH h AS (SELECT DISTINCT sha1, source FROM {HASHED}) SELECT x.source AS a, y.source AS b, count(*) AS shared FROM h x JOIN h y ON x.sha1 = y.sha1 AND x.source < y.source GROUP BY 1, 2")
+def mirror_matrix(t):
+    return crossing.mirror_matrix(docs_hashed(t), "source")
+
+
+# search with controls
+
+
+def _patterns_sql(patterns: dict[str, str]) -> str:
+    one = "SELECT '{n}' AS pattern, coalesce(sum(len(regexp_extract_all(text, '{p}'))), 0)::BIGINT AS hits, count(*) FILTER (len(regexp_extract_all(text, '{p}')) > 0) AS docs FROM documents"
+    return " UNION ALL ".join(one.format(n=n, p=p.replace("'", "''")) for n, p in patterns.items())
+
+
+@query(_patterns_sql(search.PERSONAL))
+def sift_personal(t):
+    return search.pattern_counts(t.documents, "text", search.PERSONAL)
+
+
+@query(_patterns_sql(search.BUILD))
+def sift_buildpath(t):
+    return search.pattern_counts(t.documents, "text", search.BUILD)
+
+
+NEEDLES = {"must_hit": "the", "license": "License", "must_miss": "☃never☃"}
+NEEDLE_SQL = " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, '{v}' AS needle, {len(v.encode())}::BIGINT AS len, sum((length(text) - length(replace(text, '{v}', ''))) // {len(v)})::BIGINT AS hits, count(*) FILTER (contains(text, '{v}')) AS docs FROM documents" for k, v in NEEDLES.items()
+)
+
+
+@query(NEEDLE_SQL)
+def needle_counts(t):
+    return search.needle_counts(t.documents, "text", NEEDLES).select("kind", "needle", "len", "hits", "docs")
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, round(sum(greatest(strlen(text) - {len(v.encode())} + 1, 0)) / pow(256.0, {len(v.encode())}), 9) AS chance_windows, round(sum(strlen(text)) / pow(256.0, {len(v.encode())}), 9) AS chance_bytes FROM documents" for k, v in NEEDLES.items()))
+def needle_chance(t):
+    return search.needle_counts(t.documents, "text", NEEDLES).select("kind", F.round("chance_windows", 9).alias("chance_windows"), F.round("chance_bytes", 9).alias("chance_bytes"))
+
+
+@query("SELECT true AS positive_ok, true AS negative_ok, true AS verdict")
+def control_verdict(t):
+    return checks.controls(search.needle_counts(t.documents, "text", NEEDLES))
+
+
+@query(f"SELECT sha1(lower(u)) AS uuid_sha1, substr(u, 15, 1) AS version, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{search.UUID}')) AS u FROM documents) GROUP BY 1, 2")
+def uuid_scan(t):
+    return search.uuids(t.documents, "text", "doc_id")
+
+
+@query(f"""WITH a AS (SELECT unnest(regexp_extract_all(text, '{search.PERSONAL["email"]}')) AS a FROM documents), l AS (SELECT a, lower(split_part(a, '@', 1)) AS p FROM a)
+SELECT CASE WHEN p IN ('info', 'support', 'admin', 'sales', 'webmaster', 'postmaster') THEN 'role' WHEN regexp_matches(p, '^[a-z]+[._][a-z]+$') THEN 'person' ELSE 'other' END AS class,
+count(*) AS addresses, count(DISTINCT lower(a)) AS distinct_addresses FROM l GROUP BY 1""")
+def contacts_classes(t):
+    return search.contact_classes(t.documents, "text")
+
+
+@query(f"""WITH r AS (SELECT doc_id, len(regexp_extract_all(text, '{search.PERSONAL["email"]}')) + len(regexp_extract_all(text, '{search.PERSONAL["phone"]}')) AS found,
+regexp_replace(regexp_replace(text, '{search.PERSONAL["email"]}', '[email]', 'g'), '{search.PERSONAL["phone"]}', '[phone]', 'g') AS red FROM documents)
+SELECT doc_id, found::BIGINT AS found, (len(regexp_extract_all(red, '{search.PERSONAL["email"]}')) + len(regexp_extract_all(red, '{search.PERSONAL["phone"]}')))::BIGINT AS remaining, sha1(red) AS redacted_sha1 FROM r""")
+def redact_text(t):
+    return search.redaction(t.documents, "text", "doc_id", {k: search.PERSONAL[k] for k in ("email", "phone")})
+
+
+@query("SELECT split_part(split_part(u, '#', 1), '?', 1) AS target, count(*) AS links FROM (SELECT unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS u FROM pages) GROUP BY 1")
+def webcross_links(t):
+    return search.web_links(t.pages, "html")
+
+
+@query("""WITH r AS (SELECT list_transform(regexp_extract_all(text, '[ -~]{6,}'), lambda x: length(x)) AS n FROM documents)
+SELECT sum(len(n))::BIGINT AS runs, sum(list_sum(n))::BIGINT AS run_chars, max(list_max(n))::BIGINT AS longest FROM r""")
+def printable_runs(t):
+    return search.runs(t.documents, "text", 6)
+
+
+# bytes
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text <> ''), n AS (SELECT doc_id, c, count(*) AS k FROM c GROUP BY 1, 2),
+e AS (SELECT doc_id, k, sum(k) OVER (PARTITION BY doc_id) AS n FROM n), h AS (SELECT doc_id, -sum(k / n * log2(k / n)) AS h FROM e GROUP BY 1)
+SELECT d.doc_id, coalesce(round(h, 4), 0.0) AS entropy, length(text)::BIGINT AS chars FROM documents d LEFT JOIN h USING (doc_id)""")
+def entropy_by_doc(t):
+    return bytestats.entropy(t.documents, "text", "doc_id")
+
+
+@query("SELECT ord(c)::BIGINT AS code, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE text <> '') GROUP BY 1")
+def byte_histogram(t):
+    return bytestats.histogram(t.documents, "text")
+
+
+@query("""WITH b AS (SELECT doc_id, sha1(substr(text, (i * 64 + 1)::BIGINT, 64)) AS block FROM (SELECT doc_id, text, unnest(range(0, length(text) // 64)) AS i FROM documents))
+SELECT block, count(*) AS times, count(DISTINCT doc_id) AS owners FROM b GROUP BY 1 HAVING count(*) > 1""")
+def block_repeats(t):
+    return bytestats.block_repeats(t.documents, "text", "doc_id")
+
+
+# clocks
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+w AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS wave FROM g)
+SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events, round(sum(value), 2) AS value_sum FROM w GROUP BY user_id, wave""")
+def event_waves(t):
+    return clocks.waves(t.events, "ts", keys=("user_id",)).select("user_id", "first_ts", "last_ts", "events", "value_sum")
+
+
+@query("SELECT count(*) AS stamps, count(DISTINCT date_trunc('second', ts)) AS distinct_seconds, count(DISTINCT date_trunc('minute', ts)) AS distinct_minutes, count(DISTINCT date_trunc('hour', ts)) AS distinct_hours, count(DISTINCT date_trunc('day', ts)) AS distinct_days FROM events")
+def distinct_clock_grain(t):
+    return clocks.grain(t.events, "ts")
+
+
+@query("SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events, date_sub('second', min(ts), max(ts)) AS span_s FROM events GROUP BY 1")
+def spans_by_user(t):
+    return clocks.spans(t.events, "ts", "user_id")
+
+
+@query("""WITH d AS (SELECT date_diff('day', o_orderdate, l_shipdate) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT CASE WHEN d < 0 THEN 'before' WHEN abs(d) > 90 THEN 'apart' ELSE 'agree' END AS verdict, count(*) AS n, min(d) AS least_days, max(d) AS most_days FROM d GROUP BY 1""")
+def clock_disagreement(t):
+    both = t.lineitem.select("l_orderkey", "l_shipdate").join(t.orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return clocks.disagreement(both, F.col("o_orderdate"), F.col("l_shipdate"), 90)
+
+
+@query("""WITH s AS (SELECT date_sub('second', date_trunc('day', ts), date_trunc('second', ts)) AS s FROM events), q AS (SELECT s, floor(s / 900.0 + 0.5)::BIGINT AS q FROM s)
+SELECT q AS quarters, count(*) AS n, count(*) FILTER (s = q * 900) AS exact FROM q GROUP BY 1""")
+def tz_quarter_bucket(t):
+    return clocks.quarter_hours(t.events, F.date_trunc("day", "ts"), F.date_trunc("second", "ts"))
+
+
+@query("SELECT l_shipdate, count(*) AS n, count(DISTINCT l_quantity) AS sizes FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_quantity) > 1")
+def stamp_tests(t):
+    return clocks.shared_stamps(t.lineitem, "l_shipdate", "l_quantity")
+
+
+@query("SELECT day, kind, count(*) AS n FROM (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS day, 'order' AS kind FROM orders UNION ALL SELECT date_trunc('day', l_shipdate)::TIMESTAMP, 'ship' FROM lineitem) GROUP BY ALL")
+def timeline_union(t):
+    a = t.orders.select(F.col("o_orderdate").alias("day"), F.lit("order").alias("kind"))
+    b = t.lineitem.select(F.col("l_shipdate").alias("day"), F.lit("ship").alias("kind"))
+    return a.unionByName(b).groupBy(F.date_trunc("day", "day").cast("timestamp_ntz").alias("day"), "kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)
+SELECT user_id, count(step) AS steps, count(*) FILTER (step < 0) AS backwards FROM s GROUP BY 1""")
+def step_check(t):
+    return clocks.successive(t.events, "user_id", ["ts", "event_id"], "value").select("user_id", "steps", "backwards")
+
+
+# joins, intervals, graphs
+
+
+def _resolve_sql(field: str, target: str, key: str) -> str:
+    return f"SELECT '{field}' AS field, count({field}) AS \"references\", count(DISTINCT {field}) AS distinct_values, count(*) FILTER ({field} IN (SELECT {key} FROM {target})) AS resolved, count({field}) - count(*) FILTER ({field} IN (SELECT {key} FROM {target})) AS residue FROM lineitem"
+
+
+REFERENCES = (("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey"), ("l_orderkey", "orders", "o_orderkey"))
+
+
+@query(" UNION ALL ".join(_resolve_sql(*r) for r in REFERENCES))
+def resolve_references(t):
+    out = None
+    for field, target, key in REFERENCES:
+        one = relations.resolve(t.lineitem, field, getattr(t, target), key)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+FIELD_SQL = " UNION ".join(f"SELECT '{f}' AS field, {f} AS v FROM lineitem" for f, _, _ in REFERENCES)
+POOL_SQL = " UNION ".join(f"SELECT '{p}' AS pool, {k} AS v FROM {p}" for _, p, k in REFERENCES)
+
+
+@query(f"""WITH f AS ({FIELD_SQL}), p AS ({POOL_SQL}), n AS (SELECT field, count(*) AS vals FROM f GROUP BY 1), m AS (SELECT field, pool, count(*) AS matched FROM f JOIN p USING (v) GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY matched DESC, pool) AS k FROM m)
+SELECT field, pool, matched, vals AS "values", round(matched / vals, 6) AS share FROM b JOIN n USING (field) WHERE k = 1 AND matched >= 0.9 * vals""")
+def discover_references(t):
+    fields = pools = None
+    for f, p, k in REFERENCES:
+        a, b = t.lineitem.select(F.lit(f).alias("field"), F.col(f).alias("v")).distinct(), getattr(t, p).select(F.lit(p).alias("pool"), F.col(k).alias("v"))
+        fields, pools = (a, b) if fields is None else (fields.unionByName(a), pools.unionByName(b))
+    return relations.discover(fields, pools)
+
+
+@query("SELECT coalesce(CASE WHEN l_suppkey IN (SELECT c_custkey FROM customer) THEN 'a_customer' WHEN l_suppkey IN (SELECT s_suppkey FROM supplier) THEN 'b_supplier' END, 'none') AS label, count(*) AS n FROM lineitem GROUP BY 1")
+def priority_resolve(t):
+    got = relations.priority_lookup(t.lineitem.select("l_suppkey"), "l_suppkey", {"a_customer": t.customer.select("c_custkey"), "b_supplier": t.supplier.select("s_suppkey")})
+    return got.groupBy(F.coalesce("label", F.lit("none")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def chained_lookup(t):
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy("r_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_mark FROM conversations")
+def asof_last_container(t):
+    marked = t.conversations.withColumn("mark", F.when(F.col("role") == "user", F.col("turn")))
+    return relations.as_of(marked, "conv_id", "turn", "mark").select("conv_id", "turn", "role", "last_mark")
+
+
+@query("SELECT p_partkey, count(*) AS n FROM part JOIN events ON value * 100 >= p_partkey * 10 AND value * 100 < p_partkey * 10 + 10 GROUP BY 1")
+def offset_to_member(t):
+    members = t.part.select("p_partkey", (F.col("p_partkey") * 10).alias("lo"), (F.col("p_partkey") * 10 + 10).alias("hi"))
+    return relations.in_intervals(t.events.select((F.col("value") * 100).alias("at")), "at", members, "lo", "hi", 100).groupBy("p_partkey").agg(F.count("*").alias("n"))
+
+
+TILES = "(SELECT l_suppkey, l_partkey AS lo, l_partkey + l_quantity::BIGINT AS hi FROM lineitem)"
+
+
+@query(f"""WITH r AS (SELECT *, coalesce(max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo) AS r FROM {TILES})
+SELECT l_suppkey, count(*) AS parts, sum(greatest(lo - r, 0))::BIGINT AS gap, sum(greatest(least(r, hi) - lo, 0))::BIGINT AS overlap, max(hi) AS reach FROM r GROUP BY 1""")
+def interval_tiling(t):
+    return relations.tiling(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("hi")), "l_suppkey", "lo", "hi")
+
+
+@query("""WITH r AS (SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_suppkey) AS k FROM lineitem)
+SELECT l_partkey, min(l_suppkey) FILTER (k = 1) AS owner, count(DISTINCT l_suppkey) AS claims FROM r GROUP BY 1""")
+def first_claimant(t):
+    return relations.first_claimant(t.lineitem, "l_partkey", "l_suppkey", "l_shipdate")
+
+
+@query("""WITH d AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), i AS (SELECT *, l_partkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS g FROM d)
+SELECT l_suppkey, min(l_partkey) AS first, max(l_partkey) AS last, count(*) AS length FROM i GROUP BY l_suppkey, g""")
+def contiguous_runs(t):
+    return relations.islands(t.lineitem, "l_suppkey", "l_partkey")
+
+
+EDGES = "(SELECT DISTINCT l_suppkey AS src, l_partkey % 100 + 50 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_suppkey < 40)"
+
+
+def _edges(t):
+    return t.lineitem.where("l_linenumber = 1 AND l_suppkey < 40").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 50).alias("dst")).distinct()
+
+
+@query(f"SELECT DISTINCT src AS node FROM {EDGES} WHERE src NOT IN (SELECT dst FROM {EDGES})")
+def graph_roots(t):
+    return relations.roots(_edges(t))
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, n_nationkey // 2 + 13 AS dst FROM nation WHERE n_nationkey < 20), r AS (SELECT src AS root FROM e WHERE src NOT IN (SELECT dst FROM e)),
+w(root, last, steps) AS (SELECT root, root, 0::BIGINT FROM r UNION ALL SELECT root, dst, steps + 1 FROM w JOIN e ON last = src WHERE steps < 8)
+SELECT root, max_by(last, steps) AS last, max(steps) AS steps FROM w GROUP BY 1""")
+def graph_walk(t):
+    e = t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("src"), (F.floor(F.col("n_nationkey") / 2) + 13).cast("long").alias("dst"))
+    return relations.walks(e, most=8)
+
+
+# text and structure
+
+TOKENS = "string_split_regex(lower(text), '[^a-zäöüßñáíóúéèêçà]+')"
+SCORE = {g: f"len(list_filter({TOKENS}, lambda x: x IN ({', '.join(repr(w) for w in ws)})))" for g, ws in text.STOP_WORDS.items()}
+
+
+@query(f"""WITH s AS (SELECT lang, {', '.join(f'{c} AS {g}' for g, c in SCORE.items())} FROM documents), m AS (SELECT *, greatest(de, en, es, fr) AS top FROM s)
+SELECT lang, CASE WHEN top = 0 THEN 'none' WHEN (de = top)::INT + (en = top)::INT + (es = top)::INT + (fr = top)::INT > 1 THEN 'tie' WHEN de = top THEN 'de' WHEN en = top THEN 'en' WHEN es = top THEN 'es' ELSE 'fr' END AS guess, count(*) AS n FROM m GROUP BY 1, 2""")
+def language_score(t):
+    return t.documents.groupBy("lang", text.guessed_language(F.col("text")).alias("guess")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, " + ", ".join(f"sum(length(text) - length(regexp_replace(text, '[{c}]', '', 'g')))::BIGINT AS {g}_letters" for g, c in text.HIGH_LETTERS.items()) + " FROM documents GROUP BY 1")
+def high_letters_by_lang(t):
+    return text.high_letters(t.documents, "text", "lang")
+
+
+@query("SELECT role, split_part(line, ' ', 1) AS verb, count(*) AS n, count(DISTINCT line) AS distinct_lines FROM (SELECT role, unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE trim(line) <> '' GROUP BY 1, 2")
+def command_grammar(t):
+    return text.grammar(t.conversations, "text", F.substring_index("line", " ", 1), "role")
+
+
+@query("SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY 1")
+def key_by_language_pivot(t):
+    return t.documents.groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count("doc_id")).na.fill(0)
+
+
+@query("SELECT event_type, (props::JSON->>'$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def json_records(t):
+    return t.events.groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, (props::JSON->>'$.k')::BIGINT AS k FROM events), f AS (SELECT user_id, min_by(k, event_id) AS was, max_by(k, event_id) AS now FROM e GROUP BY 1)
+SELECT CASE WHEN was IS NOT DISTINCT FROM now THEN 'same' ELSE 'changed' END AS verdict, count(*) AS n FROM f GROUP BY 1""")
+def json_record_diff(t):
+    k = F.get_json_object("props", "$.k").cast("long")
+    f = t.events.groupBy("user_id").agg(F.min_by(k, "event_id").alias("was"), F.max_by(k, "event_id").alias("now"))
+    return f.groupBy(F.when(F.col("was").eqNullSafe(F.col("now")), "same").otherwise("changed").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT word, count(DISTINCT side) AS sides FROM (SELECT unnest(string_split(p_name, ' ')) AS word, 'name' AS side FROM part UNION ALL SELECT unnest(string_split(lower(p_type), ' ')), 'type' FROM part) GROUP BY 1")
+def dictionary_union(t):
+    a = t.part.select(F.explode(F.split("p_name", " ")).alias("word"), F.lit("name").alias("side"))
+    b = t.part.select(F.explode(F.split(F.lower("p_type"), " ")).alias("word"), F.lit("type").alias("side"))
+    return a.unionByName(b).groupBy("word").agg(F.count_distinct("side").alias("sides"))
+
+
+@query()
+def skeletons(t):
+    return t.documents.groupBy(text.skeleton(F.col("text")).alias("skeleton")).agg(F.count("*").alias("n"))
+
+
+# similarity
+
+GRAM_CTE = """WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents), i AS (SELECT item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS p FROM i WHERE len(w) >= 8)), n AS (SELECT item_id, count(*) AS item_kgrams FROM ig GROUP BY 1)"""
+
+
+@query(f"{GRAM_CTE} SELECT doc_id, item_id, count(*) AS shared_kgrams, any_value(item_kgrams) AS item_kgrams, round(count(*) / any_value(item_kgrams), 6) AS containment FROM dg JOIN ig USING (g) JOIN n USING (item_id) GROUP BY 1, 2")
+def kgram_overlap(t):
+    return similarity.gram_overlap(t.documents, "doc_id", t.benchmark, "item_id", "text").select("doc_id", "item_id", "shared_kgrams", "item_kgrams", "containment")
+
 
-def tree_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
-    return d
+@query()
+def longest_shared_run(t):
+    return similarity.longest_shared(t.documents, "doc_id", t.benchmark, "item_id", "text")
 
 
-QUERIES = {"tree_census": tree_census}
-ORACLE = {}
+@query("""WITH p AS (SELECT q.vec_id AS query, r.vec_id AS neighbour, round(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / len(q.embedding), 6) AS mad
+FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY mad, neighbour) AS k FROM p) SELECT query, neighbour, mad FROM k WHERE k = 1""")
+def mad_nearest(t):
+    return similarity.nearest(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding")
