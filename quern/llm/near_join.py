@@ -2,7 +2,7 @@
 
 1. Texts with equal n-gram sets form a class; its least key represents it, and only representatives go on.
 2. Band and row counts follow from the target recall at the threshold. Bands shuffle on their hash; buckets of one are dropped.
-3. A bucket is streamed in hash order against its leaders, not in all pairs: a member joins each leader it resembles by
+3. A bucket is streamed in the order of the keys' hashes, so that buckets share leaders, against its leaders, not in all pairs: a member joins each leader it resembles by
    signature (estimate over LOOSE) and becomes a leader if it follows none (estimate over TIGHT). Large buckets are salted,
    and their leaders meet in a second pass. What this yields are candidate components, a superset of the linked groups.
 4. Components get the full n-gram sets of their texts and count every pair at or over the threshold by products of 0/1
@@ -321,7 +321,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     keyed = reps.select("id", F.explode("keys").alias("bucket"))
     busy = keyed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     rows = keyed.join(busy, "bucket").withColumn("salts", F.ceil(F.col("m") / sub_bucket).cast("long")).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
-    rows = rows.join(reps.select("id", "sig"), "id").select("bucket", "salt", "salts", "id", "sig", F.xxhash64("id", "bucket").alias("order"))
+    rows = rows.join(reps.select("id", "sig"), "id").select("bucket", "salt", "salts", "id", "sig", F.xxhash64("id").alias("order"))
     rows = small_batches(rows).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "order", "id")
     first = stored(_bucket_edges(rows, banding.size, TIGHT, LOOSE, True), "near-edges")
     led = first.where("bucket is not null").select("bucket", F.lit(0).cast("long").alias("salt"), F.lit(1).cast("long").alias("salts"), F.col("a").alias("id"), "sig")
