@@ -22,7 +22,7 @@ WINDOW = 16
 STRIDE = 3 * WINDOW // 4
 THRESHOLD = 0.7
 #: Bounds of the training sample: texts a label, characters of a sampled text, windows taken of one text.
-PER_LABEL, MAX_CHARS, WINDOWS_A_TEXT = 1500, 20_000, 20
+PER_LABEL, MAX_CHARS, WINDOWS_A_TEXT = 1500, 10_000, 20
 #: Rounds of training before which hard clean windows of the sample are added.
 MINE = (5, 8)
 TRIGRAMS = 8192
@@ -69,7 +69,25 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     tri = ((tri >> np.uint32(12)) % np.uint32(TRIGRAMS))[inside]
     size = ends - starts
     first = np.cumsum(size) - size
-    return h, doc, tri.astype(np.int64), first, size
+    return h, doc, tri.astype(np.int32), first, size
+
+
+def many_tokens(texts: list[str], step: int = 100) -> tuple[np.ndarray, ...]:
+    """tokens() of a sample, a few texts at a time, so that the driver holds little beside the result."""
+    parts, words, chars = [], 0, 0
+    for lo in range(0, len(texts), step):
+        h, doc, tri, first, size = tokens(pa.array(texts[lo : lo + step], pa.string()))
+        parts.append((h, (doc + lo).astype(np.int32), tri, (first + chars).astype(np.int32), size.astype(np.int32)))
+        words, chars = words + len(h), chars + len(tri)
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64),) + (np.zeros(0, np.int32),) * 4
+
+
+def rows_of(net: Network, h: np.ndarray) -> np.ndarray:
+    """Row of each word's vector; 0 for words without one."""
+    at = np.searchsorted(net.words, h)
+    at[at == len(net.words)] = 0
+    known = net.words[at] == h if len(net.words) else np.zeros(len(h), bool)
+    return np.where(known, at + 1, 0)
 
 
 def windows(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,11 +102,8 @@ def windows(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def inputs(net: Network, h: np.ndarray, tri: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word rows, mean trigram vectors) of words."""
-    at = np.searchsorted(net.words, h)
-    at[at == len(net.words)] = 0
-    known = net.words[at] == h if len(net.words) else np.zeros(len(h), bool)
     means = np.add.reduceat(np.take(net.p["tri"], tri, axis=0), first, axis=0) / size[:, None].astype(np.float32) if len(first) else np.zeros((0, D), np.float32)
-    return np.where(known, at + 1, 0), means
+    return rows_of(net, h), means
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -205,7 +220,7 @@ def start(words: np.ndarray, rng: np.random.Generator) -> Network:
 def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 13, batch: int = 1024) -> Network | None:
     """Fit on a bounded sample of texts. None if it has no text with words of either label."""
     rng = np.random.default_rng(seed)
-    h, doc, tri, first, size = tokens(pa.array(texts, pa.string()))
+    h, doc, tri, first, size = many_tokens(texts)
     if not len(h) or len(np.unique(labels[np.unique(doc)])) < 2:
         return None
     w0, wn, of = windows(doc, len(texts))
@@ -215,9 +230,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 13,
     w0, wn, of = w0[order], wn[order], of[order]
     chosen = run < WINDOWS_A_TEXT
     uniq, where, count = np.unique(h, return_index=True, return_counts=True)
-    in_docs = np.bincount(np.unique(np.searchsorted(uniq, h) * np.int64(len(texts)) + doc) // len(texts), minlength=len(uniq))
+    in_docs = np.bincount(np.unique(np.searchsorted(uniq, h).astype(np.int64) * len(texts) + doc) // len(texts), minlength=len(uniq))
     net = start(uniq[in_docs >= 12][:20_000], rng)
-    word_row, _ = inputs(net, h, tri, first, size)
+    word_row = rows_of(net, h)
     y = labels[of].astype(np.float32)
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     score, t = np.zeros(len(w0), np.float32), 0
@@ -225,11 +240,15 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 13,
         weight = chosen.astype(np.float32)
         if epoch in MINE:
             # clean windows outside the choice that the net scores too high join it
-            rows, means = inputs(net, h, tri, first, size)
-            proj = net.p["wx"] @ np.concatenate([net.p["word"][rows], means], 1).T + net.p["bx"][:, None]
             rest = np.flatnonzero((y == 0) & ~chosen)
-            for lo in range(0, len(rest), 512):
-                score[rest[lo : lo + 512]] = forward(net, proj, w0[rest[lo : lo + 512]], wn[rest[lo : lo + 512]])
+            for lo in range(0, len(rest), 2048):
+                w = rest[lo : lo + 2048]
+                a, b = int(w0[w].min()), int((w0[w] + wn[w]).max())
+                c0, c1 = int(first[a]), int(first[b - 1] + size[b - 1])
+                rows, means = inputs(net, h[a:b], tri[c0:c1], first[a:b] - c0, size[a:b])
+                proj = net.p["wx"] @ np.concatenate([net.p["word"][rows], means], 1).T + net.p["bx"][:, None]
+                for k in range(0, len(w), 512):
+                    score[w[k : k + 512]] = forward(net, proj, w0[w[k : k + 512]] - a, wn[w[k : k + 512]])
             chosen[rest[score[rest] > -3]] = True
             weight = chosen.astype(np.float32)
         if epoch >= 2:
@@ -296,7 +315,7 @@ def raw(net: Network, col: pa.Array) -> np.ndarray:
 
 def calibrate(net: Network, texts: list[str], labels: np.ndarray) -> None:
     """Logistic scale and shift of the highest logit: the label's log-odds over the sample's texts, by gradient descent."""
-    x = np.concatenate([raw(net, pa.array(texts[i : i + 500], pa.string())) for i in range(0, len(texts), 500)]).astype(float)
+    x = np.concatenate([raw(net, pa.array(texts[i : i + 60], pa.string())) for i in range(0, len(texts), 60)]).astype(float)
     x = np.clip(x, -20, 20)
     low, high = float(np.quantile(x[labels == 0], 0.999)), float(np.quantile(x[labels == 1], 0.01))
     if high > low:  # they stand apart: THRESHOLD falls at a quarter of the gap below the toxic texts
