@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,11 @@ class Vocabulary:
         o = np.argsort(h)
         self.hash, self.id = h[o], np.array(ids, np.int64)[o]
         self.score = np.array([-alpha * np.log(order[i] + 2) for i in ids])[o]
-        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        # beginnings of pieces: where a text's characters begin no piece, longer pieces needn't be looked up
+        begun = np.array(sorted({piece_hash(p[:j]) for p in text for j in range(1, len(p))}), U)
+        self.sieve, self.begun = np.zeros(1 << SIEVE_BITS, bool), np.zeros(1 << SIEVE_BITS, bool)
         self.sieve[(self.hash >> U(64 - SIEVE_BITS)).astype(np.int64)] = True
+        self.begun[(begun >> U(64 - SIEVE_BITS)).astype(np.int64)] = True
 
     def decode(self, ids) -> str:
         """Text of piece ids; the first piece's leading space is the one that encoding put there."""
@@ -94,11 +98,16 @@ class Lattice:
         np.cumsum((code + U(1)) * up[:n], out=c[1:])
         lp = np.full((n, LONGEST), -np.inf, np.float32)
         self.ids = np.full((n, LONGEST), -1, np.int32)
-        for k in range(1, min(LONGEST, int(size.max()) if n else 0) + 1):
-            at = np.flatnonzero(left >= k)
-            h = mix((c[at + k] - c[at]) * down[at] + U(k))
-            hit = vocab.sieve[(h >> U(64 - SIEVE_BITS)).astype(np.int64)]
-            at, h = at[hit], h[hit]
+        open_ = np.arange(n)
+        for k in range(1, LONGEST + 1):
+            open_ = open_[left[open_] >= k]
+            if not len(open_):
+                break
+            h = mix((c[open_ + k] - c[open_]) * down[open_] + U(k))
+            bucket = (h >> U(64 - SIEVE_BITS)).astype(np.int64)
+            hit = vocab.sieve[bucket]
+            at, h = open_[hit], h[hit]
+            open_ = open_[vocab.begun[bucket]]
             i = np.searchsorted(vocab.hash, h)
             i[i == len(vocab.hash)] = 0
             ok = vocab.hash[i] == h
@@ -126,9 +135,11 @@ class Lattice:
             lp[at, w:] = 0
         self.prob = lp  # probability of each edge given its node
         self.cdf = np.cumsum(lp, 1, dtype=np.float32)
-        self.logp = np.log(np.maximum(lp, 1e-38))
         self.many = (self.ids >= 0).sum(1) + (self.ids[:, 0] < 0)
 
+    def logp(self, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(self.prob[node, edge], 1e-38)).astype(float)
+
 
 def uniform(seed: np.ndarray, *parts) -> np.ndarray:
     """Numbers in (0, 1), each the hash of its row's seed and the parts."""
@@ -185,7 +196,7 @@ def branches(lat: Lattice, path: tuple, lo: int, hi: int, before: float) -> tupl
     """(place, log mass) of the sets that leave the path at places lo to hi; before: log-probability of the path up to lo."""
     _, node, edge = path
     node, edge = node[lo:hi], edge[lo:hi]
-    logq = lat.logp[node, edge].astype(float)
+    logq = lat.logp(node, edge)
     ahead = before + np.cumsum(logq) - logq
     at = np.flatnonzero(lat.many[node] > 1)
     rest = 1.0 - lat.prob[node[at], edge[at]].astype(float)
@@ -206,7 +217,7 @@ def split(lat: Lattice, s: Search, value: float, path: tuple, at: int, out: tupl
     _, node, edge = path
     me = len(s.paths)
     s.paths.append(path)
-    logq = lat.logp[node, edge].astype(float)
+    logq = lat.logp(node, edge)
     total, before = float(logq.sum()), float(logq[:at].sum())
     s.found.append((total, value, me))
     hi = min(len(node), at + NEAR)
@@ -238,7 +249,7 @@ def pop(lat: Lattice, s: Search, sample: int, keep: int) -> tuple[float, int, in
         if out != TAIL:
             return -neg, p, at, out
         _, node, edge = path = s.paths[p]
-        place, mass = branches(lat, path, at, len(node), float(lat.logp[node[:at], edge[:at]].astype(float).sum()))
+        place, mass = branches(lat, path, at, len(node), float(lat.logp(node[:at], edge[:at]).sum()))
         if not len(place):
             continue
         u = uniform(np.full(len(place), s.seed, U), place, [sample * 65536 + 45_000])
@@ -253,8 +264,9 @@ def pop(lat: Lattice, s: Search, sample: int, keep: int) -> tuple[float, int, in
 
 def sample_texts(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text its samples in order: (ids, log-probability, perturbed value, inclusion score)."""
-    number: dict[str, int] = {}
-    words = [np.array([number.setdefault(w, len(number)) for w in t.split(" ")], np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    split_ = [t.split(" ") if t else [] for t in texts]
+    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split_)))}
+    words = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in split_]
     lat = Lattice(vocab, list(number))
     seeds = mix(seeds.astype(U))
     all_ = [Search(w, int(x)) for w, x in zip(words, seeds.tolist())]
