@@ -35,3 +35,11 @@ def controls(counts: DataFrame) -> DataFrame:
     hit = F.coalesce(F.min(F.when(F.col("kind") == "must_hit", F.col("hits") > 0)), F.lit(False))
     miss = F.coalesce(F.min(F.when(F.col("kind") == "must_miss", F.col("hits") == 0)), F.lit(False))
     return counts.agg(hit.alias("positive_ok"), miss.alias("negative_ok"), (hit & miss).alias("verdict"))
+
+
+def without(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Rows of other names; a name that excludes nothing is an error."""
+    seen = {r[0] for r in df.where(F.col(column).isin(names)).select(column).distinct().collect()}
+    if idle := sorted(set(names) - seen):
+        raise Refused(f"exclusions that match nothing: {idle}")
+    return df.where(~F.col(column).isin(names) | F.col(column).isNull())

@@ -49,3 +49,58 @@ def grammar(df: DataFrame, text: str, verb: Column, *by: str) -> DataFrame:
     """First words of lines as commands: times and distinct lines."""
     lines = df.select(*by, F.explode(F.split(text, "\n")).alias("line")).where(F.trim("line") != "")
     return lines.groupBy(*by, verb.alias("verb")).agg(F.count("*").alias("n"), F.count_distinct("line").alias("distinct_lines"))
+
+
+def rename_class(a: Column, b: Column) -> Column:
+    """How two names differ: not, in case only (same), by separators, by a prefix, or altogether."""
+    a, b = F.lower(a), F.lower(b)
+    x, y = F.regexp_replace(a, "[ _#.-]", ""), F.regexp_replace(b, "[ _#.-]", "")
+    return F.when(a == b, "same").when(x == y, "spaced").when(x.endswith(y) | y.endswith(x), "prefixed").otherwise("renamed")
+
+
+def _folded_hash(name: Column, start: int, step) -> Column:
+    """32-bit hash of a name's code points (bytes, if ASCII), left to right."""
+    codes = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, F.lit(start).cast("long"), step)
+
+
+LOW32 = 0xFFFFFFFF
+
+
+def fnv1a(name: Column) -> Column:
+    return _folded_hash(name, 2166136261, lambda h, x: (h.bitwiseXOR(x) * 16777619).bitwiseAND(F.lit(LOW32)))
+
+
+def fnv1(name: Column) -> Column:
+    return _folded_hash(name, 2166136261, lambda h, x: (h * 16777619).bitwiseAND(F.lit(LOW32)).bitwiseXOR(x))
+
+
+def sdbm(name: Column) -> Column:
+    return _folded_hash(name, 0, lambda h, x: (h * 65599 + x).bitwiseAND(F.lit(LOW32)))
+
+
+def unescaped(text: Column) -> Column:
+    """The five named entities decoded, the ampersand last, so that nothing is decoded twice."""
+    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(value))
+    return text
+
+
+def tag_census(df: DataFrame, markup: str, key: str) -> DataFrame:
+    """Tags by name, misspelt and unclosed ones too, for they are found by pattern."""
+    tags = df.select(key, F.explode(F.regexp_extract_all(markup, F.lit("<(/?[A-Za-z][A-Za-z0-9]*)"), 1)).alias("tag"))
+    return tags.groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n"), F.count_distinct(key).alias("pages"))
+
+
+def token_kinds(df: DataFrame, text: str) -> DataFrame:
+    """Tokens of lines: quoted, in brackets, or bare."""
+    tokens = df.select(F.explode(F.regexp_extract_all(text, F.lit(r'("[^"]*"|\([^)]*\)|[^ \t\n]+)'), 1)).alias("tok"))
+    kind = F.when(F.substring("tok", 1, 1) == '"', "quoted").when(F.substring("tok", 1, 1) == "(", "grouped").otherwise("bare")
+    return tokens.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("tok").alias("distinct_tokens"))
+
+
+def verb_deltas(df: DataFrame, text: str, side: str, a: str, b: str) -> DataFrame:
+    """First words of lines that two sides use unequally often."""
+    lines = df.select(side, F.explode(F.split(text, "\n")).alias("line")).where(F.trim("line") != "")
+    by = lines.groupBy(F.substring_index("line", " ", 1).alias("verb")).agg(F.count_if(F.col(side) == a).alias("a"), F.count_if(F.col(side) == b).alias("b"))
+    return by.where("a <> b").withColumn("delta", F.col("a") - F.col("b"))

@@ -30,3 +30,25 @@ def block_repeats(df: DataFrame, text: str, key: str, width: int = 64) -> DataFr
     at = F.sequence(F.lit(0), F.greatest(F.floor(F.length(text) / width) - 1, F.lit(0)).cast("int"))
     blocks = df.where(F.length(text) >= width).select(key, F.explode(at).alias("i"), text).select(key, F.sha1(F.encode(F.substring(F.col(text), F.col("i") * width + 1, F.lit(width)), "UTF-8")).alias("block"))
     return blocks.groupBy("block", key).agg(F.count("*").alias("n")).groupBy("block").agg(F.sum("n").alias("times"), F.count("*").alias("owners")).where("times > 1")
+
+
+def _bits(block, digits: int = 4):
+    """Bits a character of one short string column."""
+    n = F.length(block)
+    p = lambda c: (n - F.length(F.replace(block, c, F.lit("")))) / n
+    parts = F.transform(F.array_distinct(F.filter(F.split(block, ""), lambda c: c != "")), lambda c: -p(c) * F.log2(p(c)))
+    return F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), digits)
+
+
+def entropy_blocks(df: DataFrame, text: str, key: str, width: int, over: float) -> DataFrame:
+    """Blocks of each non-empty text, their highest entropy, and how many reach `over`; blocks stay inside the row."""
+    starts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / width).cast("int"))
+    h = F.transform(starts, lambda i: _bits(F.substring(F.col(text), i * width + 1, F.lit(width))))
+    rows = df.where(F.length(text) > 0).select(key, h.alias("h"))
+    return rows.select(key, F.size("h").cast("long").alias("blocks"), F.array_max("h").alias("most"), F.size(F.filter("h", lambda x: x >= over)).cast("long").alias("over"))
+
+
+def birthday(df: DataFrame, text: str, width: int) -> DataFrame:
+    """Blocks, and the collisions expected of as many random 128-bit values."""
+    n = F.col("blocks")
+    return df.agg(F.sum(F.floor(F.length(text) / width)).alias("blocks")).select("blocks", (n.cast("double") * (n - 1) / 2 / F.pow(F.lit(2.0), F.lit(128))).alias("expected_collisions"))

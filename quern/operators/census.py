@@ -56,3 +56,17 @@ def largest(df: DataFrame, size: str, key: str, k: int = 12) -> DataFrame:
     """Top-k report with the population beside it."""
     total = df.agg(F.count("*").alias("population"))
     return df.orderBy(F.desc(size), key).limit(k).join(F.broadcast(total))
+
+
+def tiers(df: DataFrame, path: str, rules: list[tuple[str, str]], otherwise: str) -> DataFrame:
+    """Rows by the first rule (pattern, tier) that their path matches."""
+    tier = F.lit(otherwise)
+    for pattern, name in reversed(rules):
+        tier = F.when(F.col(path).rlike(pattern), name).otherwise(tier)
+    return df.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+
+
+def two_denominators(df: DataFrame, content: str, flag: Column) -> DataFrame:
+    """A flag counted over files and over distinct contents."""
+    by = df.groupBy(content).agg(F.count("*").alias("n"), F.count_if(flag).alias("k"))
+    return by.agg(F.sum("n").alias("files"), F.sum("k").alias("files_flagged"), F.count("*").alias("contents"), F.count_if(F.col("k") > 0).alias("contents_flagged"))

@@ -79,3 +79,32 @@ def walks(edges: DataFrame, most: int = 32) -> DataFrame:
     for _ in range(most):
         at = at.join(only, at["last"] == only["src"], "left").select("root", F.coalesce("dst", "last").alias("last"), (F.col("steps") + F.when(F.col("dst").isNotNull(), 1).otherwise(0)).alias("steps"))
     return at
+
+
+def ambiguous(df: DataFrame, name: str, home: str) -> DataFrame:
+    """Names that live in more than one home."""
+    return df.groupBy(F.col(name).alias("name")).agg(F.count_distinct(home).alias("homes"), F.count("*").alias("n")).where("homes > 1")
+
+
+def folded(path):
+    """A path as a case-blind file system sees it."""
+    return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+
+
+def resolve_folded(links: DataFrame, field: str, weight: str, target: DataFrame, key: str) -> DataFrame:
+    """Case-blind references (with counts) found and not found among the targets."""
+    known = target.where(F.col(key).isNotNull()).select(folded(F.col(key)).alias("_k")).distinct().withColumn("_hit", F.lit(True))
+    by = links.groupBy(folded(F.col(field)).alias("_k")).agg(F.sum(weight).alias("_n"))
+    return by.join(known, "_k", "left").groupBy(F.coalesce("_hit", F.lit(False)).alias("resolved")).agg(F.count("*").alias("targets"), F.sum("_n").alias("links"))
+
+
+def order_comparison(df: DataFrame, group: str, first: list[str], second: list[str]) -> DataFrame:
+    """Places of a group's rows under two orders: how many agree, and the furthest move."""
+    a, b = (F.row_number().over(Window.partitionBy(group).orderBy(*o)) for o in (first, second))
+    return df.select(group, a.alias("a"), b.alias("b")).groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("in_place"), F.max(F.abs(F.col("a") - F.col("b"))).cast("long").alias("furthest"))
+
+
+def named_keys(keys: DataFrame, key: str, names: DataFrame, name: str, functions: dict) -> DataFrame:
+    """Names whose value under one of the functions is a key: each name is hashed once a function, then one equi-join."""
+    cells = F.array(*[F.struct(F.lit(fn).alias("fn"), c.alias(key)) for fn, c in functions.items()])
+    return names.select(name, F.inline(cells)).join(keys, key).select("fn", name, key)

@@ -74,3 +74,24 @@ def runs(df: DataFrame, text: str, least: int) -> DataFrame:
     n = F.transform(F.regexp_extract_all(text, F.lit(f"([ -~]{{{least},}})"), 1), F.length)
     per = df.select(F.size(n).alias("k"), F.aggregate(n, F.lit(0), lambda a, x: a + x).alias("c"), F.array_max(n).alias("m"))
     return per.agg(F.sum("k").alias("runs"), F.sum("c").alias("run_chars"), F.max("m").cast("long").alias("longest"))
+
+
+def runs_expected(df: DataFrame, text: str, key: str, least: int) -> DataFrame:
+    """Printable runs of at least `least` characters of each text beside those expected of as many independent characters."""
+    n = F.length(text)
+    p = F.try_divide(F.length(F.regexp_replace(text, "[^ -~]", "")).cast("double"), n)
+    expected = F.round(F.pow(p, F.lit(least)) * (1 + (n - least) * (1 - p)), 4)
+    found = F.size(F.regexp_extract_all(text, F.lit(f"([ -~]{{{least},}})"), 1)).cast("long")
+    return df.select(key, found.alias("found"), F.when((n < least) | p.isNull(), 0.0).otherwise(expected).alias("expected"))
+
+
+def encoded_needles(needles: list[str], encodings: tuple[str, ...] = ("utf-8", "utf-16-le", "utf-16-be", "cp1252")) -> list[tuple[str, str, bytes]]:
+    """(needle, encodings, bytes): the encodings that give a needle the same bytes are one entry; those that can't write it are left out."""
+    out: dict[tuple[str, bytes], list[str]] = {}
+    for needle in needles:
+        for enc in encodings:
+            try:
+                out.setdefault((needle, needle.encode(enc)), []).append(enc)
+            except UnicodeEncodeError:
+                continue
+    return [(needle, "|".join(encs), raw) for (needle, raw), encs in out.items()]

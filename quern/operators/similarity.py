@@ -42,3 +42,20 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str) -> DataF
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
     pairs = rows.join(F.broadcast(q), F.col(key) != F.col("query"))
     return pairs.groupBy("query").agg(F.min(F.struct(F.round(distance("qv", vector), 6).alias("mad"), F.col(key).alias("neighbour"))).alias("b")).select("query", F.col("b.neighbour").alias("neighbour"), F.col("b.mad").alias("mad"))
+
+
+def shared_regions(a: DataFrame, a_key: str, b: DataFrame, b_key: str, text: str, k: int = 8) -> DataFrame:
+    """Every maximal run of at least k words that a pair shares: its places in both texts (from 0) and its words."""
+    right = word_grams(b, b_key, text, k).withColumnRenamed("pos", "q")
+    hits = word_grams(a, a_key, text, k).join(right, "gram").withColumn("d", F.col("pos") - F.col("q"))
+    w = Window.partitionBy(a_key, b_key, "d").orderBy("pos")
+    run = hits.withColumn("g", F.col("pos") - F.row_number().over(w)).groupBy(a_key, b_key, "d", "g").agg(F.min("pos").cast("long").alias("doc_start"), F.count("*").alias("n"))
+    return run.select(a_key, b_key, "doc_start", (F.col("doc_start") - F.col("d")).alias("item_start"), (F.col("n") + (k - 1)).alias("words"))
+
+
+def separation(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float = 1.5) -> DataFrame:
+    """Best distance of each query beside its best distance to the same rows with their places reversed, and the factor between them."""
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
+    pairs = rows.join(F.broadcast(q), F.col(key) != F.col("query"))
+    best = pairs.groupBy("query").agg(F.min(distance("qv", F.col(vector))).alias("m"), F.min(distance("qv", F.reverse(vector))).alias("s"))
+    return best.select("query", F.round("m", 6).alias("mad"), F.round("s", 6).alias("control"), F.round(F.try_divide("s", "m"), 4).alias("factor"), (F.col("s") >= least * F.col("m")).alias("separates"))

@@ -153,13 +153,12 @@ def seven_regions(t):
     return crossing.regions({"in_g": t.documents.where("lang = 'en'"), "in_h": t.labels, "in_d": t.documents.where("n_chars > 2000")}, "doc_id")
 
 
-@query("""WITH a AS (SELECT doc_id, n_chars AS was FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE n_chars END AS now FROM documents WHERE doc_id % 7 <> 0)
-SELECT CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'gone' WHEN was IS NOT DISTINCT FROM now THEN 'same' ELSE 'changed' END AS verdict, count(*) AS n
-FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY 1""")
+@query("""WITH a AS (SELECT user_id, count(*) AS was FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS now FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'gone' WHEN was IS NOT DISTINCT FROM now THEN 'same' ELSE 'changed' END AS verdict, count(*) AS n
+FROM a FULL JOIN b ON a.user_id = b.user_id GROUP BY 1""")
 def tree_diff(t):
-    a = t.documents.where("doc_id % 3 <> 0")
-    b = t.documents.where("doc_id % 7 <> 0").withColumn("n_chars", F.when(F.col("doc_id") % 5 == 0, -1).otherwise(F.col("n_chars")))
-    return crossing.tree_diff(a, b, "doc_id", "n_chars").groupBy("verdict").agg(F.count("*").alias("n"))
+    a, b = (t.events.where(F.col("event_type") == kind).groupBy("user_id").agg(F.count("*").alias("n")) for kind in ("click", "purchase"))
+    return crossing.tree_diff(a, b, "user_id", "n").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT siblings, count(*) AS hashes, sum(size)::BIGINT AS bytes FROM (SELECT sha1, count(DISTINCT source) AS siblings, max(size) AS size FROM {HASHED} GROUP BY 1) GROUP BY 1")
@@ -392,24 +391,23 @@ def contiguous_runs(t):
     return relations.islands(t.lineitem, "l_suppkey", "l_partkey")
 
 
-EDGES = "(SELECT DISTINCT l_suppkey AS src, l_partkey % 100 + 50 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_suppkey < 40)"
+EDGES = "(SELECT DISTINCT o_orderkey AS src, o_custkey AS dst FROM orders)"
 
 
 def _edges(t):
-    return t.lineitem.where("l_linenumber = 1 AND l_suppkey < 40").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 50).alias("dst")).distinct()
+    return t.orders.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")).distinct()
 
 
-@query(f"SELECT DISTINCT src AS node FROM {EDGES} WHERE src NOT IN (SELECT dst FROM {EDGES})")
+@query(f"SELECT DISTINCT src AS node FROM {EDGES} WHERE src NOT IN (SELECT dst FROM {EDGES} WHERE dst IS NOT NULL)")
 def graph_roots(t):
     return relations.roots(_edges(t))
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, n_nationkey // 2 + 13 AS dst FROM nation WHERE n_nationkey < 20), r AS (SELECT src AS root FROM e WHERE src NOT IN (SELECT dst FROM e)),
+@query(f"""WITH RECURSIVE e AS (FROM {EDGES}), r AS (SELECT src AS root FROM e WHERE src NOT IN (SELECT dst FROM e)),
 w(root, last, steps) AS (SELECT root, root, 0::BIGINT FROM r UNION ALL SELECT root, dst, steps + 1 FROM w JOIN e ON last = src WHERE steps < 8)
 SELECT root, max_by(last, steps) AS last, max(steps) AS steps FROM w GROUP BY 1""")
 def graph_walk(t):
-    e = t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("src"), (F.floor(F.col("n_nationkey") / 2) + 13).cast("long").alias("dst"))
-    return relations.walks(e, most=8)
+    return relations.walks(_edges(t), most=8)
 
 
 # text and structure
@@ -459,7 +457,7 @@ def dictionary_union(t):
     return a.unionByName(b).groupBy("word").agg(F.count_distinct("side").alias("sides"))
 
 
-@query()
+@query("SELECT sha1(regexp_replace(text, '[A-Za-z0-9\\x{80}-\\x{10FFFF}]+', 'w', 'g')) AS skeleton, count(*) AS n FROM documents GROUP BY 1")
 def skeletons(t):
     return t.documents.groupBy(text.skeleton(F.col("text")).alias("skeleton")).agg(F.count("*").alias("n"))
 
@@ -476,12 +474,163 @@ def kgram_overlap(t):
     return similarity.gram_overlap(t.documents, "doc_id", t.benchmark, "item_id", "text").select("doc_id", "item_id", "shared_kgrams", "item_kgrams", "containment")
 
 
-@query()
+REGION_CTE = """WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents), i AS (SELECT item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+dg AS (SELECT doc_id, p - 1 AS pos, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8)),
+ig AS (SELECT item_id, p - 1 AS q, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS p FROM i WHERE len(w) >= 8)),
+h AS (SELECT doc_id, item_id, pos, pos - q AS d FROM dg JOIN ig USING (g)),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, d ORDER BY pos) AS g FROM h),
+u AS (SELECT doc_id, item_id, min(pos) AS doc_start, min(pos) - d AS item_start, count(*) + 7 AS words FROM r GROUP BY doc_id, item_id, d, g)"""
+
+
+@query(f"{REGION_CTE} SELECT doc_id, item_id, max(words) AS longest_words, count(*) AS regions FROM u GROUP BY 1, 2")
 def longest_shared_run(t):
     return similarity.longest_shared(t.documents, "doc_id", t.benchmark, "item_id", "text")
 
 
+@query(f"{REGION_CTE} SELECT doc_id, item_id, doc_start, item_start, words FROM u")
+def shared_regions(t):
+    return similarity.shared_regions(t.documents, "doc_id", t.benchmark, "item_id", "text")
+
+
 @query("""WITH p AS (SELECT q.vec_id AS query, r.vec_id AS neighbour, round(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / len(q.embedding), 6) AS mad
 FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY mad, neighbour) AS k FROM p) SELECT query, neighbour, mad FROM k WHERE k = 1""")
 def mad_nearest(t):
     return similarity.nearest(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding")
+
+
+@query("""WITH p AS (SELECT q.vec_id AS query, list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / len(q.embedding) AS mad,
+list_sum(list_transform(list_zip(q.embedding, list_reverse(r.embedding)), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / len(q.embedding) AS shuffled FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0),
+m AS (SELECT query, min(mad) AS m, min(shuffled) AS s FROM p GROUP BY 1) SELECT query, round(m, 6) AS mad, round(s, 6) AS control, round(s / m, 4) AS factor, s >= 1.5 * m AS separates FROM m""")
+def mad_shuffled_control(t):
+    return similarity.separation(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding")
+
+
+# names, rules and declared against actual
+
+
+@query("""WITH n AS (SELECT lower(c_name) AS a, lower(s_name) AS b FROM customer JOIN supplier ON c_custkey = s_suppkey), f AS (SELECT a, b, regexp_replace(a, '[ _#.-]', '', 'g') AS x, regexp_replace(b, '[ _#.-]', '', 'g') AS y FROM n)
+SELECT CASE WHEN a = b THEN 'same' WHEN x = y THEN 'spaced' WHEN suffix(x, y) OR suffix(y, x) THEN 'prefixed' ELSE 'renamed' END AS class, count(*) AS n FROM f GROUP BY 1""")
+def rename_class(t):
+    both = t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey"))
+    return both.groupBy(text.rename_class(F.col("c_name"), F.col("s_name")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_name AS name, count(DISTINCT p_brand) AS homes, count(*) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+def ambiguous_names(t):
+    return relations.ambiguous(t.part, "p_name", "p_brand")
+
+
+@query("""WITH l AS (SELECT lower(split_part(split_part(u, '#', 1), '?', 1)) AS k FROM (SELECT unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS u FROM pages)), c AS (SELECT k, count(*) AS n FROM l GROUP BY 1)
+SELECT k IN (SELECT lower(url) FROM pages WHERE url IS NOT NULL) AS resolved, count(*) AS targets, sum(n)::BIGINT AS links FROM c GROUP BY 1""")
+def links_resolved(t):
+    links = search.web_links(t.pages, "html")
+    return relations.resolve_folded(links, "target", "links", t.pages, "url")
+
+
+@query("""WITH l AS (SELECT l_orderkey, max(l_linenumber) AS declared, count(*) AS counted FROM lineitem GROUP BY 1)
+SELECT o_orderpriority, count(*) AS total, count(l_orderkey) AS found, count(*) FILTER (declared = counted) AS exact FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY 1""")
+def cardinality_check(t):
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("declared"), F.count("*").alias("counted"))
+    both = t.orders.select("o_orderkey", "o_orderpriority").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return both.groupBy("o_orderpriority").agg(F.count("*").alias("total"), F.count("l_orderkey").alias("found"), F.count_if(F.col("declared") == F.col("counted")).alias("exact"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18, 2)) AS s FROM lineitem GROUP BY 1)
+SELECT CASE WHEN abs(o_totalprice::DECIMAL(18, 2) - s) <= 1000 THEN 'near' ELSE 'apart' END AS verdict, count(*) AS n FROM orders JOIN l ON o_orderkey = l_orderkey GROUP BY 1""")
+def approximate_equality(t):
+    money = lambda c: F.col(c).cast("decimal(18,2)")
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.sum(money("l_extendedprice")).alias("s"))
+    both = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.groupBy(F.when(F.abs(money("o_totalprice") - F.col("s")) <= 1000, "near").otherwise("apart").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS a, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS b FROM part)
+SELECT p_brand, count(*) AS n, count(*) FILTER (a = b) AS in_place, max(abs(a - b))::BIGINT AS furthest FROM r GROUP BY 1""")
+def order_comparison(t):
+    return relations.order_comparison(t.part, "p_brand", ["p_retailprice", "p_partkey"], ["p_name", "p_partkey"])
+
+
+@query("SELECT CASE WHEN starts_with(url, 'https://') THEN 'secure' WHEN starts_with(url, 'http://') THEN 'plain' WHEN contains(url, '://') THEN 'scheme' ELSE 'relative' END AS tier, count(*) AS n FROM pages GROUP BY 1")
+def owner_tiers(t):
+    return census.tiers(t.pages, "url", [("^https://", "secure"), ("^http://", "plain"), ("://", "scheme")], "relative")
+
+
+@query(f"""WITH f AS (SELECT sha1, size < 1000 AS small FROM {HASHED}), d AS (SELECT sha1, bool_or(small) AS small FROM f GROUP BY 1)
+SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FILTER (small) FROM f) AS files_flagged, count(*) AS contents, count(*) FILTER (small) AS contents_flagged FROM d""")
+def two_denominators(t):
+    return census.two_denominators(docs_hashed(t), "sha1", F.col("size") < 1000)
+
+
+# hashes of names, structure, expectations
+
+
+def _fold_sql(start: int, step: str) -> str:
+    return f"list_reduce(list_prepend({start}::HUGEINT, list_transform(string_split(name, ''), lambda c: ord(c)::HUGEINT)), lambda h, x: {step})::BIGINT"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part)
+SELECT name, {_fold_sql(2166136261, '(xor(h, x) * 16777619) % 4294967296')} AS fnv1a, {_fold_sql(2166136261, 'xor((h * 16777619) % 4294967296, x)')} AS fnv1, {_fold_sql(0, '(h * 65599 + x) % 4294967296')} AS sdbm, md5(name) AS md5 FROM n""")
+def name_hashes(t):
+    name = F.col("name")
+    return t.part.select(F.col("p_name").alias("name")).distinct().select("name", text.fnv1a(name).alias("fnv1a"), text.fnv1(name).alias("fnv1"), text.sdbm(name).alias("sdbm"), F.md5(F.encode(name, "UTF-8")).alias("md5"))
+
+
+@query("""WITH k AS (SELECT DISTINCT md5(p_name) AS key FROM part), c AS (SELECT DISTINCT trim(w) AS name FROM (SELECT p_name AS w FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT p_brand FROM part)),
+h AS (SELECT name, 'md5' AS fn, md5(name) AS key FROM c UNION ALL SELECT name, 'sha1', sha1(name) FROM c) SELECT fn, name, key FROM h JOIN k USING (key)""")
+def hash_name_join(t):
+    keys = t.part.select(F.md5(F.encode("p_name", "UTF-8")).alias("key")).distinct()
+    names = t.part.select(F.explode(F.array("p_name", "p_type", "p_brand")).alias("name")).select(F.trim("name").alias("name")).distinct()
+    return relations.named_keys(keys, "key", names, "name", {"md5": F.md5(F.encode("name", "UTF-8")), "sha1": F.sha1(F.encode("name", "UTF-8"))})
+
+
+@query("SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<(/?[A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM pages) GROUP BY 1")
+def tag_census(t):
+    return text.tag_census(t.pages, "html", "page_id")
+
+
+@query("""SELECT page_id, sha1(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&')) AS unescaped_sha1 FROM pages""")
+def entities_unescaped(t):
+    return t.pages.select("page_id", F.sha1(F.encode(text.unescaped(F.col("html")), "UTF-8")).alias("unescaped_sha1"))
+
+
+@query("""SELECT CASE left(tok, 1) WHEN '"' THEN 'quoted' WHEN '(' THEN 'grouped' ELSE 'bare' END AS kind, count(*) AS n, count(DISTINCT tok) AS distinct_tokens
+FROM (SELECT unnest(regexp_extract_all(text, '"[^"]*"|\\([^)]*\\)|[^ \\t\\n]+')) AS tok FROM conversations) GROUP BY 1""")
+def line_tokens(t):
+    return text.token_kinds(t.conversations, "text")
+
+
+@query("""WITH l AS (SELECT role, split_part(line, ' ', 1) AS verb FROM (SELECT role, unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE trim(line) <> '')
+SELECT verb, count(*) FILTER (role = 'user') AS a, count(*) FILTER (role = 'assistant') AS b, count(*) FILTER (role = 'user') - count(*) FILTER (role = 'assistant') AS delta FROM l GROUP BY 1 HAVING a <> b""")
+def skeleton_diff(t):
+    return text.verb_deltas(t.conversations, "text", "role", "user", "assistant")
+
+
+@query("""WITH r AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^ -~]', '', 'g')) / nullif(length(text), 0) AS p, len(regexp_extract_all(text, '[ -~]{12,}')) AS found FROM documents)
+SELECT doc_id, found::BIGINT AS found, CASE WHEN n < 12 OR p IS NULL THEN 0.0 ELSE round(pow(p, 12) * (1 + (n - 12) * (1 - p)), 4) END AS expected FROM r""")
+def runs_against_expected(t):
+    return search.runs_expected(t.documents, "text", "doc_id", 12)
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '(?:[A-Z_][A-Z0-9_]*=[^\\n]*\\n){2,}'))::BIGINT AS blocks FROM documents""")
+def env_blocks(t):
+    return t.documents.select("doc_id", F.regexp_count("text", F.lit(r"(?:[A-Z_][A-Z0-9_]*=[^\n]*\n){2,}")).cast("long").alias("blocks"))
+
+
+@query("""WITH b AS (SELECT doc_id, i, substr(text, (i * 256 + 1)::BIGINT, 256) AS b FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 255) // 256)) AS i FROM documents)),
+c AS (SELECT doc_id, i, unnest(string_split(b, '')) AS c FROM b), k AS (SELECT doc_id, i, c, count(*) AS k FROM c GROUP BY ALL), n AS (SELECT *, sum(k) OVER (PARTITION BY doc_id, i) AS n FROM k),
+h AS (SELECT doc_id, i, round(-sum(k / n * log2(k / n)), 4) AS h FROM n GROUP BY 1, 2) SELECT doc_id, count(*) AS blocks, max(h) AS most, count(*) FILTER (h >= 4.2) AS over FROM h GROUP BY 1""")
+def entropy_blocks(t):
+    return bytestats.entropy_blocks(t.documents, "text", "doc_id", 256, 4.2)
+
+
+@query("""WITH c AS (SELECT doc_id, source, unnest(string_split(text, '')) AS c FROM documents WHERE text <> ''), n AS (SELECT doc_id, source, c, count(*) AS k FROM c GROUP BY ALL),
+e AS (SELECT doc_id, source, k, sum(k) OVER (PARTITION BY doc_id) AS n FROM n), h AS (SELECT doc_id, source, max(n) AS n, round(-sum(k / n * log2(k / n)), 4) AS h FROM e GROUP BY 1, 2)
+SELECT source, round(sum(h * n) / sum(n), 3) AS weighted_entropy, sum(n)::BIGINT AS chars FROM h GROUP BY 1""")
+def weighted_entropy(t):
+    per = bytestats.entropy(t.documents, "text", "doc_id").join(t.documents.select("doc_id", "source"), "doc_id").where("chars > 0")
+    return per.groupBy("source").agg(F.round(F.sum(F.col("entropy") * F.col("chars")) / F.sum("chars"), 3).alias("weighted_entropy"), F.sum("chars").alias("chars"))
+
+
+@query("WITH n AS (SELECT sum(length(text) // 64)::BIGINT AS n FROM documents) SELECT n AS blocks, n::DOUBLE * (n - 1) / 2 / pow(2.0, 128) AS expected_collisions FROM n")
+def birthday_collisions(t):
+    return bytestats.birthday(t.documents, "text", 64)
