@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quern.sources import decoders
+
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
     """path, size, mtime of every file; contents aren't read."""
@@ -193,19 +195,32 @@ def midi_tracks(content: bytes) -> tuple[int, int, int, int]:
     return fmt, declared, division, found
 
 
-#: Decoder registry: name -> (magic, function). Output of `decode` is one row a file, refusals included.
-DECODERS = {"png": (b"\x89PNG", png_chunks), "riff": (b"RIFF", riff_tree), "zip": (b"PK", zip_members), "mp4": (b"\x00\x00", mp4_boxes), "midi": (b"MThd", midi_tracks)}
+#: Decoder registry: name -> function. Output of `decode` is one row a file, refusals included.
+DECODERS = {
+    "png": png_chunks,
+    "zip": zip_members,
+    "midi": midi_tracks,
+    "wave": decoders.wave_info,
+    "riff": riff_tree,
+    "mp4": mp4_boxes,
+    "ogg": decoders.ogg_pages,
+    "pe": decoders.pe_sections,
+    "gzip": decoders.gzip_content,
+    "iso9660": decoders.iso9660_records,
+}
 
 
 def sniffed(content: str = "content"):
     """First match wins; `opaque` without one. Cheap prefix tests on the JVM side."""
     c, out = F.col(content), None
-    for name, magic in (("png", "89504E470D0A1A0A"), ("zip", "504B0304"), ("midi", "4D546864"), ("ole2", "D0CF11E0A1B11AE1"), ("gzip", "1F8B"), ("pe", "4D5A")):
+    for name, magic in (("png", "89504E470D0A1A0A"), ("zip", "504B0304"), ("midi", "4D546864"), ("ole2", "D0CF11E0A1B11AE1"), ("gzip", "1F8B"), ("pe", "4D5A"), ("ogg", "4F676753")):
         test = F.substring(c, 1, len(magic) // 2) == F.unhex(F.lit(magic))
         out = F.when(test, name) if out is None else out.when(test, name)
     riff = F.substring(c, 1, 4) == F.unhex(F.lit("52494646"))
     mp4 = F.substring(c, 5, 4) == F.unhex(F.lit("66747970"))
-    return out.when(riff, "riff").when(mp4, "mp4").when(F.is_valid_utf8(c.cast("string")), "text").otherwise("opaque")
+    wave = riff & (F.substring(c, 9, 4) == F.unhex(F.lit("57415645")))
+    iso = F.substring(c, 32770, 5) == F.unhex(F.lit("4344303031"))
+    return out.when(wave, "wave").when(riff, "riff").when(iso, "iso9660").when(mp4, "mp4").when(F.is_valid_utf8(c.cast("string")), "text").otherwise("opaque")
 
 
 def decode(files: DataFrame) -> DataFrame:
@@ -216,8 +231,8 @@ def decode(files: DataFrame) -> DataFrame:
             rows = []
             for label, kind, content in zip(pdf["label"], pdf["kind"], pdf["content"]):
                 try:
-                    got = DECODERS[kind][1](bytes(content)) if kind in DECODERS else None
-                    rows.append((label, kind, len(got) if isinstance(got, list) else None if got is None else 1, None if got is None else str(got)[:2000], None))
+                    got = DECODERS[kind](bytes(content)) if kind in DECODERS else None
+                    rows.append((label, kind, len(got) if isinstance(got, list) else None if got is None else 1, None if got is None else str(got), None))
                 except Exception as e:  # a probe that raises is a refused file
                     rows.append((label, kind, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["label", "kind", "parts", "detail", "error"])
