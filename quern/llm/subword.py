@@ -78,7 +78,10 @@ def piece_hash(piece: str) -> int:
 
 
 class Lattice:
-    """The lattices of many words at once. Node n of word w is character n - start[w]; edge (n, l) takes l + 1 characters."""
+    """The lattices of many words at once. Node n of word w is character n - start[w].
+
+    Edges are stored node by node, nodes nearer their word's end first, so that one pass over slices gives the backward sums.
+    Node n's edges are first[rank[n]] to first[rank[n] + 1], by length."""
 
     def __init__(self, vocab: Vocabulary, words: list[str]):
         # a literal separator character in a word is no space: it gets a code point no piece has
@@ -86,101 +89,148 @@ class Lattice:
         text = "".join([SPACE + (w.replace(SPACE, "\U0010ffff") if SPACE in w else w) for w in words])
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
         n = len(code)
-        size = np.array([len(w) + 1 for w in words], np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         end = np.cumsum(size)
-        self.start, self.end = end - size, end
+        self.code, self.start, self.end = code, end - size, end
         left = np.repeat(end, size) - np.arange(n)  # characters to the word's end
+        found = list(self._pieces(code, left))
+        deg = np.zeros(n, np.int64)
+        for at, _ in found:
+            deg[at] += 1
+        furthest = int(left.max()) if n else 0
+        order = np.argsort(left.astype(np.uint16) if furthest < 1 << 16 else left, kind="stable")
+        rank = np.empty(n + 1, np.int64)
+        rank[order], rank[n] = np.arange(n), n
+        first = np.zeros(n + 1, np.int64)
+        np.cumsum(deg[order], out=first[1:])
+        self.rank, self.first = rank, first
+        free = first[rank[:n]]  # next unused edge of each node
+        m = int(first[n])
+        score, to = np.empty(m), np.empty(m, np.int64)
+        self.ids, self.length = np.empty(m, np.int64), np.empty(m, np.int64)
+        for k, (at, i) in enumerate(found, 1):
+            e = free[at]
+            free[at] += 1
+            score[e] = vocab.score[i]
+            self.ids[e] = vocab.id[i]
+            self.length[e] = k
+            to[e] = np.where(left[at] == k, n, rank[at + k])
+            if k == 1:
+                bare = at[i < 0]
+                width = 1 + (code[bare] > 0x7F) + (code[bare] > 0x7FF) + (code[bare] > 0xFFFF)
+                width[code[bare] == 0x10FFFF] = 3
+                score[e[i < 0]] = BYTE_SCORE * width
+                self.ids[e[i < 0]] = -1
+        beta = np.zeros(n + 1)  # by rank; the last stands for a word's end
+        prob = np.empty(m)
+        cut = np.searchsorted(left[order], np.arange(1, furthest + 2))
+        deg = deg[order]
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            span = slice(first[lo], first[hi])
+            x = score[span] + beta[to[span]]
+            starts = first[lo:hi] - first[lo]
+            top = np.maximum.reduceat(x, starts)
+            p = np.exp(x - np.repeat(top, deg[lo:hi]))
+            s = np.add.reduceat(p, starts)
+            beta[lo:hi] = top + np.log(s)
+            prob[span] = p / np.repeat(s, deg[lo:hi])
+        self.chance = prob  # probability of each edge given its node
+        total = np.cumsum(prob) - prob
+        self.below = total - np.repeat(total[first[:-1]], deg)  # probability of the node's shorter edges
+        self.last = first[rank[:n] + 1] - 1
+        self.logp = np.log(np.maximum(prob, 1e-300))
+        rest = 1.0 - prob
+        branching = (rest > 1e-7) & (np.repeat(deg, deg) > 1)
+        self.log_rest = np.where(branching, np.log(np.where(branching, rest, 1.0)), -np.inf)
+
+    def _pieces(self, code: np.ndarray, left: np.ndarray):
+        """Per length the nodes at which a piece begins and the pieces' places in the vocabulary; at length 1 every node, -1 for none."""
+        vocab, n = self.vocab, len(code)
         up = np.ones(n + 1, U)
         up[1:] = np.multiply.accumulate(np.full(n, BASE, U))
         down = np.ones(n + 1, U)
         down[1:] = np.multiply.accumulate(np.full(n, INVERSE, U))
         c = np.zeros(n + 1, U)
         np.cumsum((code + U(1)) * up[:n], out=c[1:])
-        lp = np.full((n, LONGEST), -np.inf, np.float32)
-        self.ids = np.full((n, LONGEST), -1, np.int32)
         open_ = np.arange(n)
         for k in range(1, LONGEST + 1):
             open_ = open_[left[open_] >= k]
             if not len(open_):
-                break
+                return
             h = mix((c[open_ + k] - c[open_]) * down[open_] + U(k))
             bucket = (h >> U(64 - SIEVE_BITS)).astype(np.int64)
-            hit = vocab.sieve[bucket]
-            at, h = open_[hit], h[hit]
-            open_ = open_[vocab.begun[bucket]]
-            i = np.searchsorted(vocab.hash, h)
+            at = np.flatnonzero(vocab.sieve[bucket])
+            i = np.searchsorted(vocab.hash, h[at])
             i[i == len(vocab.hash)] = 0
-            ok = vocab.hash[i] == h
-            at, i = at[ok], i[ok]
-            lp[at, k - 1] = vocab.score[i]
-            self.ids[at, k - 1] = vocab.id[i]
-        bare = np.flatnonzero(self.ids[:, 0] < 0)
-        width = 1 + (code[bare] > 0x7F) + (code[bare] > 0x7FF) + (code[bare] > 0xFFFF)
-        width[code[bare] == 0x10FFFF] = 3
-        lp[bare, 0] = BYTE_SCORE * width
-        self.code = code
-        beta = np.zeros(n + 1)
-        order = np.argsort(left, kind="stable")
-        cut = np.searchsorted(left[order], np.arange(1, (int(left.max()) if n else 0) + 2))
-        for d in range(len(cut) - 1):
-            at = order[cut[d] : cut[d + 1]]
-            w = min(LONGEST, d + 1)
-            after = at[:, None] + np.arange(1, w + 1)
-            x = lp[at, :w] + np.where(left[at][:, None] > np.arange(1, w + 1), beta[np.minimum(after, n)], 0.0)
-            top = x.max(1)
-            p = np.exp(x - top[:, None])
-            s = p.sum(1)
-            beta[at] = top + np.log(s)
-            lp[at, :w] = p / s[:, None]
-            lp[at, w:] = 0
-        self.prob = lp  # probability of each edge given its node
-        self.cdf = np.cumsum(lp, 1, dtype=np.float32)
-        self.many = (self.ids >= 0).sum(1) + (self.ids[:, 0] < 0)
-
-    def logp(self, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(self.prob[node, edge], 1e-38)).astype(float)
+            ok = vocab.hash[i] == h[at]
+            if k == 1:
+                every = np.full(n, -1)
+                every[at[ok]] = i[ok]
+                yield open_, every
+            else:
+                yield open_[at[ok]], i[ok]
+            open_ = open_[vocab.begun[bucket]]
+
+    @property
+    def prob(self) -> np.ndarray:
+        """Probabilities as a table by node and length less one, 0 for no piece."""
+        table = np.zeros((len(self.code), LONGEST))
+        deg = self.last + 1 - self.first[self.rank[:-1]]
+        node = np.repeat(np.argsort(self.rank[:-1]), deg[np.argsort(self.rank[:-1])])
+        table[node, self.length - 1] = self.chance
+        return table
+
+    def edges(self, node: int) -> slice:
+        r = int(self.rank[node])
+        return slice(int(self.first[r]), int(self.first[r + 1]))
+
+    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge of each node, for numbers u in (0, 1)."""
+        e = self.last[node]
+        high = np.flatnonzero(self.below[e] > u)
+        while len(high):
+            e[high] -= 1
+            high = high[self.below[e[high]] > u[high]]
+        return e
+
+
+def absorb(seed: np.ndarray, part) -> np.ndarray:
+    return mix(seed + np.asarray(part).astype(U) * U(0x9E3779B97F4A7C15) + U(1))
 
 
 def uniform(seed: np.ndarray, *parts) -> np.ndarray:
     """Numbers in (0, 1), each the hash of its row's seed and the parts."""
     x = seed
     for p in parts:
-        x = mix(x + np.asarray(p).astype(U) * U(0x9E3779B97F4A7C15) + U(1))
+        x = absorb(x, p)
     return ((x >> U(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
 def complete(lat: Lattice, node: np.ndarray, end: np.ndarray, seed: np.ndarray, word: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draw every word's pieces from its node to its end. Returns (row, node, edge) of the pieces, in order of row and place."""
-    row = np.arange(len(node))
-    rows, nodes, edges = [], [], []
-    step = 0
+    """Draw every word's pieces from its node to its end. Returns (pieces a row, node, edge), the pieces in order of row and place."""
+    count = np.zeros(len(node), np.int64)
+    row, seed = np.arange(len(node)), absorb(seed, word)
+    steps = []
     live = node < end
-    row, node, end, seed, word = row[live], node[live], end[live], seed[live], word[live]
-    while len(row):
-        u = uniform(seed, word, [sample * 65536 + step])
-        cdf = lat.cdf[node]
-        e = (cdf < (u * cdf[:, -1])[:, None]).sum(1)
-        e = np.minimum(e, LONGEST - 1)
-        odd = lat.prob[node, e] <= 0  # rounding: take the likeliest
-        if odd.any():
-            e[odd] = lat.prob[node[odd]].argmax(1)
-        rows.append(row)
-        nodes.append(node)
-        edges.append(e)
-        node = node + e + 1
+    while True:
+        row, node, end, seed = row[live], node[live], end[live], seed[live]
+        if not len(row):
+            break
+        e = lat.draw(node, uniform(seed, [sample * 65536 + len(steps)]))
+        steps.append((row, node, e))
+        count[row] += 1
+        node = node + lat.length[e]
         live = node < end
-        row, node, end, seed, word = row[live], node[live], end[live], seed[live], word[live]
-        step += 1
-    if not rows:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    r, n, e = np.concatenate(rows), np.concatenate(nodes), np.concatenate(edges)
-    o = np.argsort(r, kind="stable")
-    return r[o], n[o], e[o]
+    place = np.cumsum(count) - count
+    nodes, edges = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
+    for i, (row, node, e) in enumerate(steps):
+        nodes[place[row] + i] = node
+        edges[place[row] + i] = e
+    return count, nodes, edges
 
 
 class Search:
-    """One text's queue and samples. A path is three arrays: word, node, edge."""
+    """One text's queue and samples. A path is two arrays: node, edge."""
 
     def __init__(self, words: np.ndarray, seed: int):
         self.words, self.seed, self.queue, self.found, self.paths = words, seed, [], [], []
@@ -194,15 +244,10 @@ class Search:
 
 def branches(lat: Lattice, path: tuple, lo: int, hi: int, before: float) -> tuple[np.ndarray, np.ndarray]:
     """(place, log mass) of the sets that leave the path at places lo to hi; before: log-probability of the path up to lo."""
-    _, node, edge = path
-    node, edge = node[lo:hi], edge[lo:hi]
-    logq = lat.logp(node, edge)
-    ahead = before + np.cumsum(logq) - logq
-    at = np.flatnonzero(lat.many[node] > 1)
-    rest = 1.0 - lat.prob[node[at], edge[at]].astype(float)
-    ok = rest > 1e-7
-    at, rest = at[ok], rest[ok]
-    return at + lo, ahead[at] + np.log(rest)
+    edge = path[1][lo:hi]
+    logq, rest = lat.logp[edge], lat.log_rest[edge]
+    at = np.flatnonzero(rest > -np.inf)
+    return at + lo, (before + np.cumsum(logq) - logq + rest)[at]
 
 
 def truncated(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
@@ -210,22 +255,28 @@ def truncated(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
     return -np.logaddexp(-bound, np.log(-np.log(u)) - mass)
 
 
+def remaining(lat: Lattice, node: int, out: tuple[int, ...]) -> np.ndarray:
+    """Probabilities of a node's edges, 0 for those in out."""
+    span = lat.edges(node)
+    room = lat.chance[span].copy()
+    room[[e - span.start for e in out]] = 0
+    return room
+
+
 def split(lat: Lattice, s: Search, value: float, path: tuple, at: int, out: tuple[int, ...], sample: int, keep: int) -> None:
     """Cut what is left of a popped set along its drawn path: the same prefix without the edges in out, and each later branching.
 
     Branchings beyond the next NEAR places are one set, the tail, cut up only if it is popped."""
-    _, node, edge = path
+    node, edge = path
     me = len(s.paths)
     s.paths.append(path)
-    logq = lat.logp(node, edge)
+    logq = lat.logp[edge]
     total, before = float(logq.sum()), float(logq[:at].sum())
     s.found.append((total, value, me))
     hi = min(len(node), at + NEAR)
     place, mass = branches(lat, path, at, hi, before)
     if out and at < len(node):
-        room = lat.prob[node[at]].astype(float).copy()
-        room[[*out, int(edge[at])]] = 0
-        left = room.sum()
+        left = remaining(lat, int(node[at]), (*out, int(edge[at]))).sum()
         rest = place > at
         place, mass = place[rest], mass[rest]
         if left > 1e-7:
@@ -248,8 +299,8 @@ def pop(lat: Lattice, s: Search, sample: int, keep: int) -> tuple[float, int, in
         neg, _, p, at, out = heapq.heappop(s.queue)
         if out != TAIL:
             return -neg, p, at, out
-        _, node, edge = path = s.paths[p]
-        place, mass = branches(lat, path, at, len(node), float(lat.logp(node[:at], edge[:at]).sum()))
+        node, edge = path = s.paths[p]
+        place, mass = branches(lat, path, at, len(node), float(lat.logp[edge[:at]].sum()))
         if not len(place):
             continue
         u = uniform(np.full(len(place), s.seed, U), place, [sample * 65536 + 45_000])
@@ -268,11 +319,13 @@ def sample_texts(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int
     number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split_)))}
     words = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in split_]
     lat = Lattice(vocab, list(number))
+    begins = np.zeros(len(lat.code), bool)
+    begins[lat.start] = True
     seeds = mix(seeds.astype(U))
     all_ = [Search(w, int(x)) for w, x in zip(words, seeds.tolist())]
     for r in range(k):
         jobs = []  # (search, value, prefix length, prefix path, forced edges out)
-        node, end, seed, word, owner = [], [], [], [], []
+        node, end, seed, word, size = [], [], [], [], []
         for i, s in enumerate(all_):
             if r == 0:
                 u = uniform(np.array([s.seed], U), [1], [2])[0]
@@ -283,40 +336,35 @@ def sample_texts(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int
                 n = len(s.words)
             elif (top := pop(lat, s, r, k - r + 1)) is not None:
                 value, p, at, out = top
-                w, nd, _e = s.paths[p]
+                nd, _ = s.paths[p]
                 u = uniform(np.array([s.seed], U), [at], [r * 65536 + 50_000])[0]
-                room = lat.prob[nd[at]].astype(float).copy()
-                room[list(out)] = 0
+                room = remaining(lat, int(nd[at]), out)
                 c = np.cumsum(room)
-                e = int(np.searchsorted(c, u * c[-1], "right"))
-                e = min(e, LONGEST - 1)
+                e = min(int(np.searchsorted(c, u * c[-1], "right")), len(room) - 1)
                 if room[e] <= 0:
                     e = int(room.argmax())
+                e += lat.edges(int(nd[at])).start
                 jobs.append((s, value, p, at, (out, e)))
-                w0 = int(w[at])
-                node.append(np.concatenate([[nd[at] + e + 1], lat.start[s.words[w0 + 1 :]]]))
+                w0 = int(begins[nd[: at + 1]].sum()) - 1
+                node.append(np.concatenate([[nd[at] + lat.length[e]], lat.start[s.words[w0 + 1 :]]]))
                 end.append(lat.end[s.words[w0:]])
                 word.append(np.arange(w0, len(s.words)))
                 n = len(s.words) - w0
             else:
                 continue
             seed.append(np.full(n, s.seed, U))
-            owner.append(np.full(n, len(jobs) - 1))
+            size.append(n)
         if not jobs:
             break
-        word_, owner_ = np.concatenate(word), np.concatenate(owner)
-        row, nd, ed = complete(lat, np.concatenate(node), np.concatenate(end), np.concatenate(seed), word_, r)
-        of = owner_[row]
-        w_of = word_[row]
-        cut = np.searchsorted(of, np.arange(len(jobs) + 1))
+        count, nd, ed = complete(lat, np.concatenate(node), np.concatenate(end), np.concatenate(seed), np.concatenate(word), r)
+        cut = np.append(0, np.cumsum(count))[np.append(0, np.cumsum(size))]
         for j, (s, value, p, at, how) in enumerate(jobs):
-            sl = slice(cut[j], cut[j + 1])
-            path = (w_of[sl], nd[sl], ed[sl])
+            path = (nd[cut[j] : cut[j + 1]], ed[cut[j] : cut[j + 1]])
             out: tuple[int, ...] = ()
             if p is not None:
-                ow, on, oe = s.paths[p]
+                on, oe = s.paths[p]
                 out, e = how
-                path = tuple(np.concatenate([a[:at], [b], c]) for a, b, c in zip((ow, on, oe), (ow[at], on[at], e), path))
+                path = tuple(np.concatenate([a[:at], [b], c]) for a, b, c in zip((on, oe), (on[at], e), path))
             split(lat, s, value, path, at, out, r, k - r)
     result = []
     for s in all_:
@@ -324,14 +372,22 @@ def sample_texts(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int
         got = []
         for logp, value, p in s.found:
             inc = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(50.0, logp - limit))))
-            got.append((path_ids(lat, s.paths[p]), logp, value, inc))
+            got.append((edge_ids(lat, *s.paths[p]), logp, value, inc))
         result.append(got)
     return result
 
 
 def path_ids(lat: Lattice, path: tuple) -> np.ndarray:
-    _, node, edge = path
-    ids = lat.ids[node, edge].astype(np.int64)
+    """Piece ids of a path told by (words, nodes, lengths less one); the words aren't needed."""
+    _, node, longer = path
+    spans = [lat.edges(n) for n in node.tolist()]
+    edge = [x.start + int(np.searchsorted(lat.length[x], k + 1)) for x, k in zip(spans, longer.tolist())]
+    return edge_ids(lat, node, np.array(edge, np.int64))
+
+
+def edge_ids(lat: Lattice, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Piece ids of a path's edges; characters without a piece give their bytes'."""
+    ids = lat.ids[edge]
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids
