@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quern.sources import decoders
+from quern.sources import decoders, formats
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
@@ -207,13 +207,16 @@ DECODERS = {
     "pe": decoders.pe_sections,
     "gzip": decoders.gzip_content,
     "iso9660": decoders.iso9660_records,
+    "ole2": formats.compound_entries,
+    "cabinet": formats.cabinet_members,
+    "psd": formats.psd_header,
 }
 
 
 def sniffed(content: str = "content"):
     """First match wins; `opaque` without one. Cheap prefix tests on the JVM side."""
     c, out = F.col(content), None
-    for name, magic in (("png", "89504E470D0A1A0A"), ("zip", "504B0304"), ("midi", "4D546864"), ("ole2", "D0CF11E0A1B11AE1"), ("gzip", "1F8B"), ("pe", "4D5A"), ("ogg", "4F676753")):
+    for name, magic in (("png", "89504E470D0A1A0A"), ("zip", "504B0304"), ("midi", "4D546864"), ("ole2", "D0CF11E0A1B11AE1"), ("gzip", "1F8B"), ("pe", "4D5A"), ("ogg", "4F676753"), ("cabinet", "4D534346"), ("psd", "38425053")):
         test = F.substring(c, 1, len(magic) // 2) == F.unhex(F.lit(magic))
         out = F.when(test, name) if out is None else out.when(test, name)
     riff = F.substring(c, 1, 4) == F.unhex(F.lit("52494646"))
