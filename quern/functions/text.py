@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +16,28 @@ def _among(words: tuple[str, ...]):
     return lambda t: t.isin(*words)
 
 
-def language_scores(text: Column) -> dict[str, Column]:
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def language_scores(text: Column) -> Column:
+    """Stop words of each language in text, an array in the order of STOP_WORDS."""
     tokens = F.split(F.lower(text), r"[^a-zäöüßñáíóúéèêçà]+")
-    return {g: F.size(F.filter(tokens, _among(w))) for g, w in STOP_WORDS.items()}
+    return bound(tokens, lambda t: F.array(*[F.size(F.filter(t, _among(w))) for w in STOP_WORDS.values()]))
 
 
 def guessed_language(text: Column) -> Column:
     """Language of the highest score; `none` without a hit, `tie` between equals."""
-    s = language_scores(text)
-    top = F.greatest(*s.values())
-    ties = sum((F.when(c == top, 1).otherwise(0) for c in s.values()), F.lit(0))
-    best = F.coalesce(*[F.when(c == top, F.lit(g)) for g, c in s.items()])
-    return F.when(top == 0, "none").when(ties > 1, "tie").otherwise(best)
+
+    def guess(scores: Column) -> Column:
+        s = {g: scores[i] for i, g in enumerate(STOP_WORDS)}
+        top = F.greatest(*s.values())
+        ties = sum((F.when(c == top, 1).otherwise(0) for c in s.values()), F.lit(0))
+        best = F.coalesce(*[F.when(c == top, F.lit(g)) for g, c in s.items()])
+        return F.when(top == 0, "none").when(ties > 1, "tie").otherwise(best)
+
+    return bound(language_scores(text), guess)
 
 
 def high_letters(df: DataFrame, text: str, by: str) -> DataFrame:
