@@ -19,9 +19,10 @@ UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3
 
 def pattern_counts(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """Non-overlapping hits and texts hit per pattern, zeros kept. One scan: a column a pattern, unpivoted after the sums."""
-    n = {name: F.regexp_count(F.col(text), F.lit(p)) for name, p in patterns.items()}
-    cells = [F.struct(F.lit(name).alias("pattern"), F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("hits"), F.count_if(c > 0).alias("docs")) for name, c in n.items()]
-    return df.agg(F.array(*cells).alias("rows")).select(F.inline("rows"))
+    # counted below the aggregate, so that the sum and the texts hit share one match of the pattern
+    counted = df.select(*[F.regexp_count(F.col(text), F.lit(p)).alias(name) for name, p in patterns.items()])
+    cells = [F.struct(F.lit(name).alias("pattern"), F.coalesce(F.sum(name), F.lit(0)).cast("long").alias("hits"), F.count_if(F.col(name) > 0).alias("docs")) for name in patterns]
+    return counted.agg(F.array(*cells).alias("rows")).select(F.inline("rows"))
 
 
 def needle_counts(df: DataFrame, text: str, needles: dict[str, str]) -> DataFrame:
