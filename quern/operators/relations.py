@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.batches import stored
+
 
 def resolve(df: DataFrame, field: str, target: DataFrame, target_key: str) -> DataFrame:
     """References of a field, distinct values, resolved references and the residue.
@@ -72,13 +74,66 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
-def walks(edges: DataFrame, most: int = 32) -> DataFrame:
-    """From each root along nodes with exactly one successor, until none, several, or `most` steps: (root, last, steps)."""
+def walks(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """From each root along nodes with exactly one successor, until none, several or a node of the walk again: (root, last, steps).
+
+    With `most`, a walk also ends after so many steps."""
     only = edges.distinct().groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1").select("src", "dst")
-    at = roots(edges).select(F.col("node").alias("root"), F.col("node").alias("last"), F.lit(0).cast("long").alias("steps"))
-    for _ in range(most):
-        at = at.join(only, at["last"] == only["src"], "left").select("root", F.coalesce("dst", "last").alias("last"), (F.col("steps") + F.when(F.col("dst").isNotNull(), 1).otherwise(0)).alias("steps"))
-    return at
+    at = roots(edges).select(F.col("node").alias("root"))
+    if most is not None:
+        at = at.select("root", F.col("root").alias("last"), F.lit(0).cast("long").alias("steps"))
+        for _ in range(most):
+            at = at.join(only, at["last"] == only["src"], "left").select("root", F.coalesce("dst", "last").alias("last"), (F.col("steps") + F.when(F.col("dst").isNotNull(), 1).otherwise(0)).alias("steps"))
+        return at
+    only = stored(only.where("dst is not null"), "successors")
+    ends, turning = _ends(only)
+    out = at.join(ends, F.col("root") == F.col("src"), "left").select("root", F.coalesce("last", "root").alias("last"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"))
+    if not turning:
+        return out
+    ring = _rings(ends, only)
+    ends, _ = _ends(only.join(ring.select(F.col("entry").alias("src")), "src", "left_anti"))
+    out = at.join(ends, F.col("root") == F.col("src"), "left").select("root", F.coalesce("last", "root").alias("entry"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    return out.join(ring, "entry", "left").select("root", F.coalesce("before", "entry").alias("last"), (F.col("steps") + F.coalesce(F.col("length") - 1, F.lit(0))).cast("long").alias("steps"))
+
+
+def _doubled(at: DataFrame) -> DataFrame:
+    """Each row of at (src, last, steps) taken on by its last node's own row; `moved` if there is one."""
+    on = at.select(F.col("src").alias("last"), F.col("last").alias("far"), F.col("steps").alias("more"))
+    return stored(at.join(on, "last", "left").select("src", F.coalesce("far", "last").alias("last"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("far").isNotNull().alias("moved")), "walks")
+
+
+def _ends(only: DataFrame) -> tuple[DataFrame, int]:
+    """(src, last, steps, moved) by pointer doubling, and how many rows run into a cycle: those, and only those, still move.
+
+    While a row moves that has an end, one has its end a step beyond the last leap and stops next, so an unchanged count means that none is left."""
+    at, before = stored(only.select("src", F.col("dst").alias("last"), F.lit(1).cast("long").alias("steps")), "walks"), None
+    while True:
+        at = _doubled(at.select("src", "last", "steps"))
+        moved = at.where("moved").count()
+        if moved in (0, before):
+            return at, moved
+        before = moved
+
+
+def _rings(ends: DataFrame, only: DataFrame) -> DataFrame:
+    """(entry, before, length) of the nodes on cycles: before is the one whose successor is entry."""
+    at = ends.where("moved").select("src", "last", "steps")
+    while True:
+        # leaps over the longest tail end on cycles, whose successors are as many again
+        held = stored(at.select(F.col("last").alias("src")).distinct().join(only, "src"), "rings")
+        if held.select("dst").distinct().count() == held.count():
+            break
+        at = _doubled(at).select("src", "last", "steps")
+    near = stored(held.select("src", F.col("dst").alias("at"), F.least("src", "dst").alias("least")), "rings")
+    while True:
+        # the least node of ever longer stretches, until it is the cycle's
+        on = near.select(F.col("src").alias("at"), F.col("at").alias("far"), F.col("least").alias("other"))
+        step = stored(near.join(on, "at").select("src", F.col("far").alias("at"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("fell")), "rings")
+        near = step.select("src", "at", "least")
+        if not step.where("fell").limit(1).count():
+            break
+    size = near.groupBy("least").agg(F.count("*").alias("length"))
+    return stored(held.join(near.join(size, "least").select("src", "length"), "src").select(F.col("dst").alias("entry"), F.col("src").alias("before"), "length"), "rings")
 
 
 def ambiguous(df: DataFrame, name: str, home: str) -> DataFrame:

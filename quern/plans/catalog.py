@@ -410,6 +410,13 @@ def graph_walk(t):
     return relations.walks(_edges(t), most=8)
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT src, min(dst) AS dst FROM {EDGES} GROUP BY src HAVING count(*) = 1), r AS (SELECT DISTINCT src AS root FROM {EDGES} WHERE src NOT IN (SELECT dst FROM {EDGES} WHERE dst IS NOT NULL)),
+w(root, last, steps, seen) AS (SELECT root, root, 0::BIGINT, [root] FROM r UNION ALL SELECT root, dst, steps + 1, list_append(seen, dst) FROM w JOIN e ON last = src WHERE NOT list_contains(seen, dst))
+SELECT root, max_by(last, steps) AS last, max(steps) AS steps FROM w GROUP BY 1""")
+def graph_walk_whole(t):
+    return relations.walks(_edges(t))
+
+
 # text and structure
 
 TOKENS = "string_split_regex(lower(text), '[^a-zäöüßñáíóúéèêçà]+')"
