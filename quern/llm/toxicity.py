@@ -1,9 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Each word enters as a learned vector of the word (if frequent in the sample) beside the mean of learned vectors of its
-character trigrams. Every overlapping window of WINDOW words (step STRIDE, so that neighbours share a quarter; the last one padded) of the whole text is
-scored; a text's score is its highest window's, calibrated. Training is multiple-instance: of a toxic text the windows
-scored highest carry the label, of a clean text every window does.
+character trigrams. Every window of WINDOW words, from each word on, of the whole text is scored (a shorter text is one
+window); a text's score is its highest window's, calibrated. Training is multiple-instance, on the sample's windows at every
+LEARN_STRIDE words: of a toxic text the windows scored highest carry the label, of a clean text every window does.
 Defined results: null, empty or wordless text scores 0; equal texts score alike; with no or one-sided labels all score 0."""
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField
 from quern.llm.batches import add_columns, filter_rows, sample_ids, small_batches, span_hash, text_buffers, words_of
 
 WINDOW = 16
-STRIDE = 3 * WINDOW // 4
+STRIDE, LEARN_STRIDE = 1, 3 * WINDOW // 4
 THRESHOLD = 0.7
 #: Bounds of the training sample: texts a label, characters of a sampled text, windows taken of one text.
 PER_LABEL, MAX_CHARS, WINDOWS_A_TEXT = 1500, 10_000, 20
@@ -29,6 +29,8 @@ TRIGRAMS = 8192
 D, H, A = 8, 8, 8
 #: Bytes of text a step; its arrays stay in the cache.
 CHUNK = 256 << 10
+#: Windows scored at once.
+BLOCK = 1024
 
 #: Words are runs of ASCII letters and of bytes above 127.
 BREAK = np.ones(256, bool)
@@ -90,13 +92,13 @@ def rows_of(net: Network, h: np.ndarray) -> np.ndarray:
     return np.where(known, at + 1, 0)
 
 
-def windows(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, words, text) of every window: starts at each multiple of STRIDE, the last reaches the text's end."""
+def windows(doc: np.ndarray, n_docs: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, text) of every window: starts at each multiple of stride, the last reaches the text's end."""
     count = np.bincount(doc, minlength=n_docs)
     first = np.cumsum(count) - count
-    many = np.where(count > 0, np.maximum(1, -(-(count - WINDOW + STRIDE) // STRIDE)), 0)
+    many = np.where(count > 0, np.maximum(1, -(-(count - WINDOW + stride) // stride)), 0)
     of = np.repeat(np.arange(n_docs), many)
-    at = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
+    at = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * stride
     return first[of] + at, np.minimum(WINDOW, count[of] - at), of
 
 
@@ -223,7 +225,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 13,
     h, doc, tri, first, size = many_tokens(texts)
     if not len(h) or len(np.unique(labels[np.unique(doc)])) < 2:
         return None
-    w0, wn, of = windows(doc, len(texts))
+    w0, wn, of = windows(doc, len(texts), LEARN_STRIDE)
     order = rng.permutation(len(w0))
     order = order[np.argsort(of[order], kind="stable")]
     run = np.arange(len(order)) - np.searchsorted(of[order], of[order])
@@ -307,8 +309,8 @@ def raw(net: Network, col: pa.Array) -> np.ndarray:
     proj = net.p["wx"] @ np.concatenate([np.take(net.p["word"], rows, axis=0), means], 1).T
     proj += net.p["bx"][:, None]
     w0, wn, of = windows(doc, len(col))
-    for lo in range(0, len(w0), 512):
-        s = slice(lo, lo + 512)
+    for lo in range(0, len(w0), BLOCK):
+        s = slice(lo, lo + BLOCK)
         np.maximum.at(out, of[s], forward(net, proj, w0[s], wn[s]))
     return out
 

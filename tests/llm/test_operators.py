@@ -263,6 +263,21 @@ def test_windows_overlap_and_cover():
         assert all(b < a + toxicity.WINDOW for a, b in itertools.pairwise(first))
 
 
+def test_every_window_is_scored():
+    """A text's score is the highest of all its windows, and doesn't fall when words are put before it."""
+    net = toxicity.start(np.zeros(0, np.uint64), np.random.default_rng(5))
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n)) for n in (3, 16, 17, 40, 90, 15, 700)]
+    got = toxicity.raw(net, pa.array(texts))
+    for t, value in zip(texts, got):
+        w = t.split()
+        each = toxicity.raw(net, pa.array([" ".join(w[i : i + toxicity.WINDOW]) for i in range(max(1, len(w) - toxicity.WINDOW + 1))]))
+        assert value == pytest.approx(each.max(), abs=1e-4)
+    for k in range(1, toxicity.WINDOW):
+        more = toxicity.raw(net, pa.array([" ".join(["before"] * k) + " " + texts[4]]))[0]
+        assert more >= got[4] - 1e-4
+
+
 def test_network_gradient():
     net = toxicity.start(np.zeros(0, np.uint64), np.random.default_rng(1))
     proj = np.random.default_rng(2).standard_normal((6 * toxicity.H, 30)).astype(np.float32)
