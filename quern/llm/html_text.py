@@ -30,7 +30,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 PARENT = 0.5
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute, whole: name, and value if it has one.
+ATTR = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?""")
 PART = re.compile(r"[a-z]+")
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 
@@ -59,7 +60,7 @@ def step(tag: str, attrs: str) -> tuple[str, bool]:
                 out = True
             elif name == "role":
                 out = out or value.strip() in ROLES
-            else:
+            elif name in ("class", "id"):
                 out = out or any(w in BOILERPLATE for w in PART.findall(value))
                 if name == "class":
                     classes = sorted({"".join(PART.findall(w)) for w in value.split()} - {""})

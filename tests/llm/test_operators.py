@@ -212,6 +212,15 @@ def test_html_consensus(spark):
         assert got == Counter([(1, "One & two. Three four", 21), (2, "x", 1), (3, "", 0), (4, "", 0), (5, "just text", 9), (1, "again", 5)])
 
 
+def test_html_attributes_are_whole():
+    kept = ('style="overflow:hidden"', 'title="a hidden cost"', 'data-id="related"', 'data-role="banner"', "title='x class=ad'", "data-hidden", 'href="/hidden-gem" class=a', 'href=/a/class=ad', 'my-class="ad"', 'aria-hidden="false"', "/")
+    assert not [a for a in kept if html_text.step("div", " " + a)[1]]
+    left_out = ("hidden", 'HIDDEN=""', "class=ad", 'x class="a ad"', "id='related'", "role = banner", 'title="it is" aria-hidden=true', 'title="a"class="ad"', "/hidden")
+    assert [a for a in left_out if html_text.step("div", " " + a)[1]] == list(left_out)
+    assert html_text.step("div", ' data-class="no" CLASS="b2 a1 b3"')[0] == "div.a.b"
+    assert html_text.extract(html_text.parse('<body><div style="overflow: hidden"><p>All of it</p></div></body>'), None) == "All of it"
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "http://a/x y", "same\r\n\r\nWARC/1.0\r\n"), (2, None, "same\r\n\r\nWARC/1.0\r\n"), (9, "é", "other\n"), (4, "u", None), (5, "v", ""), (5, "v", ""), (None, "w", "same\r\n\r\nWARC/1.0\r\n")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
