@@ -1,6 +1,7 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text that stands in them outside links and boilerplate; Spark adds up, per host, the
+Each page's containers are scored by the text that stands in them outside links and boilerplate, where repeated containers,
+lists, tables and quotes, and all that is in an article count as text of what holds them; Spark adds up, per host, the
 shares that every generalised tag-class path won, and the page is extracted again from the containers at its host's winning
 path (its own best one where the path is absent).
 Defined results: null, empty or textless html gives ''; a null or odd url is the host ''; ties go to the path first in order;
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -25,6 +27,7 @@ RAW = frozenset("script style textarea xmp".split())
 BREAKS = HOLDERS | frozenset("p br hr h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption title summary option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus foot footer footnav header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar sidenav signup social sponsor sponsored subscribe toolbar widget".split())
+INNER = frozenset("ul ol dl details figure blockquote table tbody tr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Share of a block's text that its holder's parent is given too.
 PARENT = 0.5
@@ -146,10 +149,29 @@ def parse(html: str | None) -> Page:
     return page
 
 
+def homes(page: Page) -> list[int]:
+    """The container that each container's text counts for: its article, or the next one out that isn't INNER nor, with text, on the page more than once by its path."""
+    held = [False] * len(page.path)
+    for node, _, _ in page.blocks:
+        while node >= 0 and not held[node]:
+            held[node] = True
+            node = page.parent[node]
+    often = Counter(p for p, h in zip(page.path, held) if h)
+    out, article = [], []
+    for node, (path, up) in enumerate(zip(page.path, page.parent)):
+        tag = path[path.rfind("/") + 1 :].partition(".")[0]
+        within = up >= 0 and article[up]
+        article.append(within or tag == "article")
+        out.append(out[up] if up >= 0 and tag not in ("html", "body") and (within or tag in INNER or often[path] > 1) else node)
+    return out
+
+
 def scores(page: Page) -> dict[int, float]:
-    """Text of each container outside links; a block counts for its container and by PARENT for the next."""
+    """Text of each container outside links; a block counts for its container's home and by PARENT for the next."""
     out: dict[int, float] = {}
+    home = homes(page)
     for node, text, linked in page.blocks:
+        node = home[node]
         s = (len(text) - linked) * (1 - linked / len(text))
         out[node] = out.get(node, 0.0) + s
         up = page.parent[node]

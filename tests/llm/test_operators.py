@@ -212,6 +212,34 @@ def test_html_consensus(spark):
         assert got == Counter([(1, "One & two. Three four", 21), (2, "x", 1), (3, "", 0), (4, "", 0), (5, "just text", 9), (1, "again", 5)])
 
 
+def test_html_keeps_whole_articles(spark):
+    long = lambda w, n=90: " ".join([w] * n)
+    parts = {
+        "sections": (f"<h1>Head</h1><p>{long('intro', 20)}</p><section><p>{long('one')}</p></section><section><p>{long('two')}</p></section>", f"Head {long('intro', 20)} {long('one')} {long('two')}"),
+        "section": (f"<p>{long('intro', 20)}</p><section>{long('one')}</section>", f"{long('intro', 20)} {long('one')}"),
+        "list": (f"<p>first</p><ul><li>{long('a')}</li><li>{long('b')}</li></ul><p>last</p>", f"first {long('a')} {long('b')} last"),
+        "table": (f"<p>first</p><table><tbody><tr><td class=k>{long('a')}</td><td class=v>{long('b')}</td></tr><tr><td class=k>{long('c')}</td><td class=v>{long('d')}</td></tr></tbody></table>", f"first {long('a')} {long('b')} {long('c')} {long('d')}"),
+        "quote": (f"<p>first</p><blockquote><p>{long('a')}</p></blockquote>", f"first {long('a')}"),
+    }
+    rows, want = [], {}
+    for holder, deep in (("article", ""), ("div class=story", '<div class="box">'), ("main", "")):
+        for kind, (body, text) in parts.items():
+            if kind == "section" and holder != "article":
+                continue
+            i, tag = len(rows), holder.split()[0]
+            rows.append((i, f"http://h{i}.x/", f"<html><body><nav>Menu</nav>{deep}<{holder}>{body}</{tag}>{deep and '</div>'}<div class=ad>Buy</div><footer>me</footer></body></html>"))
+            want[i] = text
+    few = f"<html><body><div class=story><p>{long('plain')}</p><section>small</section></div></body></html>"
+    many = "<html><body><div class=story><p>in</p>" + "".join(f"<section>{long(w)}</section>" for w in "abcd") + "</div></body></html>"
+    for html, text in ((few, f"{long('plain')} small"), (many, " ".join(["in", *map(long, "abcd")])), (many, " ".join(["in", *map(long, "abcd")]))):
+        want[len(rows)] = text
+        rows.append((len(rows), "http://same.host/", html))
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    cells = f"<body><table><tr><td class=left>aside</td><td class=content><p>{long('main')}</p></td></tr></table></body>"
+    assert html_text.extract(html_text.parse(cells), None) == long("main")
+
+
 def test_html_attributes_are_whole():
     kept = ('style="overflow:hidden"', 'title="a hidden cost"', 'data-id="related"', 'data-role="banner"', "title='x class=ad'", "data-hidden", 'href="/hidden-gem" class=a', 'href=/a/class=ad', 'my-class="ad"', 'aria-hidden="false"', "/")
     assert not [a for a in kept if html_text.step("div", " " + a)[1]]
