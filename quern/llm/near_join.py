@@ -10,7 +10,8 @@
    spanning edges, never as all pairs; components of the verified edges are the result's classes.
 
 Defined results: null text counts as empty; texts without a word are copies of each other; repeated rows are copies; a null
-key is a key of its own; extra columns are not read; an empty table gives an empty result."""
+key is less than any other; rows that share a key, null or not, are joined each by its own text; extra columns are not read; an
+empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -86,8 +87,8 @@ def signatures(s: np.ndarray, d: np.ndarray, n: int, size: int) -> np.ndarray:
     return out
 
 
-def _classes(docs: DataFrame, key: str, text: str, width: int, banding: Banding) -> DataFrame:
-    rows = small_batches(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.col(text).alias("text")))
+def _classes(rows: DataFrame, width: int, banding: Banding) -> DataFrame:
+    rows = small_batches(rows.select("id", "text"))
 
     def run(batches):
         for b in batches:
@@ -306,14 +307,41 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "id long, links long, root long, alone boolean")
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, sub_bucket: int = SUB_BUCKET, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def _key(key: str):
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
+
+
+def _row(key: str, text: str):
+    """Identity of a row where keys repeat: rows with one key and one text share it, others don't."""
+    return F.xxhash64(_key(key), F.coalesce(F.col(text), F.lit("")))
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row a document: doc_id, class_id (least key of its linked group), copy_of (least key with the same n-grams), n_links.
 
-    n_links counts the other documents, copies included, whose Jaccard similarity is at or over the threshold."""
+    n_links counts the other documents, copies included, whose Jaccard similarity is at or over the threshold. Options as of _near."""
+    back = lambda c: F.when(F.col(c) != NO_KEY, F.col(c))
+    if not _repeats(docs, key):
+        got = _near(docs.select(_key(key).alias("id"), F.col(text).alias("text")), False, **options)
+        return got.select(back("id").alias("doc_id"), back("class").alias("class_id"), back("copy").alias("copy_of"), "n_links")
+    got, names = _by_row(docs, key, text, **options)
+    each = got.select("id", "class", "copy").distinct().join(names, "id")
+    got = got.join(names, "id").join(each.groupBy("class").agg(F.min("key").alias("class_id")), "class").join(each.groupBy("copy").agg(F.min("key").alias("copy_of")), "copy")
+    return got.select(back("key").alias("doc_id"), back("class_id").alias("class_id"), back("copy_of").alias("copy_of"), "n_links")
+
+
+def _by_row(docs: DataFrame, key: str, text: str, **options) -> tuple[DataFrame, DataFrame]:
+    """_near's result on row identities, and the key of each identity."""
+    got = _near(docs.select(_row(key, text).alias("id"), F.col(text).alias("text")), True, **options)
+    return stored(got, "near-rows"), docs.select(_row(key, text).alias("id"), _key(key).alias("key")).distinct()
+
+
+def _near(docs: DataFrame, repeats: bool, width: int = 5, threshold: float = 0.8, recall: float = 0.9999, sub_bucket: int = SUB_BUCKET, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """(id, class, copy, n_links) of every row of docs (id, text): least id of its linked group, and of those with the same n-grams. repeats: ids may, with equal texts."""
     spark = docs.sparkSession
     banding = choose_bands(threshold, recall)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    all_ = stored(_classes(docs, key, text, width, banding), "near-classes")
+    all_ = stored(_classes(docs, width, banding), "near-classes")
     groups = all_.groupBy("set1", "set2", "grams").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     groups = stored(groups, "near-groups")
     reps = all_.join(groups.where("grams > 0").select(F.col("rep").alias("id"), "set1", "set2", "grams", "copies"), ["id", "set1", "set2", "grams"]).dropDuplicates(["id"])
@@ -341,12 +369,12 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
                 raw = [s[first_[i] : first_[i + 1]].astype("<u8").tobytes() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("id", "label", "copies", "blocks", "block")] + [pa.array(raw, pa.binary())], ["id", "label", "copies", "blocks", "block", "sets"])
 
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
     full = small_batches(texts.join(comp.select("id", "label", "copies", "blocks", "block"), "id")).mapInArrow(to_sets, "id long, label long, copies long, blocks long, block long, sets binary")
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     full = full.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     full = full.select(F.xxhash64("label", "low", "high").alias("task"), F.when((F.col("block") == F.col("high")) & (F.col("low") != F.col("high")), 1).otherwise(0).alias("side"), "id", "copies", "sets", (F.col("blocks") == 1).alias("alone"))
-    full = full.dropDuplicates(["task", "side", "id"]) if _repeats(docs, key) else full
+    full = full.dropDuplicates(["task", "side", "id"]) if repeats else full
     got = stored(_verify(full.repartition(parts, "task").sortWithinPartitions("task"), threshold), "near-links")
     links = got.groupBy("id").agg(F.sum("links").alias("links"))
     spread = got.where("not alone").select(F.col("id").alias("a"), F.col("root").alias("b"))
@@ -355,17 +383,19 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
         roots = roots.unionByName(connected(spread))
     result = links.join(roots, "id").select(F.col("id").alias("rep"), F.col("links"), F.col("label").alias("root"))
     out = all_.select("id", "set1", "set2", "grams").join(groups, ["set1", "set2", "grams"]).join(result, "rep", "left")
-    back = lambda c: F.when(c != NO_KEY, c)
-    return out.select(back(F.col("id")).alias("doc_id"), back(F.coalesce("root", "rep")).alias("class_id"), back(F.col("rep")).alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return out.select("id", F.coalesce("root", "rep").alias("class"), F.col("rep").alias("copy"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
 
 def _repeats(docs: DataFrame, key: str) -> bool:
-    r = docs.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))).alias("d")).first()
+    r = docs.agg(F.count("*").alias("n"), F.count_distinct(_key(key)).alias("d")).first()
     return r.n != r.d
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without all but the least-keyed document of each linked group; same columns. Of rows that repeat a key one stays."""
-    kept = near_classes(docs, key, text, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
-    return out.dropDuplicates([key]) if _repeats(docs, key) else out
+    """docs without all but one document, the least-keyed, of each linked group; same columns. Rows that only share a key all stay."""
+    if not _repeats(docs, key):
+        kept = _near(docs.select(_key(key).alias("id"), F.col(text).alias("text")), False, **options).where(F.col("id") == F.col("class")).select(F.col("id").alias("_kept"))
+        return docs.join(kept, _key(key) == kept["_kept"], "left_semi")
+    got, names = _by_row(docs, key, text, **options)
+    kept = got.select("id", "class").distinct().join(names, "id").groupBy("class").agg(F.min(F.struct("key", "id")).alias("least")).select(F.col("least.id").alias("_row"))
+    return docs.withColumn("_row", _row(key, text)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -130,6 +130,26 @@ def test_near_join_is_brute_force(spark, small):
     assert near_join.near_classes(docs(spark, texts).where("false")).count() == 0
 
 
+def test_rows_that_share_a_key_are_joined_by_their_texts(spark):
+    r = random.Random(8)
+    new = lambda n=60: " ".join(r.choices(["v%d" % k for k in range(300)], k=n))
+    a, b, c, d, e, f = (new() for _ in range(6))
+    texts = [a, b, c, d, a + " tail", e, e, f, "", None, b, "x " + c]
+    keys = [None, None, None, 7, 7, 7, 7, 7, 8, None, 9, 3]
+    link, root = brute_links(texts)
+    least = lambda of: min((keys[i] for i in of), key=lambda k: -1 if k is None else k)
+    link[8] = link[9] = set()
+    root[9] = root[8]
+    group = {i: [j for j in range(len(texts)) if root[j] == root[i]] for i in range(len(texts))}
+    frame = docs(spark, texts, list(range(100, 112))).withColumn("doc_id", F.element_at(F.array(*[F.lit(k).cast("long") for k in keys]), (F.col("doc_id") - 99).cast("int")))
+    got = Counter((x.doc_id, x.class_id, x.n_links) for x in near_join.near_classes(frame).collect())
+    assert got == Counter((keys[i], least(group[i]), len(link[i]) if i not in (8, 9) else 1) for i in range(len(texts)))
+    kept = near_join.keep_one(frame)
+    assert kept.columns == frame.columns
+    want = Counter((least(g), root[g[0]]) for g in {tuple(g) for g in group.values()})
+    assert Counter((x.doc_id, next(root[i] for i, t in enumerate(texts) if (t or "") == (x.text or ""))) for x in kept.collect()) == want
+
+
 def test_bands_reach_recall():
     b = near_join.choose_bands(0.8)
     assert 1 - (1 - 0.8**b.rows) ** b.bands >= 0.9999 and b.size <= 128
