@@ -60,7 +60,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.extract(docs, pii.collect_patterns(pii.learn(docs))).drop("text")
+    return pii.extract(docs, pii.learn(docs)).drop("text")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
