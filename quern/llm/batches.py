@@ -159,7 +159,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, the same wherever the span stands."""
+    """64-bit hash of each byte span, the same wherever the span stands. Spans ascend; long data is read in chunks of whole spans."""
+    if len(data) > 2 * CHUNK_BYTES and len(starts) > 1:
+        out, lo = np.empty(len(starts), U), 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK_BYTES, "right")))
+            a, b = int(starts[lo]), int(ends[hi - 1])
+            out[lo:hi] = _span_hash(data[a:b], starts[lo:hi] - a, ends[lo:hi] - a)
+            lo = hi
+        return out
+    return _span_hash(data, starts, ends)
+
+
+def _span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(len(data))
     c = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=c[1:])

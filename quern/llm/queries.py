@@ -32,7 +32,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_quality.repetition_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_maximal_spans", "longest_repeat", "repeat_fraction")
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words")
 
 
 def op3_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,38 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
+OP2_SQL = """
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents
+), f AS (
+  SELECT doc_id, any_value(n) AS n, unnest(range(0, any_value(n))) AS p FROM (SELECT doc_id, len(ws) AS n FROM w WHERE len(ws) > 0) GROUP BY doc_id
+), g5 AS (
+  SELECT doc_id, p, ws[p + 1:p + 5] AS g FROM f JOIN w USING (doc_id) WHERE p + 5 <= n
+), g4 AS (
+  SELECT doc_id, p, ws[p + 1:p + 4] AS g FROM f JOIN w USING (doc_id) WHERE p + 4 <= n
+), g51 AS (
+  SELECT doc_id, md5(array_to_string(ws[p + 1:p + 51], ' ')) AS g FROM f JOIN w USING (doc_id) WHERE p + 51 <= n
+), r5 AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g5) WHERE c > 1) GROUP BY doc_id
+), r4 AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 4)) AS q FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g4) WHERE c > 1) GROUP BY doc_id
+), long AS (
+  SELECT DISTINCT doc_id FROM (SELECT doc_id FROM g51 GROUP BY doc_id, g HAVING count(*) > 1)
+), l AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w
+), d AS (
+  SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM l WHERE regexp_matches(line, '[^ \\t-\\r]') GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(d.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(r5.n, 0)::BIGINT AS n_repeat_words, coalesce(r4.n, 0)::BIGINT AS n_covered_words, long.doc_id IS NOT NULL AS too_long
+  FROM w LEFT JOIN d USING (doc_id) LEFT JOIN r5 USING (doc_id) LEFT JOIN r4 USING (doc_id) LEFT JOIN long USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_covered_words <= 0.3 * n_words AND NOT too_long AS kept, n_covered_words
+FROM m
+"""
+
 OP9_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents
@@ -132,4 +164,4 @@ FROM s JOIN k ON s.g = k.g JOIN comp ON comp.a = k.rep LEFT JOIN n ON n.a = k.re
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_arc_to_warc": OP4_SQL, "op9_ngram_join": OP9_SQL}
+    return {"op2_quality_suffix_array": OP2_SQL, "op4_arc_to_warc": OP4_SQL, "op9_ngram_join": OP9_SQL}

@@ -63,15 +63,46 @@ def brute_quality(t, rules):
             seen.add(line)
     five, longest = cover(5), max([0, *(r for r in rep if r >= rules.min_words)])
     failed = n < 10 or 100 * five > 20 * n
-    return [n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), dup, five, failed, not failed and cover(rules.min_words) <= rules.max_fraction * n and longest <= rules.max_longest, longest]
-
-
-@pytest.mark.parametrize("rules", [suffix_quality.RepetitionRules(), suffix_quality.RepetitionRules(3, 0.1, 6)])
+    # maximal repeats: sequences at several places that neither side could lengthen at all of them
+    many = {}
+    for k in range(rules.min_words, longest + 1):
+        for i in range(n - k + 1):
+            many.setdefault(tuple(w[i : i + k]), []).append(i)
+    side = lambda places, d: len({w[p + d] if 0 <= p + d < n else -p for p in places})
+    maximal = sum(len(v) > 1 and side(v, -1) > 1 and side(v, len(g)) > 1 for g, v in many.items())
+    covered = cover(rules.min_words)
+    return [n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), dup, five, failed, not failed and covered <= rules.max_fraction * n and longest <= rules.max_longest, covered, maximal, longest]
+
+
+@pytest.mark.parametrize("rules", [suffix_quality.RepetitionRules(), suffix_quality.RepetitionRules(3, 0.1, 6), suffix_quality.RepetitionRules(7, 0.2, 9)])
 def test_quality_is_brute_force(rules):
     texts = [t for t in TEXTS if len(words(t)) <= 250]
     got = [np.asarray(c) for c in suffix_quality.measure(pa.array(texts), rules)]
     for i, t in enumerate(texts):
-        assert [got[j][i] for j in (0, 1, 2, 3, 4, 5, 6, 8)] == brute_quality(t, rules), t
+        assert [got[j][i] for j in range(10)] == brute_quality(t, rules), t
+
+
+def test_quality_verdict_is_the_methods():
+    """Texts that the base rule keeps: four-word phrases all over, and one long passage twice in a long text."""
+    r = random.Random(11)
+    new = lambda n: ["u%d" % r.randrange(10**6) for _ in range(n)]
+    phrases = [w for _ in range(40) for w in [*"click here to buy".split(), *new(4)]]
+    passage = new(60)
+    long = new(700) + passage + new(700) + passage
+    got = [np.asarray(c) for c in suffix_quality.measure(pa.array([" ".join(t) for t in (phrases, long, new(500))]), suffix_quality.RepetitionRules())]
+    assert got[5].tolist() == [False] * 3 and got[6].tolist() == [False, False, True]
+    assert got[7].tolist() == [160, 120, 0] and got[9].tolist() == [4, 60, 0]
+
+
+def test_quality_of_a_long_text_of_one_word():
+    import tracemalloc
+
+    text = pa.array(["a " * 500_000])
+    tracemalloc.start()
+    got = suffix_quality.measure(text, suffix_quality.RepetitionRules())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0][0] == got[4][0] == 500_000 and got[9][0] == 499_999 and peak < 120e6
 
 
 def test_quality_passes_columns(spark):
@@ -79,6 +110,7 @@ def test_quality_passes_columns(spark):
     assert suffix_quality.keep_quality(d).columns == d.columns
     assert suffix_quality.repetition_quality(d).where("kept").count() == suffix_quality.keep_quality(d).count()
     assert suffix_quality.keep_quality(d.where("false")).count() == 0
+    assert suffix_quality.repetition_quality(d.union(d)).where("kept").count() == 2 * suffix_quality.keep_quality(d).count()
 
 
 def test_fingerprints(spark):
