@@ -5,7 +5,10 @@ lengths (one count a length, so its size is the sequence length, not the data's)
 single, pair and triple sums of available lengths names what fills its gap exactly, used as often as the counts allow; what
 can't be completed goes best-fit, longest first, into the fullest open sequence that holds it. Pieces then take the places of
 the plan by their rank in their length, ranked in salted groups, so no length gathers in one task.
-Defined results: null or empty text is the end token alone; repeated rows are packed each on its own; an empty table packs to none."""
+Full pieces need no plan and no rank: each is a sequence of its own, with a negative number.
+Defined results: null or empty text is the end token alone; the vocabulary's special entry in a text is its id, as `tokenizers` reads
+it; repeated rows, with equal or null keys too, are packed each on its own; texts of any length are tokenised whole; extra columns
+are not read, whatever their names; an empty table packs to none."""
 
 from __future__ import annotations
 
@@ -29,6 +32,7 @@ CAPACITY, END, SPECIAL = 1024, 2, "<|endoftext|>"
 class Tokens:
     """Token bytes (little-endian unsigned 32-bit ids) of a text, from the vocabulary of a byte-level BPE file.
 
+    The special entry is one token wherever it stands; the text between is split and merged on its own.
     The published split pattern looks ahead only to cut runs of white space; a text without such a run takes the same
     pattern without the look-ahead, which is faster and splits alike."""
 
@@ -39,15 +43,23 @@ class Tokens:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab = file["model"]["vocab"]
+        special = {t["content"]: t["id"] for t in file.get("added_tokens", [])} | vocab
         chars = _byte_chars()
         ranks = {bytes(chars[c] for c in w): i for w, i in vocab.items() if w != SPECIAL}
+        self._special = np.array([special[SPECIAL]], "<u4").tobytes() if SPECIAL in special else b""
         make = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._full = make("full", public_tokenizers.PATTERN)
         self._plain = make("plain", public_tokenizers.PATTERN.replace(r"|\s+(?!\S)|\s+", r"|\s"))
         self._run = re.compile(r"\s\s")
 
     def encode(self, text: str) -> bytes:
+        if self._special and SPECIAL in text:
+            return self._special.join(map(self._encode, text.split(SPECIAL)))
+        return self._encode(text)
+
+    def _encode(self, text: str) -> bytes:
         enc = self._full if self._run.search(text) else self._plain
         return array("I", enc.encode_ordinary(text)).tobytes()
 
@@ -194,31 +206,43 @@ def slots(packing: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 4
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, salts: int = 64) -> DataFrame:
-    """Every piece with its place. Texts are tokenised once; then only five integers a piece move."""
+#: Pieces of one length that are ranked together; a length with more is dealt to groups by a salt, to at least SPREAD if it has a few hundred a group.
+GROUP, SPREAD = 100_000, 64
+
+
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, group: int = GROUP) -> DataFrame:
+    """Every piece with its place. Texts are tokenised once; then only five integers a piece move, and none of a full piece.
+
+    On the driver are the counts by length (at most `capacity` rows) and those by length and salt (a row a `group` of pieces beyond capacity * SPREAD)."""
     spark = docs.sparkSession
-    own = stored(pieces(docs, path, key, text, capacity, end), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    tally = own.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counted = tally.collect()  # at most capacity * salts rows, whatever the data
-    histogram: dict[int, int] = {}
-    before = []
-    for r in sorted(counted, key=lambda r: (r.length, r.salt)):
-        before.append((r.length, r.salt, histogram.get(r.length, 0)))
-        histogram[r.length] = histogram.get(r.length, 0) + r.n
-    table = spark.sparkContext.broadcast((slots(plan(histogram, capacity)), {(n, s): b for n, s, b in before}, capacity))
+    own = stored(pieces(docs, path, key, text, capacity, end), "pieces")
+    full, rest = own.where(F.col("length") == capacity), own.where(F.col("length") < capacity)
+    histogram = {r.length: r.n for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = [1] * capacity
+    for n, count in histogram.items():
+        salts[n] = max(-(-count // group), min(SPREAD, count // 256), 1)
+    many = F.array(*map(F.lit, salts))[F.col("length").cast("int")]
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), many).cast("int"))
+    before, at = {}, {}
+    if max(salts) > 1:
+        for r in sorted(rest.groupBy("length", "salt").agg(F.count("*").alias("n")).collect(), key=lambda r: (r.length, r.salt)):
+            before[r.length, r.salt] = at.get(r.length, 0)
+            at[r.length] = at.get(r.length, 0) + r.n
+    table = spark.sparkContext.broadcast((slots(plan(histogram, capacity)), before))
     w = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = own.withColumn("rank", F.row_number().over(w).cast("long") - 1)
+    ranked = rest.withColumn("rank", F.row_number().over(w).cast("long") - 1)
     out = StructType([*PIECES.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def run(batches):
-        (length, first, sequence, at), start, _ = table.value
+        (length, first, sequence, at), start = table.value
         key_of = length * (1 << 42) + first
         for b in batches:
             n, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            salt = b.column("salt").to_numpy()
-            rank = rank + np.array([start[x] for x in zip(n.tolist(), salt.tolist())], np.int64)
+            if start:
+                rank = rank + np.array([start[x] for x in zip(n.tolist(), b.column("salt").to_numpy().tolist())], np.int64)
             i = np.searchsorted(key_of, n * (1 << 42) + rank, "right") - 1
             cols = [b.column(c) for c in PIECES.names] + [pa.array(sequence[i] + rank - first[i]), pa.array(at[i])]
             yield pa.RecordBatch.from_arrays(cols, out.names)
 
-    return ranked.mapInArrow(run, out)
+    alone = full.select(*PIECES.names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(run, out).unionByName(alone)

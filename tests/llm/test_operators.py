@@ -187,13 +187,14 @@ def test_bands_reach_recall():
     assert 1 - (1 - 0.8**b.rows) ** b.bands >= 0.9999 and b.size <= 128
 
 
-def test_packing(spark):
-    texts = TEXTS + [" ".join(rng.choices(WORDS, k=3000)), "hello  world \n x"]
-    got = packing.pack(docs(spark, texts), tokenizer("byte_bpe_50k.json"), capacity=64).collect()
+@pytest.mark.parametrize("group", [7, 100_000])
+def test_packing(spark, group):
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "\n\n ", "word", "é", "don't", "x9", "<", "\t"]
+    texts = TEXTS + [" ".join(rng.choices(WORDS, k=3000)), "hello  world \n x", "a <|endoftext|> b"] + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(200)]
+    got = packing.pack(docs(spark, texts).withColumn("length", F.lit("mine")), tokenizer("byte_bpe_50k.json"), capacity=64, group=group).collect()
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     import zlib
 
     by = {}
@@ -204,6 +205,7 @@ def test_packing(spark):
         parts = sorted(by[i], key=lambda r: r.piece)
         assert [(r.start, r.length) for r in parts] == packing.cut(len(ids), 64) and sum(r.length for r in parts) == len(ids)
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in parts)
+    assert {(r.start, r.length) for r in by[len(TEXTS)]} > {(r.start, 64) for r in by[len(TEXTS)] if r.piece}
     seq = {}
     for r in got:
         seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -213,7 +215,11 @@ def test_packing(spark):
             assert o == at
             at += n
         assert at <= 64
+    assert len(got) == len({(r.doc_id, r.piece) for r in got}) and len(seq) <= -(-sum(r.length for r in got) // 64) * 1.1
     assert packing.pack(docs(spark, TEXTS).where("false"), tokenizer("byte_bpe_50k.json")).count() == 0
+    twice = docs(spark, ["one two three"] * 3 + [None], [None, None, 5, 5])
+    again = packing.pack(twice, tokenizer("byte_bpe_50k.json"), group=1).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in again) == [(0, 4), (0, 4), (5, 1), (5, 4)] and len({(r.sequence_id, r.offset) for r in again}) == 4
 
 
 @pytest.mark.parametrize("seed", range(6))
