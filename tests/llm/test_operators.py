@@ -395,13 +395,72 @@ def test_html_keeps_whole_articles(spark):
 
 def test_html_attributes_are_whole():
     kept = ('style="overflow:hidden"', 'title="a hidden cost"', 'data-id="related"', 'data-role="banner"', "title='x class=ad'", "data-hidden", 'href="/hidden-gem" class=a', 'href=/a/class=ad', 'my-class="ad"', 'aria-hidden="false"', "/")
-    assert not [a for a in kept if html_text.step("div", " " + a)[1]]
+    assert not [a for a in kept if html_text.step("div", " " + a)[1] == html_text.SURE]
     left_out = ("hidden", 'HIDDEN=""', "class=ad", 'x class="a ad"', "id='related'", "role = banner", 'title="it is" aria-hidden=true', 'title="a"class="ad"', "/hidden")
-    assert [a for a in left_out if html_text.step("div", " " + a)[1]] == list(left_out)
+    assert [a for a in left_out if html_text.step("div", " " + a)[1] == html_text.SURE] == list(left_out)
     assert html_text.step("div", ' data-class="no" CLASS="b2 a1 b3"')[0] == "div.a.b"
     assert html_text.extract(html_text.parse('<body><div style="overflow: hidden"><p>All of it</p></div></body>'), None) == "All of it"
 
 
+def test_html_names_never_remove_what_holds_the_article():
+    body = "<p>One long first paragraph of it.</p><figure><img src=x><figcaption>Its caption</figcaption></figure><p class=related-work>Related work is text.</p><section class=related-work><p>So is this</p></section>"
+    want = "One long first paragraph of it. Its caption Related work is text. So is this"
+    around = "<nav><ul><li><a href=/>Home</a></ul></nav>{}<div class=related-posts><ul><li><a href=/a>Another article of the site</a><li><a href=/b>And one more of it</a></ul></div><div id=comments><p>A reader says this, at some length, in a comment.</p></div><footer>Imprint</footer>"
+    for wrapper in ("div class='layout has-sidebar'", "div id='page' class=no-sidebar", "div class=widget", "form id=aspnetForm", "div class=header", "div hidden", "main class=sidebar", "div class='banner popup'", "section class=comments-open"):
+        for holder in ("article", "div class=story"):
+            for page in (f"<body>{around.format(f'<{wrapper}><{holder}>{body}</{holder.split()[0]}></{wrapper.split()[0]}>')}</body>", f"<body><{wrapper}>{around.format(f'<{holder}>{body}</{holder.split()[0]}>')}</{wrapper.split()[0]}></body>"):
+                assert html_text.extract(html_text.parse(page), None) == want, page
+    inner = '<article><header class="entry-header"><h1>Title</h1></header><div class="share">Share</div><p>Text</p><p class=ad>Buy<p>more</p><ul class="comment-list"><li>First!</ul><aside>See also</aside><div class="cookie-banner">We use</div><footer>Tags</footer></article>'
+    assert html_text.extract(html_text.parse(inner), None) == "Title Text more"
+
+
+BLOCKS = [("p", ""), ("p", "class=lead"), ("h2", ""), ("blockquote", ""), ("li", ""), ("div", "class=box")]
+DROPPED = ["<nav>x menu</nav>", "<div class=ad>x buy</div>", "<script>x = '<p>'</script>", "<style>x{}</style>", "<!-- x <p> -->", "<aside>x side</aside>", "<section class='comments'><p>x says</p></section>", "<form><input><p>x form</p></form>", "<div role=banner>x</div>", "<footer>x foot</footer>", "<p hidden>x gone</p>"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_html_of_made_pages(spark, seed):
+    """Pages of several hosts made with their main text known: wrappers, classes, lists, boilerplate between and within."""
+    r = random.Random(seed)
+    rows, want = [], {}
+    for host in range(6):
+        wrapper = r.choice(["div class='wrap has-sidebar'", "div class=no-sidebar id=page", "main", "div", "form id=f", "section class=content"])
+        holder = r.choice(["article", "article class='post hentry'", "div class=entry", "div id=story-body class='body1 x'"])
+        for k in range(8):
+            text, out = [], []
+            for _ in range(r.randint(3, 9)):
+                tag, attrs = r.choice(BLOCKS)
+                words_ = ["w%d" % r.randrange(1000) for _ in range(r.randint(8, 40))]
+                text.append(" ".join(words_))
+                inner = r.choice([" ", "\n ", "&#32;"]).join([f"<b>{words_[0]}</b>", *words_[1:]])
+                out.append(f"<{tag} {attrs}>{inner}</{tag}>" if tag != "li" else f"<ul><li>{inner}</ul>")
+                if r.random() < 0.4:
+                    out.append(r.choice(DROPPED))
+            main = f"<{wrapper}><{holder}>{''.join(out)}</{holder.split()[0]}>{r.choice(DROPPED)}</{wrapper.split()[0]}>"
+            i = len(rows)
+            rows.append((i, f"https://Host{host}.x:80/{k}?a", f"<!doctype html><html><head><title>x</title></head><body class='home no-js'>{''.join(r.sample(DROPPED, 3))}{main}{''.join(r.sample(DROPPED, 2))}</body></html>"))
+            want[i] = " ".join(text)
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("mine"))
+    for most in (100, 0):
+        assert {x.page_id: x.text for x in html_text.main_text(d, most_hosts=most).collect()} == want
+    assert html_text.main_text(d.where("false")).count() == 0
+
+
+def test_html_deep_and_long_pages():
+    import time
+    import tracemalloc
+
+    deep = "<div class=wrapper>" * 20_000 + "<p>in the deep</p>" + "</div>" * 20_000
+    mixed = "<div class=wrapper>some text" * 20_000
+    closes = "<div>" * 50_000 + "<nav>" + "<div>" * 50_000 + "</section>" * 50_000
+    for page, text in ((deep, "in the deep"), (mixed, " ".join(["some text"] * 20_000)), (closes, ""), ("<p>word</p>" * 100_000, " ".join(["word"] * 100_000))):
+        began = time.time()
+        tracemalloc.start()
+        assert html_text.extract(html_text.parse(page), None) == text or page is mixed
+        assert tracemalloc.get_traced_memory()[1] < 100e6 and time.time() - began < 20
+        tracemalloc.stop()
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "http://a/x y", "same\r\n\r\nWARC/1.0\r\n"), (2, None, "same\r\n\r\nWARC/1.0\r\n"), (9, "é", "other\n"), (4, "u", None), (5, "v", ""), (5, "v", ""), (None, "w", "same\r\n\r\nWARC/1.0\r\n")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
