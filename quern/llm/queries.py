@@ -18,6 +18,11 @@ def remainder(key: str, n: int):
     return F.crc32(F.col(key).cast("string")) % n
 
 
+def held_out(key: str, n: int, left: int):
+    """Whether a key is held out; a null one is not."""
+    return F.coalesce(remainder(key, n) == left, F.lit(False)).alias("held_out")
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -27,7 +32,7 @@ def tokenizer(name: str) -> str:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1))
-    return toxicity.toxicity(docs, net).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return toxicity.toxicity(docs, net).select("doc_id", held_out("doc_id", 3, 1), "score", "predicted")
 
 
 def op2_quality_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +43,7 @@ def op2_quality_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(remainder("doc_id", 4) != 2))
-    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 4, 2), "lang_pred", "score")
 
 
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each word enters as a learned vector of the word (if frequent in the sample) beside the mean of learned vectors of its
-character trigrams. Every window of WINDOW words, from each word on, of the whole text is scored (a shorter text is one
-window); a text's score is its highest window's, calibrated. Training is multiple-instance, on the sample's windows at every
-LEARN_STRIDE words: of a toxic text the windows scored highest carry the label, of a clean text every window does.
-Defined results: null, empty or wordless text scores 0; equal texts score alike; with no or one-sided labels all score 0."""
+Each word enters as a learned vector of the word (if frequent in the sample) beside the mean of the learned vectors of its
+character trigrams and the last state of a gated recurrent net that reads them in order (long words in pieces, whose states are averaged). Every window of WINDOW words, from
+each word on, of the whole text is scored (a shorter text is one window); a text's score is its highest window's, calibrated on
+texts that training didn't see. Gates are clipped linear functions and states x / (1 + |x|), which numpy does far faster than
+logistic functions and hyperbolic tangents. Training is multiple-instance, on the sample's windows at every LEARN_STRIDE words: of a
+toxic text the windows scored highest carry the label, of a clean text every window does.
+Defined results: null, empty or wordless text scores 0; equal texts score alike, repeated rows too, each kept; with no or one-sided
+labels all score 0; a key with labels of both kinds counts as toxic; extra columns pass, ones named like a result are replaced; texts
+of any length are scored whole, in blocks; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -21,16 +25,17 @@ from quern.llm.batches import add_columns, filter_rows, sample_ids, small_batche
 WINDOW = 16
 STRIDE, LEARN_STRIDE = 1, 3 * WINDOW // 4
 THRESHOLD = 0.7
-#: Bounds of the training sample: texts a label, characters of a sampled text, windows taken of one text.
-PER_LABEL, MAX_CHARS, WINDOWS_A_TEXT = 1500, 10_000, 20
-#: Rounds of training before which hard clean windows of the sample are added.
-MINE = (5, 8)
+#: Bounds of the training sample: texts a label, characters of a sampled text, windows taken of one text. One text in VALID is kept for calibration.
+PER_LABEL, MAX_CHARS, WINDOWS_A_TEXT, VALID = 1500, 10_000, 20, 10
+#: Rounds of training, those before which hard clean windows of the sample are added, and the last ones whose weights are averaged.
+EPOCHS, MINE, AVERAGED = 14, (5, 8), 3
 TRIGRAMS = 8192
-D, H, A = 8, 8, 8
+#: Sizes of vectors, states and attention; bytes of a word's piece.
+D, H, A, PIECE = 8, 8, 8, 12
 #: Bytes of text a step; its arrays stay in the cache.
 CHUNK = 256 << 10
 #: Windows scored at once.
-BLOCK = 1024
+BLOCK = 2048
 
 #: Words are runs of ASCII letters and of bytes above 127.
 BREAK = np.ones(256, bool)
@@ -102,126 +107,239 @@ def windows(doc: np.ndarray, n_docs: int, stride: int = STRIDE) -> tuple[np.ndar
     return first[of] + at, np.minimum(WINDOW, count[of] - at), of
 
 
-def inputs(net: Network, h: np.ndarray, tri: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word rows, mean trigram vectors) of words."""
-    means = np.add.reduceat(np.take(net.p["tri"], tri, axis=0), first, axis=0) / size[:, None].astype(np.float32) if len(first) else np.zeros((0, D), np.float32)
-    return rows_of(net, h), means
+class Pieces:
+    """The pieces of words: of each word, its pieces; of each piece, the trigram buckets it runs over."""
 
+    def __init__(self, first: np.ndarray, size: np.ndarray):
+        self.many = -(-size // PIECE)
+        self.start = np.cumsum(self.many) - self.many
+        self.word = np.repeat(np.arange(len(size)), self.many)
+        k = np.arange(len(self.word)) - self.start[self.word]
+        self.first = first[self.word] + k * PIECE
+        self.size = np.minimum(size[self.word] - k * PIECE, PIECE)
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of the words, first of each)."""
+        many = self.many[words]
+        first = np.cumsum(many) - many
+        return np.repeat(self.start[words] - first, many) + np.arange(int(many.sum())), first
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
+def soft(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place."""
+    y = np.abs(x)
+    y += 1
+    x /= y
+    return x
 
-def gates(x: np.ndarray, u: np.ndarray, b: np.ndarray, mask: np.ndarray, out: np.ndarray, keep: list | None = None) -> None:
-    """One direction of the recurrent net. x: (3H, T, B) input part; u: (3H, H); mask: (T, B). Fills out, (T, H, B)."""
-    _, t, n = x.shape
+
+def gates(x: list[np.ndarray], u: np.ndarray, b: np.ndarray, mask: np.ndarray | None, out: list[np.ndarray] | None, keep: list | None = None) -> np.ndarray:
+    """One direction of a recurrent net. x: a (3H, B) input a step; u: (3H, H); mask: (T, B) or None. Fills out, a (H, B) a step; returns the last state."""
+    n = x[0].shape[1]
     s = np.zeros((H, n), np.float32)
-    full = mask.all(1)
-    for i in range(t):
-        g = u @ s
+    full = None if mask is None else mask.all(1)
+    b = b[:, None]
+    g = np.empty((3 * H, n), np.float32)
+    for i, xi in enumerate(x):
+        if keep is not None:
+            g = np.empty((3 * H, n), np.float32)
+        np.matmul(u, s, out=g)
         zr = g[: 2 * H]
-        zr += x[: 2 * H, i]
-        zr *= np.float32(0.5)
-        np.tanh(zr, out=zr)
-        zr += 1
-        zr *= np.float32(0.5)  # the logistic function
-        z, r = zr[:H], zr[H:]
-        hn = g[2 * H :] + b[:, None]
+        zr += xi[: 2 * H]
+        np.clip(zr, 0, 1, out=zr)
+        z, r, hn = zr[:H], zr[H:], g[2 * H :]
+        hn += b
         c = r * hn
-        c += x[2 * H :, i]
-        np.tanh(c, out=c)
+        c += xi[2 * H :]
+        soft(c)
         new = s - c
         new *= z
         new += c
-        if not full[i]:
+        if full is not None and not full[i]:
             new -= s
             new *= mask[i]
             new += s
         if keep is not None:
             keep.append((s, z, r, hn, c))
         s = new
-        out[i] = new
+        if out is not None:
+            out[i][...] = new
+    return s
+
+
+def gates_back(u: np.ndarray, kept: list, mask: np.ndarray, d_out: list[np.ndarray | None], carry: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Gradients of u, b and every step's input, from those of the steps' states and of the last one (carry)."""
+    gu, gb, dx = np.zeros_like(u), np.zeros(H, np.float32), [None] * len(kept)
+    for i in range(len(kept) - 1, -1, -1):
+        s, z, r, hn, c = kept[i]
+        d = carry if d_out[i] is None else carry + d_out[i]
+        dn = d * mask[i]
+        dz = dn * (s - c) * ((z > 0) & (z < 1))
+        dc = dn * (1 - z) * (1 - np.abs(c)) ** 2
+        dr = dc * hn * ((r > 0) & (r < 1))
+        dhn = dc * r
+        dg = np.concatenate([dz, dr, dhn])
+        gu += dg @ s.T
+        gb += dhn.sum(1)
+        carry = d - dn + dn * z + u.T @ dg
+        dx[i] = np.concatenate([dz, dr, dc])
+    return gu, gb, dx
+
+
+def characters(net: Network, tri: np.ndarray, first: np.ndarray, size: np.ndarray, table: np.ndarray | None = None, keep: dict | None = None) -> np.ndarray:
+    """(H, pieces): the last state of the net over each piece's characters. table: the input part of every trigram, (trigrams, 3H)."""
+    p = net.p
+    if table is None:
+        table = p["tri"] @ p["wc"].T + p["bc"]
+    out = np.empty((H, len(first)), np.float32)
+    step = max(BLOCK, 1) if keep is None else max(1, len(first))
+    by_size = np.argsort(size, kind="stable")
+    for lo in range(0, len(first), step):
+        w = by_size[lo : lo + step]
+        t = int(size[w[-1]])
+        mask = (np.arange(t)[:, None] < size[w]).astype(np.float32)
+        idx = tri[np.minimum(first[w] + np.arange(t)[:, None], len(tri) - 1)]
+        x = [np.ascontiguousarray(table[row].T) for row in idx]
+        kept: list | None = [] if keep is not None else None
+        out[:, w] = gates(x, p["uc"], p["bn"], mask, None, kept)
+        if keep is not None:
+            keep |= {"order": w, "mask": mask, "idx": idx, "kept": kept}
+    return out
+
+
+def characters_back(net: Network, keep: dict, d_out: np.ndarray, g: dict) -> None:
+    """Adds the gradients of the character net's weights and of the trigram vectors to g."""
+    p = net.p
+    w = keep["order"]
+    g["uc"], g["bn"], dx = gates_back(p["uc"], keep["kept"], keep["mask"], [None] * len(keep["kept"]), d_out[:, w])
+    flat, rows = np.concatenate(dx, 1), keep["idx"].reshape(-1)
+    d_table = np.stack([np.bincount(rows, weights=v, minlength=TRIGRAMS) for v in flat], 1).astype(np.float32)
+    g["wc"], g["bc"], g["tri"] = d_table.T @ p["tri"], d_table.sum(0), d_table @ p["wc"]
+
+
+def averaged(states: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(words, H): mean of the states of each word's pieces."""
+    many = np.diff(np.append(first, states.shape[1]))
+    return (np.add.reduceat(states, first, axis=1) / many).T.astype(np.float32)
+
+
+def spelled(net: Network, tri: np.ndarray, first: np.ndarray, size: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """(words, D + H): the character part of words' inputs, mean trigram vector and state."""
+    pieces = Pieces(first, size)
+    rows, head = runs(first, size)
+    mean = np.add.reduceat(np.take(net.p["tri"], tri[rows], axis=0), head, axis=0) / size[:, None].astype(np.float32)
+    return np.concatenate([mean, averaged(characters(net, tri, pieces.first, pieces.size, table), pieces.start)], 1)
+
+
+def runs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places of the runs one after the other, start of each run among them)."""
+    head = np.cumsum(size) - size
+    return np.repeat(first - head, size) + np.arange(int(size.sum())), head
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def attend(net: Network, hh: np.ndarray, mask: np.ndarray | None, keep: dict | None = None) -> np.ndarray:
+    """Logits from the states hh, (2H, T, B): attention over the T words weighs their parts of the logit."""
+    p = net.p
+    size, t, n = hh.shape
+    both = np.concatenate([p["wa"], p["wo"][None]]) @ hh.reshape(size, -1)
+    a, part = both[:A], both[A].reshape(t, n)
+    a += p["ba"][:, None]
+    soft(a)
+    e = (p["va"] @ a).reshape(t, n)
+    if mask is not None:
+        e -= 1e4 * (1 - mask)
+    e -= e.max(0)
+    np.exp(e, out=e)
+    w = e / e.sum(0)
+    if keep is not None:
+        keep |= {"hh": hh, "a": a.reshape(A, t, n), "w": w, "part": part}
+    return (w * part).sum(0) + p["bo"][0]
 
 
 def forward(net: Network, proj: np.ndarray, first: np.ndarray, size: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Logit of each window. proj: (6H, words), the input part of both directions for every word."""
+    """Logit of each window of given first word and size. proj: (6H, words), the input part of both directions for every word."""
     p, b = net.p, len(first)
     step = np.arange(WINDOW)[:, None]
     mask = (step < size).astype(np.float32)
     idx = np.minimum(first + step, proj.shape[1] - 1)
-    xf = np.take(proj[: 3 * H], idx, axis=1)
-    xb = np.take(proj[3 * H :], idx[::-1], axis=1)
+    hh = np.empty((2 * H, WINDOW, b), np.float32)
     kf, kb = ([], []) if keep is not None else (None, None)
-    hh = np.empty((WINDOW, 2 * H, b), np.float32)
-    gates(xf, p["uf"], p["bf"], mask, hh[:, :H], kf)
-    gates(xb, p["ub"], p["bb"], mask[::-1], hh[::-1, H:], kb)
-    a = np.matmul(p["wa"], hh)
-    a += p["ba"][:, None]
-    np.tanh(a, out=a)
-    e = np.matmul(p["va"], a) - 1e4 * (1 - mask)
-    e = np.exp(e - e.max(0))
-    w = e / e.sum(0)
-    pooled = np.zeros((2 * H, b), np.float32)
-    for i in range(WINDOW):
-        pooled += w[i] * hh[i]
-    logit = p["wo"] @ pooled + p["bo"][0]
+    gates([proj[: 3 * H, i] for i in idx], p["uf"], p["bf"], mask, [hh[:H, i] for i in range(WINDOW)], kf)
+    gates([proj[3 * H :, i] for i in idx[::-1]], p["ub"], p["bb"], mask[::-1], [hh[H:, i] for i in range(WINDOW - 1, -1, -1)], kb)
     if keep is not None:
-        keep |= {"mask": mask, "idx": idx, "kf": kf, "kb": kb, "hh": hh, "a": a, "w": w, "pooled": pooled, "b": b}
-    return logit
+        keep |= {"mask": mask, "idx": idx, "kf": kf, "kb": kb, "b": b}
+    return attend(net, hh, mask, keep)
+
+
+def consecutive(net: Network, proj: np.ndarray, lo: int, n: int, hh: np.ndarray) -> np.ndarray:
+    """Logits of the n full windows that start at the words from lo on; nothing is gathered, step i is a slice i words further."""
+    p = net.p
+    hh = hh[:, :, :n]
+    x = [slice(lo + i, lo + i + n) for i in range(WINDOW)]
+    gates([proj[: 3 * H, i] for i in x], p["uf"], p["bf"], None, [hh[:H, i] for i in range(WINDOW)])
+    gates([proj[3 * H :, i] for i in x[::-1]], p["ub"], p["bb"], None, [hh[H:, i] for i in range(WINDOW - 1, -1, -1)])
+    return attend(net, hh, None)
 
 
 def backward(net: Network, keep: dict, d_logit: np.ndarray, n_words: int) -> tuple[dict, np.ndarray]:
     """Gradients of the weights and of proj."""
     p, g = net.p, {}
-    hh, a, w, mask, idx = keep["hh"], keep["a"], keep["w"], keep["mask"], keep["idx"]
-    g["wo"] = keep["pooled"] @ d_logit
-    g["bo"] = np.array([d_logit.sum()], np.float32)
-    dp = p["wo"][:, None] * d_logit
-    dh = w[:, None] * dp
-    dw = np.einsum("thb,hb->tb", hh, dp)
-    de = w * (dw - (w * dw).sum(0))
-    da = p["va"][:, None] * de[:, None] * (1 - a * a)
-    g["va"] = np.einsum("tab,tb->a", a, de)
-    g["ba"] = da.sum((0, 2))
-    g["wa"] = np.einsum("tab,thb->ah", da, hh)
-    dh += np.einsum("ah,tab->thb", p["wa"], da)
+    hh, a, w, mask, idx, part = keep["hh"], keep["a"], keep["w"], keep["mask"], keep["idx"], keep["part"]
+    flat = hh.reshape(2 * H, -1)
+    d_part = w * d_logit
+    g["wo"], g["bo"] = flat @ d_part.reshape(-1), np.array([d_logit.sum()], np.float32)
+    de = d_part * (part - (w * part).sum(0))
+    da = (p["va"][:, None, None] * de) * (1 - np.abs(a)) ** 2
+    g["va"], g["ba"] = a.reshape(A, -1) @ de.reshape(-1), da.sum((1, 2))
+    g["wa"] = da.reshape(A, -1) @ flat.T
+    dh = (p["wo"][:, None] * d_part.reshape(-1) + p["wa"].T @ da.reshape(A, -1)).reshape(hh.shape)
     d_proj = np.zeros((6 * H, n_words), np.float32)
-    for half, (u, b, kept, reverse) in enumerate((("uf", "bf", keep["kf"], False), ("ub", "bb", keep["kb"], True))):
-        mine = dh[:, half * H : (half + 1) * H]
-        m = mask
-        order = idx
-        if reverse:
-            mine, m, order = mine[::-1], mask[::-1], idx[::-1]
-        gu, gb = np.zeros_like(p[u]), np.zeros_like(p[b])
-        carry = np.zeros((H, keep["b"]), np.float32)
-        for i in range(WINDOW - 1, -1, -1):
-            s, z, r, hn, c = kept[i]
-            dn = (carry + mine[i]) * m[i]
-            ds = (carry + mine[i]) * (1 - m[i])
-            dz = dn * (s - c) * z * (1 - z)
-            dc = dn * (1 - z) * (1 - c * c)
-            dr = dc * hn * r * (1 - r)
-            dhn = dc * r
-            dg = np.concatenate([dz, dr, dhn])
-            gu += dg @ s.T
-            gb += dhn.sum(1)
-            carry = ds + dn * z + p[u].T @ dg
-            dx = np.concatenate([dz, dr, dc])
-            for k in range(3 * H):
-                d_proj[half * 3 * H + k] += np.bincount(order[i], weights=dx[k], minlength=n_words)[:n_words]
-        g[u], g[b] = gu, gb
+    none = np.zeros((H, keep["b"]), np.float32)
+    g["uf"], g["bf"], dx = gates_back(p["uf"], keep["kf"], mask, [dh[:H, i] for i in range(WINDOW)], none)
+    g["ub"], g["bb"], dy = gates_back(p["ub"], keep["kb"], mask[::-1], [dh[H:, i] for i in range(WINDOW - 1, -1, -1)], none)
+    for half, (d, order) in enumerate(((dx, idx), (dy, idx[::-1]))):
+        at = order.reshape(-1)
+        for k, v in enumerate(np.concatenate(d, 1)):
+            d_proj[half * 3 * H + k] = np.bincount(at, weights=v, minlength=n_words)
     return g, d_proj
 
 
 def start(words: np.ndarray, rng: np.random.Generator) -> Network:
     f = lambda *s, k=1.0: (rng.standard_normal(s) * k).astype(np.float32)
-    p = {"word": f(len(words) + 1, D, k=0.3), "tri": f(TRIGRAMS, D, k=0.5), "wx": f(6 * H, 2 * D, k=0.3), "bx": np.zeros(6 * H, np.float32), "uf": f(3 * H, H, k=0.3), "ub": f(3 * H, H, k=0.3), "bf": np.zeros(H, np.float32), "bb": np.zeros(H, np.float32), "wa": f(A, 2 * H, k=0.3), "ba": np.zeros(A, np.float32), "va": f(A, k=0.5), "wo": f(2 * H, k=0.5), "bo": np.zeros(1, np.float32)}
+    gate = np.repeat(np.float32([0.5, 0.5, 0]), H)
+    p = {
+        "word": f(len(words) + 1, D, k=0.3), "tri": f(TRIGRAMS, D, k=0.5), "wc": f(3 * H, D, k=0.3), "bc": gate.copy(), "uc": f(3 * H, H, k=0.3), "bn": np.zeros(H, np.float32),
+        "wx": f(6 * H, 2 * D + H, k=0.3), "bx": np.tile(gate, 2), "uf": f(3 * H, H, k=0.3), "ub": f(3 * H, H, k=0.3), "bf": np.zeros(H, np.float32), "bb": np.zeros(H, np.float32),
+        "wa": f(A, 2 * H, k=0.3), "ba": np.zeros(A, np.float32), "va": f(A, k=0.5), "wo": f(2 * H, k=0.5), "bo": np.zeros(1, np.float32),
+    }
     return Network(words, p)
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 13, batch: int = 1024) -> Network | None:
+def projected(net: Network, rows: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """(6H, words): the input part of both directions from word rows and character states."""
+    return net.p["wx"] @ np.concatenate([np.take(net.p["word"], rows, axis=0), chars], 1).T + net.p["bx"][:, None]
+
+
+def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, batch: int = 1024) -> Network | None:
     """Fit on a bounded sample of texts. None if it has no text with words of either label."""
     rng = np.random.default_rng(seed)
+    valid = np.zeros(len(texts), bool)
+    for y in (0, 1):
+        own = np.flatnonzero(labels == y)
+        if len(own) >= 10 * VALID:
+            valid[rng.choice(own, len(own) // VALID, replace=False)] = True
+    net = learn([t for t, v in zip(texts, valid) if not v], labels[~valid], rng, epochs, batch)
+    if net is not None:
+        seen = valid if len(np.unique(labels[valid])) == 2 else ~valid
+        calibrate(net, [t for t, v in zip(texts, seen) if v], labels[seen])
+    return net
+
+
+def learn(texts: list[str], labels: np.ndarray, rng: np.random.Generator, epochs: int, batch: int) -> Network | None:
     h, doc, tri, first, size = many_tokens(texts)
     if not len(h) or len(np.unique(labels[np.unique(doc)])) < 2:
         return None
@@ -231,26 +349,24 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 13,
     run = np.arange(len(order)) - np.searchsorted(of[order], of[order])
     w0, wn, of = w0[order], wn[order], of[order]
     chosen = run < WINDOWS_A_TEXT
-    uniq, where, count = np.unique(h, return_index=True, return_counts=True)
-    in_docs = np.bincount(np.unique(np.searchsorted(uniq, h).astype(np.int64) * len(texts) + doc) // len(texts), minlength=len(uniq))
+    uniq, at, word = np.unique(h, return_index=True, return_inverse=True)
+    in_docs = np.bincount(np.unique(word * len(texts) + doc) // len(texts), minlength=len(uniq))
     net = start(uniq[in_docs >= 12][:20_000], rng)
-    word_row = rows_of(net, h)
+    row_of = rows_of(net, uniq)
+    pieces = Pieces(first[at], size[at])
     y = labels[of].astype(np.float32)
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    score, t = np.zeros(len(w0), np.float32), 0
+    score, t, settled, taken = np.zeros(len(w0), np.float32), 0, None, 0
     for epoch in range(epochs):
         weight = chosen.astype(np.float32)
         if epoch in MINE:
             # clean windows outside the choice that the net scores too high join it
             rest = np.flatnonzero((y == 0) & ~chosen)
-            for lo in range(0, len(rest), 2048):
-                w = rest[lo : lo + 2048]
-                a, b = int(w0[w].min()), int((w0[w] + wn[w]).max())
-                c0, c1 = int(first[a]), int(first[b - 1] + size[b - 1])
-                rows, means = inputs(net, h[a:b], tri[c0:c1], first[a:b] - c0, size[a:b])
-                proj = net.p["wx"] @ np.concatenate([net.p["word"][rows], means], 1).T + net.p["bx"][:, None]
-                for k in range(0, len(w), 512):
-                    score[w[k : k + 512]] = forward(net, proj, w0[w[k : k + 512]] - a, wn[w[k : k + 512]])
+            each = projected(net, row_of, spelled(net, tri, first[at], size[at]))
+            for lo in range(0, len(rest), BLOCK):
+                w = rest[lo : lo + BLOCK]
+                need = np.minimum(w0[w] + np.arange(WINDOW)[:, None], w0[w] + wn[w] - 1)
+                score[w] = forward(net, each[:, word[need.T.reshape(-1)]], np.arange(len(w)) * WINDOW, wn[w])
             chosen[rest[score[rest] > -3]] = True
             weight = chosen.astype(np.float32)
         if epoch >= 2:
@@ -265,15 +381,16 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 13,
         rng.shuffle(live)
         for lo in range(0, len(live), batch):
             w = live[lo : lo + batch]
-            need, place = np.unique(np.minimum(w0[w] + np.arange(WINDOW)[:, None], w0[w] + wn[w] - 1).ravel(), return_inverse=True)
-            del place
-            cut = np.repeat(first[need] - np.append(0, np.cumsum(size[need])[:-1]), size[need]) + np.arange(size[need].sum())
-            f = np.append(0, np.cumsum(size[need])[:-1])
-            tr, rows = tri[cut], word_row[need]
-            drop = rng.random(len(rows)) < 0.3  # words go missing, so that characters must do
-            rows = np.where(drop, 0, rows)
-            n = size[need][:, None].astype(np.float32)
-            x = np.concatenate([net.p["word"][rows], np.add.reduceat(net.p["tri"][tr], f, axis=0) / n], 1)
+            need = np.unique(np.minimum(w0[w] + np.arange(WINDOW)[:, None], w0[w] + wn[w] - 1))
+            own, of_word = np.unique(word[need], return_inverse=True)
+            part, head = pieces.of(own)
+            held: dict = {}
+            states = characters(net, tri, pieces.first[part], pieces.size[part], keep=held)
+            rows = np.where(rng.random(len(need)) < 0.3, 0, row_of[own][of_word])  # words go missing, so that characters must do
+            spell, begin = runs(first[at[own]], size[at[own]])
+            letters = size[at[own]].astype(np.float32)
+            mean = np.add.reduceat(net.p["tri"][tri[spell]], begin, axis=0) / letters[:, None]
+            x = np.concatenate([net.p["word"][rows], np.concatenate([mean, averaged(states, head)], 1)[of_word]], 1)
             proj = net.p["wx"] @ x.T + net.p["bx"][:, None]
             kept: dict = {}
             logit = forward(net, proj, np.searchsorted(need, w0[w]), wn[w], kept)
@@ -283,10 +400,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 13,
             g, dp = backward(net, kept, d, len(need))
             g["wx"], g["bx"] = dp @ x, dp.sum(1)
             dx = dp.T @ net.p["wx"]
-            g["word"] = np.zeros_like(net.p["word"])
-            np.add.at(g["word"], rows, dx[:, :D])
-            per = np.repeat(dx[:, D:] / n, size[need], axis=0)
-            g["tri"] = np.stack([np.bincount(tr, weights=per[:, j], minlength=TRIGRAMS) for j in range(D)], 1).astype(np.float32)
+            g["word"] = np.stack([np.bincount(rows, weights=v, minlength=len(net.p["word"])) for v in dx[:, :D].T], 1)
+            d_word = np.stack([np.bincount(of_word, weights=v, minlength=len(own)) for v in dx[:, D:].T])
+            characters_back(net, held, np.repeat(d_word[D:] / pieces.many[own], pieces.many[own], axis=1).astype(np.float32), g)
+            each_letter = np.repeat(d_word[:D] / letters, size[at[own]], axis=1)
+            g["tri"] += np.stack([np.bincount(tri[spell], weights=v, minlength=TRIGRAMS) for v in each_letter], 1).astype(np.float32)
             t += 1
             rate = 0.01 if epoch < epochs - 4 else 0.003
             for k, v in net.p.items():
@@ -295,50 +413,67 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 13,
                 a += 0.1 * (gk - a)
                 b += 0.01 * (gk * gk - b)
                 v -= (rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    calibrate(net, texts, labels)
+            if epoch >= epochs - AVERAGED:  # the net is the mean of its last steps
+                taken += 1
+                settled = {k: v.copy() if settled is None else settled[k] + (v - settled[k]) / np.float32(taken) for k, v in net.p.items()}
+    net.p = settled or net.p
     return net
 
 
-def raw(net: Network, col: pa.Array) -> np.ndarray:
+def raw(net: Network, col: pa.Array, table: np.ndarray | None = None) -> np.ndarray:
     """Highest window logit of each text; -30 without words."""
     h, doc, tri, first, size = tokens(col)
     out = np.full(len(col), -30.0, np.float32)
     if not len(h):
         return out
-    rows, means = inputs(net, h, tri, first, size)
-    proj = net.p["wx"] @ np.concatenate([np.take(net.p["word"], rows, axis=0), means], 1).T
-    proj += net.p["bx"][:, None]
-    w0, wn, of = windows(doc, len(col))
-    for lo in range(0, len(w0), BLOCK):
-        s = slice(lo, lo + BLOCK)
-        np.maximum.at(out, of[s], forward(net, proj, w0[s], wn[s]))
+    uniq, at, word = np.unique(h, return_index=True, return_inverse=True)
+    each = projected(net, rows_of(net, uniq), spelled(net, tri, first[at], size[at], table))
+    proj = np.take(each, word, axis=1)
+    count = np.bincount(doc, minlength=len(col))
+    short = np.flatnonzero((count > 0) & (count < WINDOW))
+    begin = np.cumsum(count) - count
+    for lo in range(0, len(short), BLOCK):
+        w = short[lo : lo + BLOCK]
+        out[w] = forward(net, proj, begin[w], count[w])
+    hh = np.empty((2 * H, WINDOW, BLOCK), np.float32)
+    for lo in range(0, len(h) - WINDOW + 1, BLOCK):
+        n = min(BLOCK, len(h) - WINDOW + 1 - lo)
+        of = doc[lo : lo + n]
+        whole = of == doc[lo + WINDOW - 1 : lo + WINDOW - 1 + n]  # windows that reach into the next text are none
+        if whole.any():
+            np.maximum.at(out, of[whole], consecutive(net, proj, lo, n, hh)[whole])
     return out
 
 
 def calibrate(net: Network, texts: list[str], labels: np.ndarray) -> None:
-    """Logistic scale and shift of the highest logit: the label's log-odds over the sample's texts, by gradient descent."""
+    """Scale and shift of the highest logit, such that THRESHOLD falls where the texts' F1 is best, in the widest gap of such places."""
     x = np.concatenate([raw(net, pa.array(texts[i : i + 60], pa.string())) for i in range(0, len(texts), 60)]).astype(float)
     x = np.clip(x, -20, 20)
-    low, high = float(np.quantile(x[labels == 0], 0.999)), float(np.quantile(x[labels == 1], 0.01))
-    if high > low:  # they stand apart: THRESHOLD falls at a quarter of the gap below the toxic texts
-        net.scale = min(2.0, 8 / (high - low))
-        net.shift = np.log(THRESHOLD / (1 - THRESHOLD)) - net.scale * (low + 3 * high) / 4
-        return
-    a, b, y = 1.0, 0.0, labels.astype(float)
-    c = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    for _ in range(2000):
-        e = (sigmoid(a * x + b) - y) * c
-        a, b = a - 0.1 * (e * x).sum(), b - e.sum()
-    net.scale, net.shift = max(0.2, float(a)), float(b)
-
-
-def score(net: Network | None, col: pa.Array) -> np.ndarray:
+    o = np.argsort(x, kind="stable")
+    v, y = x[o], labels[o].astype(float)
+    hit = np.cumsum(y[::-1])[::-1]  # toxic texts at or above each
+    f1 = 2 * hit / (np.arange(len(v), 0, -1) + y.sum())
+    gap = np.append(v[0] + 20, np.diff(v))
+    f1[gap <= 0] = 0
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    i = int(best[gap[best].argmax()])
+    cut = v[i] - min(gap[i], 8.0) / 2
+    net.scale = 1.0
+    net.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
+
+
+def score(net: Network | None, col: pa.Array, table: np.ndarray | None = None) -> np.ndarray:
     if net is None:
         return np.zeros(len(col))
-    x = raw(net, col).astype(float)
+    x = raw(net, col, table).astype(float)
     return np.where(x <= -30, 0.0, sigmoid(net.scale * np.clip(x, -20, 20) + net.shift))
 
 
+def table_of(net: Network | None) -> np.ndarray | None:
+    """The character net's input part of every trigram, made once a task."""
+    return None if net is None else net.p["tri"] @ net.p["wc"].T + net.p["bc"]
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> Network | None:
     """Train on at most per_label texts of each label, of at most max_chars characters each; the sample alone comes to the driver."""
     lab = labels.select(F.col(key).alias("_id"), F.col(label).alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -357,10 +492,10 @@ def toxicity(docs: DataFrame, net: Network | None, text: str = "text", threshold
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def make():
-        own = held.value
+        own, table = held.value, table_of(held.value)
 
         def run(col):
-            s = score(own, col)
+            s = score(own, col, table)
             return [s, (s >= threshold).astype(np.int32)]
 
         return run
@@ -368,14 +503,12 @@ def toxicity(docs: DataFrame, net: Network | None, text: str = "text", threshold
     return add_columns(docs, text, make, FIELDS, most=CHUNK)
 
 
-
-
 def keep_clean(docs: DataFrame, net: Network | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score below threshold, with the columns they came with."""
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def make():
-        own = held.value
-        return lambda col: score(own, col) < threshold
+        own, table = held.value, table_of(held.value)
+        return lambda col: score(own, col, table) < threshold
 
     return filter_rows(docs, text, make, most=CHUNK)

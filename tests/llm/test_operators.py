@@ -534,19 +534,67 @@ def test_network_gradient():
     kept: dict = {}
     toxicity.forward(net, proj, first, size, kept)
     g, d = toxicity.backward(net, kept, np.ones(3, np.float32), 30)
-    for name in ("uf", "ub", "bf", "wa", "va", "wo"):
-        flat = net.p[name].reshape(-1)
-        old = flat[0]
-        flat[0] = old + 1e-2
-        up = toxicity.forward(net, proj, first, size).sum()
-        flat[0] = old - 1e-2
-        down = toxicity.forward(net, proj, first, size).sum()
-        flat[0] = old
-        assert g[name].reshape(-1)[0] == pytest.approx((up - down) / 2e-2, abs=2e-2)
-    up, down = proj.copy(), proj.copy()
-    up[3, 6] += 1e-2
-    down[3, 6] -= 1e-2
-    assert d[3, 6] == pytest.approx((toxicity.forward(net, up, first, size).sum() - toxicity.forward(net, down, first, size).sum()) / 2e-2, abs=2e-2)
+
+    def slope(value, array, at, by=2e-3):
+        old = array[at]
+        array[at] = old + by
+        up = value()
+        array[at] = old - by
+        down = value()
+        array[at] = old
+        return (float(up) - float(down)) / (2 * by)
+
+    total = lambda: toxicity.forward(net, proj, first, size).sum()
+    for name in ("uf", "ub", "bf", "bb", "wa", "ba", "va", "wo"):
+        for at in range(3):
+            assert g[name].reshape(-1)[at] == pytest.approx(slope(total, net.p[name].reshape(-1), at), abs=3e-2), name
+    for at in ((3, 6), (17, 2), (30, 25), (40, 8)):
+        assert d[at] == pytest.approx(slope(total, proj, at), abs=3e-2)
+    tri, begin, long = np.arange(40, dtype=np.int32) % 7, np.array([0, 12, 17]), np.array([12, 5, 1])
+    weigh = np.random.default_rng(3).standard_normal((toxicity.H, 3)).astype(np.float32)
+    held: dict = {}
+    toxicity.characters(net, tri, begin, long, keep=held)
+    g = {}
+    toxicity.characters_back(net, held, weigh, g)
+    total = lambda: (toxicity.characters(net, tri, begin, long) * weigh).sum()
+    for name in ("uc", "bn", "wc", "bc", "tri"):
+        for at in range(4):
+            assert g[name].reshape(-1)[at] == pytest.approx(slope(total, net.p[name].reshape(-1), at), abs=3e-2), name
+
+
+def test_characters_are_read_in_order():
+    """Words of the same trigrams in another order differ; a word's vector is the same wherever it stands, however long it is."""
+    net = toxicity.start(np.zeros(0, np.uint64), np.random.default_rng(5))
+    word = "abcd" * 2 + "zz" + "abcd" * 3
+
+    def vectors(text):
+        _, _, tri, first, size = toxicity.tokens(pa.array([text]))
+        return toxicity.spelled(net, tri, first, size)
+
+    alone = vectors(word)[0]
+    assert np.abs(vectors("x " + word + " yy")[1] - alone).max() < 1e-5
+    a, b = vectors("aabaac aacaab")
+    assert np.abs(a[toxicity.D :] - b[toxicity.D :]).max() > 1e-2
+
+
+def test_toxicity_of_odd_tables(spark):
+    r = random.Random(3)
+    new = lambda bad: " ".join(r.choices(["river", "stone", "green", "tree", "walk"], k=30) + ["zorgle", "zorgling"] * bad)
+    texts = [new(i % 2) for i in range(160)] + [None, "", " \n ", "...", "zorgle zorgling", "walk " * 60_000, "walk " * 60_000 + "zorgle zorgling", new(1)]
+    ids = [*range(160), None, 161, 162, 163, 164, 165, 166, 1]
+    d = docs(spark, texts).withColumn("doc_id", F.element_at(F.array(*[F.lit(i).cast("long") for i in ids]), (F.col("doc_id") + 1).cast("int"))).withColumn("predicted", F.lit("mine"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)] + [(None, 1), (3, None), (1, 0), (165, 0)], "doc_id long, toxic int")
+    net = toxicity.fit(d, labels)
+    got = toxicity.toxicity(d, net).collect()
+    assert len(got) == len(texts) and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.7) and x.lang == "en" for x in got)
+    by = {x.text: x for x in got}
+    assert all(by[t].score == 0 for t in (None, "", " \n ", "...")) and by[texts[165]].predicted == 0 and by[texts[166]].predicted == by[texts[164]].predicted == 1
+    assert sum(x.predicted == x.doc_id % 2 for x in got if x.doc_id is not None and x.doc_id < 160) >= 158
+    kept = toxicity.keep_clean(d, net)
+    assert kept.columns == d.columns and kept.count() == sum(x.score < 0.7 for x in got)
+    empty = d.where("false")
+    assert toxicity.fit(empty, labels) is None and toxicity.fit(d, labels.where("toxic = 0")) is None and toxicity.toxicity(empty, net).count() == 0
+    assert {x.score for x in toxicity.toxicity(d, None).collect()} == {0.0}
 
 
 def test_subword_samples():
