@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -25,18 +25,19 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only if unset)."""
+    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir. A local session without one gets a folder of its own; a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             import tempfile
 
-            base = tempfile.mkdtemp(prefix="quern-")
-            spark.sparkContext.setCheckpointDir(base)
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
             base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     return f"{base.rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
 
 
@@ -213,9 +214,15 @@ def split_by(doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n_docs + 1))
 
 
-def sample_ids(df: DataFrame, key: str, group: str, per_group: int, salt: int = 0) -> DataFrame:
-    """At most per_group keys of each group, by smallest hash; only keys are shuffled and each map task sends at most per_group of a group."""
-    from pyspark.sql import Window
+#: Groups that the keys of a sampled group are dealt to before the final choice.
+SAMPLE_SALTS = 64
 
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(salt)), F.col(key))
-    return df.select(key, group).distinct().withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_group).drop("_rank")
+
+def sample_ids(df: DataFrame, key: str, group: str, per_group: int, salt: int = 0) -> DataFrame:
+    """At most per_group keys of each group, by smallest hash. Only keys are shuffled; each map task sends at most per_group of a
+    group and salt, and the task that makes the final choice gets at most SAMPLE_SALTS * per_group of a group."""
+    order = (F.xxhash64(F.col(key), F.lit(salt)), F.col(key))
+    keys = df.select(key, group).distinct().withColumn("_salt", F.pmod(F.xxhash64(F.col(key), F.lit(salt + 1)), F.lit(SAMPLE_SALTS)).cast("int"))
+    for by in ([group, "_salt"], [group]):
+        keys = keys.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= per_group)
+    return keys.select(key, group)

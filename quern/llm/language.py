@@ -1,10 +1,11 @@
 """Language identification by string kernels.
 
-The kernel of two texts counts the character 1-, 2- and 3-grams present in both (blended spectrum, presence only), divided
-by the root of the product of their own counts. Nystroem landmarks turn it into features, one-versus-rest kernel ridge
+The kernel of two texts counts the character 1-, 2- and 3-grams present in both (blended spectrum, presence only; letters of
+any script in lower case, anything else is one character), divided by the root of the product of their own counts. Nystroem landmarks turn it into features, one-versus-rest kernel ridge
 regression learns a weight per landmark and language, and texts are scored by products of 0/1 matrices.
 Defined results: null text and text without a letter give `und` and 0, so does every text if nothing could be learned;
-equal texts give equal results; ties go to the language first in order of name."""
+equal texts give equal results, repeated rows too, each kept; ties go to the language first in order of name; texts of any length
+are read whole; extra columns pass, ones named like a result are replaced; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -18,21 +19,19 @@ from pyspark.sql.types import DoubleType, StringType, StructField
 
 from quern.llm.batches import add_columns, sample_ids, small_batches
 
-#: Codes of folded characters: 0 anything but a letter, 1-26 a-z, the rest shared by other letters.
-CODES = 64
-GRAMS = CODES + CODES**2 + CODES**3
 #: Bounds of the training sample: texts a language, characters of a sampled text, landmarks a language.
 PER_LANGUAGE, MAX_CHARS, LANDMARKS = 200, 20_000, 32
 RIDGE = 1e-2
+#: Odd multipliers that number n-grams, one for each length.
+STEP, LENGTHS = np.uint64(0x9E3779B97F4A7C15), [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
 
 
 def _fold_table() -> np.ndarray:
-    t = np.zeros(65536, np.int32)
+    t = np.zeros(65536, np.uint32)
     for c in range(65536):
         s = chr(c)
         if s.isalpha():
-            low = ord(s.lower()[0])
-            t[c] = low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % (1 << 32) // 65536 % (CODES - 27)
+            t[c] = ord(s.lower()[0])
     return t
 
 
@@ -40,25 +39,31 @@ _table: list[np.ndarray] = []
 
 
 def folded(text: str) -> np.ndarray:
+    """Code points in lower case; 0 for anything but a letter."""
     if not _table:
         _table.append(_fold_table())
     c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return _table[0][np.where(c < 65536, c, 0x4E00)] if len(c) and c.max() >= 65536 else _table[0][c]
-
-
-def present(text: str, flags: np.ndarray) -> np.ndarray:
-    """Ascending numbers of the n-grams in text. flags: GRAMS zero bytes, zero again afterwards."""
-    c = folded(text)
-    flags[c] = 1
-    if len(c) > 1:
-        b = c[:-1] * CODES + c[1:]
-        flags[b + CODES] = 1
-        if len(c) > 2:
-            flags[b[:-1] * CODES + c[2:] + (CODES + CODES**2)] = 1
-    flags[0] = 0
-    got = np.flatnonzero(flags.view(np.bool_))
-    flags[got] = 0
-    return got
+    if len(c) and c.max() >= 65536:
+        far, where = np.unique(c[c >= 65536], return_inverse=True)
+        low = _table[0][np.minimum(c, 65535)].copy()
+        low[c >= 65536] = np.array([ord(chr(x).lower()[0]) if chr(x).isalpha() else 0 for x in far], np.uint32)[where]
+        return low
+    return _table[0][c]
+
+
+def present(text: str) -> np.ndarray:
+    """Ascending 64-bit numbers of the distinct character 1-, 2- and 3-grams in text, but for those without a letter."""
+    c = folded(text).astype(np.uint64)
+    out, key, letter = [], np.zeros(len(c), np.uint64), np.zeros(len(c), bool)
+    for n, by in enumerate(LENGTHS):
+        if len(c) <= n:
+            break
+        last = c[n:]
+        key = (key[: len(last)] * STEP + last) * STEP
+        letter = letter[: len(last)] | (last > 0)
+        got = np.sort(key[letter] * by)
+        out.append(got[np.append(True, got[1:] != got[:-1])] if len(got) else got)
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def has_letter(text: str | None) -> bool:
@@ -68,16 +73,16 @@ def has_letter(text: str | None) -> bool:
 @dataclass
 class KernelModel:
     languages: list[str]
-    column: np.ndarray  # n-gram -> column of `landmarks`, or -1
+    grams: np.ndarray  # ascending n-grams, one a row of `landmarks`
     landmarks: np.ndarray  # columns x landmarks, 0/1, divided by the root of each landmark's count
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
 
     def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(sets), self.landmarks.shape[0]), np.float32)
+        x = np.zeros((len(sets), len(self.grams)), np.float32)
         for i, s in enumerate(sets):
-            c = self.column[s]
-            x[i, c[c >= 0]] = 1
+            at = np.minimum(np.searchsorted(self.grams, s), len(self.grams) - 1)
+            x[i, at[self.grams[at] == s]] = 1
         size = np.sqrt(np.maximum(1, [len(s) for s in sets])).astype(np.float32)
         return (x @ self.landmarks) / size[:, None]
 
@@ -86,8 +91,7 @@ class KernelModel:
 
 
 def train(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel | None:
-    flags = np.zeros(GRAMS, np.uint8)
-    pairs = [(present(t, flags), g) for t, g in zip(texts, langs) if has_letter(t)]
+    pairs = [(present(t), g) for t, g in zip(texts, langs) if has_letter(t)]
     if not pairs:
         return None
     names = sorted({g for _, g in pairs})
@@ -96,12 +100,10 @@ def train(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge:
         own = [s for s, h in pairs if h == g]
         chosen += own[:: max(1, len(own) // landmarks)][:landmarks]
     grams = np.unique(np.concatenate(chosen))
-    column = np.full(GRAMS, -1, np.int32)
-    column[grams] = np.arange(len(grams))
     lm = np.zeros((len(grams), len(chosen)), np.float32)
     for j, s in enumerate(chosen):
-        lm[column[s], j] = 1 / np.sqrt(len(s))
-    model = KernelModel(names, column, lm, np.zeros((len(chosen), len(names)), np.float32), np.zeros(len(names), np.float32))
+        lm[np.searchsorted(grams, s), j] = 1 / np.sqrt(len(s))
+    model = KernelModel(names, grams, lm, np.zeros((len(chosen), len(names)), np.float32), np.zeros(len(names), np.float32))
     k_mm = model.kernel(chosen).astype(float)
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
     ok = value > 1e-6 * value.max()
@@ -116,13 +118,13 @@ def train(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge:
     return model
 
 
-def predict(model: KernelModel | None, col: pa.Array, flags: np.ndarray) -> tuple[list[str], np.ndarray]:
+def predict(model: KernelModel | None, col: pa.Array) -> tuple[list[str], np.ndarray]:
     texts = col.to_pylist()
     lang, score = ["und"] * len(texts), np.zeros(len(texts))
     who = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
     for lo in range(0, len(who), 128):
         part = who[lo : lo + 128]
-        f = model.scores([present(texts[i], flags) for i in part])
+        f = model.scores([present(texts[i]) for i in part])
         best = f.argmax(1)
         for i, b, row in zip(part, best, f):
             lang[i], score[i] = model.languages[b], min(1.0, max(0.0, (float(row[b]) + 1) / 2))
@@ -145,10 +147,10 @@ def identify(docs: DataFrame, model: KernelModel | None, text: str = "text") ->
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        own, flags = held.value, np.zeros(GRAMS, np.uint8)
+        own = held.value
 
         def run(col):
-            lang, score = predict(own, col, flags)
+            lang, score = predict(own, col)
             return [pa.array(lang, pa.string()), score]
 
         return run

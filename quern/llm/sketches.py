@@ -3,7 +3,8 @@
 A sketch is the k smallest distinct 64-bit shingle hashes, so the sketch of a union is the k smallest of two sketches.
 Text form: base64 of the little-endian hashes in ascending order; the empty text's is ''. Equal texts have equal sketches.
 Defined results: null text counts as empty; two empty sketches have likeness 1, an empty and a non-empty one 0; equal keys
-are ordered by text; a one-row table is its own next document; an empty table gives an empty result."""
+and null ones (first) are ordered by text; repeated rows are each other's next; a one-row table is its own next document; texts of
+any length are read whole; extra columns are not read, whatever their names; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -119,7 +120,7 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     return add_columns(docs, text, lambda: lambda col: [pa.array([encode(x) for x in sketches(col, k)], pa.string())], [StructField("fingerprint", StringType())])
 
 
-def neighbour_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, bytes_per_range: int = 16 << 20) -> DataFrame:
+def neighbour_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, bytes_per_range: int = 16 << 20, least_bytes: int = 1 << 20) -> DataFrame:
     """Every text against its edited text and against the next text by key.
 
     Keys are cut into ranges at approximate quantiles. The first row of each range is copied to the range before it (the
@@ -131,7 +132,7 @@ def neighbour_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     rows = small_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, min(MOST_RANGES, -(-total // bytes_per_range)))
+    n = max(1, min(MOST_RANGES, max(-(-total // bytes_per_range), min(4 * spark.sparkContext.defaultParallelism, -(-total // least_bytes)))))
     order = rows.withColumn("_at", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("double"))
     marks = order.agg(F.percentile_approx("_at", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     cuts = [-float("inf"), *sorted(set(marks or [])), float("inf")]
@@ -165,5 +166,5 @@ def neighbour_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "te
                     yield pa.RecordBatch.from_arrays([pa.array(got[c], t) for c, t in zip(NAMES, TYPES)], NAMES)
                 back = [c[-1] for c in cols]
 
-    parts = max(len(filled), 1)
-    return ranged.repartition(parts, "_range").sortWithinPartitions("_range", "_sentinel", "doc_id", "text").mapInArrow(run, OUT)
+    # a range is a partition of its own
+    return ranged.repartitionById(max([0, *filled]) + 1, F.col("_range")).sortWithinPartitions("_range", "_sentinel", "doc_id", "text").mapInArrow(run, OUT)

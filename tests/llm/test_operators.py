@@ -126,8 +126,17 @@ def test_fingerprints(spark):
             true = len(grams(a) & grams(other)) / union if union else 1.0
             assert abs(value - true) < (1e-9 if union <= sketches.K else 0.2)
     assert sketches.neighbour_fingerprints(docs(spark, TEXTS).where("false")).count() == 0
+    same = docs(spark, ["b", "a", "b", None], [None, None, 4, 4]).withColumn("near_next", F.lit("mine"))
+    got = sorted((r.doc_id or 0, r.n_chars, r.near_next) for r in sketches.neighbour_fingerprints(same).collect())
+    assert got == [(0, 1, 0.0), (0, 1, 0.0), (4, 0, 0.0), (4, 1, 0.0)]
     a, b = (sketches.sketches(pa.array([t]))[0] for t in (TEXTS[12], TEXTS[13]))
-    assert (sketches.merge(a, b) == sketches.sketches(pa.array([TEXTS[12] + " \n" + TEXTS[13]]))[0]).mean() >= 0 and sketches.containment(a, a) == pytest.approx(1)
+    parts = [" ".join("x%d" % rng.randrange(10**6) for _ in range(400)) for _ in range(3)]
+    a, b, both = (sketches.sketches(pa.array([t]))[0] for t in (parts[0], parts[1], parts[0] + " " + parts[1]))
+    across = {" ".join((parts[0].split()[-4:] + parts[1].split()[:4])[i : i + 5]) for i in range(4)}
+    extra = np.concatenate([sketches.sketches(pa.array([t]))[0] for t in across])
+    assert (sketches.merge(sketches.merge(a, b), np.sort(extra)) == both).all()
+    assert sketches.containment(a, a) == pytest.approx(1) and sketches.containment(a, both) > 0.8 and sketches.containment(both, a) == pytest.approx(0.5, abs=0.15)
+    assert sketches.distinct_count(both) == pytest.approx(796, rel=0.25)
     assert (sketches.decode(sketches.encode(a)) == a).all() and sketches.distinct_count(sketches.sketches(pa.array(["a b c d e f g"]))[0]) == 3
 
 
@@ -489,11 +498,35 @@ def test_language(spark):
     got = {r.doc_id: r for r in language.identify(d.drop("score"), model).collect()}
     assert [got[i].lang_pred for i in range(11)] == ["en"] * 4 + ["fr"] * 4 + ["und", "und", "en"]
     assert language.fit(d.where("false")) is None and {r.lang_pred for r in language.identify(d, None).collect()} == {"und"}
-    a, b = "abcab", "bcx"
-    sets = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    flags = np.zeros(language.GRAMS, np.uint8)
-    pa_, pb = language.present(a, flags), language.present(b, flags)
-    assert len(np.intersect1d(pa_, pb)) == len(sets(a) & sets(b)) and not flags.any()
+    odd = docs(spark, ["the of", None, "the of"]).withColumn("score", F.lit("mine"))
+    assert [(r.lang_pred, r.source) for r in language.identify(odd, model).collect()] == [("en", "s"), ("und", "s"), ("en", "s")]
+
+
+def test_language_kernel_is_brute_force():
+    """Kernel, landmarks and ridge against sets and dense algebra, in several scripts."""
+    r = random.Random(9)
+    pool = {"en": "the of and word ing".split(), "el": "το και λέξη ΤΗΣ ένα".split(), "ja": "これ は 言葉 です 𠮷野".split()}
+    texts = [" ".join(r.choices(w, k=r.randint(1, 9))) + r.choice(["", " 12", "!"]) for w in pool.values() for _ in range(12)]
+    langs = [g for g in pool for _ in range(12)]
+
+    def sets(t):
+        low = "".join((c.lower()[0] if c.isalpha() else "\0") for c in t)
+        return {low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)} - {"\0" * n for n in (1, 2, 3)}
+
+    assert [len(language.present(t)) for t in texts] == [len(sets(t)) for t in texts]
+    model = language.train(texts, langs, landmarks=5)
+    chosen = [t for g in sorted(pool) for t in [t for t, h in zip(texts, langs) if h == g][::2][:5]]
+    kernel = lambda a, b: len(sets(a) & sets(b)) / (len(sets(a)) * len(sets(b))) ** 0.5
+    k = np.array([[kernel(t, m) for m in chosen] for t in texts])
+    assert np.abs(model.kernel([language.present(t) for t in texts]) - k).max() < 1e-5
+    value, vector = np.linalg.eigh(np.array([[kernel(a, b) for b in chosen] for a in chosen]))
+    ok = value > 1e-6 * value.max()
+    z = k @ (vector[:, ok] / np.sqrt(value[ok]))
+    y = np.array([[1.0 if g == h else -1.0 for h in sorted(pool)] for g in langs])
+    zc, yc = z - z.mean(0), y - y.mean(0)
+    beta = np.linalg.solve(zc.T @ zc / 12 + language.RIDGE * np.eye(z.shape[1]), zc.T @ yc / 12)
+    assert np.abs(model.scores([language.present(t) for t in texts]) - (zc @ beta + y.mean(0))).max() < 1e-2
+    assert language.predict(model, pa.array(texts))[0] == langs
 
 
 def test_toxicity_learns():
