@@ -4,7 +4,10 @@
 2. Band and row counts follow from the target recall at the threshold. Bands shuffle on their hash; buckets of one are dropped.
 3. A bucket is streamed in the order of the keys' hashes, so that buckets share leaders, against its leaders, not in all pairs: a member joins each leader it resembles by
    signature (estimate over LOOSE) and becomes a leader if it follows none (estimate over TIGHT). Large buckets are salted,
-   and their leaders meet in a second pass. What this yields are candidate components, a superset of the linked groups.
+   and their leaders meet in a second pass. This yields candidate components. They hold the linked pairs: of two members the
+   later one meets the leader that the earlier one follows, and distances 1 - J add up, so a pair at 0.8 whose first text is
+   within 0.2 of its leader has its second within 0.4 (J 0.6). What can be lost are pairs whose estimates stray far to the wrong
+   side in every one of the buckets they share.
 4. Components get the full n-gram sets of their texts and count every pair at or over the threshold by products of 0/1
    matrices, in blocks of bounded size, so a component of any size is spread over tasks. Links come out as counts and as
    spanning edges, never as all pairs; components of the verified edges are the result's classes.
@@ -26,9 +29,11 @@ from pyspark.sql import functions as F
 from quern.llm.batches import U, mix, shingles, slices, small_batches, span_hash, stored, text_buffers, words_of
 
 #: Signature estimates at which a text follows a leader, and at which it is connected to one.
-TIGHT, LOOSE, MEET = 0.75, 0.5, 0.1
+TIGHT, LOOSE, MEET = 0.8, 0.45, 0.1
 #: Members of a bucket that one task streams, and texts and n-grams of a block of exact verification.
-SUB_BUCKET, BLOCK, BLOCK_GRAMS = 4096, 2048, 2_000_000
+SUB_BUCKET, BLOCK, BLOCK_GRAMS = 4096, 512, 2_000_000
+#: Parts into which labels and groups are dealt where many rows ask for one of them.
+SALTS = 16
 NO_KEY = -(1 << 63)
 
 
@@ -211,8 +216,10 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         told = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(told, "id").select("id", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        nxt = stored(step.join(jump, "new").select("id", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved")), "labels")
+        # many nodes ask for the label of one: those asked for are few, and are dealt to every salt
+        jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far")).join(step.select("new").distinct(), "new", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        step = step.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        nxt = stored(step.join(jump, ["new", "salt"]).select("id", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved")), "labels")
         done = nxt.where("moved").limit(1).count() == 0
         labels = nxt.select("id", "label")
         if done:
@@ -382,8 +389,12 @@ def _near(docs: DataFrame, repeats: bool, width: int = 5, threshold: float = 0.8
     if spread.limit(1).count():
         roots = roots.unionByName(connected(spread))
     result = links.join(roots, "id").select(F.col("id").alias("rep"), F.col("links"), F.col("label").alias("root"))
-    out = all_.select("id", "set1", "set2", "grams").join(groups, ["set1", "set2", "grams"]).join(result, "rep", "left")
-    return out.select("id", F.coalesce("root", "rep").alias("class"), F.col("rep").alias("copy"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # a group is joined with its result once; a text without copies is its group, and copies look theirs up dealt by a salt
+    each = stored(groups.join(result, "rep", "left").select("rep", "set1", "set2", "grams", "copies", F.coalesce("root", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "near-result")
+    alone = each.where("copies = 1").select(F.col("rep").alias("id"), "class", F.col("rep").alias("copy"), "n_links")
+    several = each.where("copies > 1").drop("copies").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = all_.select("id", "set1", "set2", "grams").withColumn("salt", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return rows.join(several, ["set1", "set2", "grams", "salt"]).select("id", "class", F.col("rep").alias("copy"), "n_links").unionByName(alone)
 
 
 def _repeats(docs: DataFrame, key: str) -> bool:

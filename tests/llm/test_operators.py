@@ -191,6 +191,33 @@ def test_rows_that_share_a_key_are_joined_by_their_texts(spark):
     assert Counter((x.doc_id, next(root[i] for i, t in enumerate(texts) if (t or "") == (x.text or ""))) for x in kept.collect()) == want
 
 
+def test_near_join_of_thousands_of_varied_copies(spark):
+    """One passage in 3,000 variants, so that buckets span Arrow batches and salts: every link at 0.8 is found."""
+    r = random.Random(21)
+    base = ["w%d" % r.randrange(10**6) for _ in range(120)]
+    texts = []
+    for _ in range(3000):
+        v = list(base)
+        for _ in range(r.randrange(7)):
+            v[r.randrange(120)] = "n%d" % r.randrange(10**6)
+        texts.append(" ".join(v))
+    rows = [sorted(grams(t)) for t in texts]
+    names = {g: i for i, g in enumerate({g for x in rows for g in x})}
+    often = Counter(g for x in rows for g in x)
+    dense = [g for g, k in often.items() if k > 1]
+    at = {g: i for i, g in enumerate(dense)}
+    m = np.zeros((3000, len(dense)), np.float32)
+    for i, x in enumerate(rows):
+        m[i, [at[g] for g in x if g in at]] = 1
+    both, size = m @ m.T, np.array([len(x) for x in rows])
+    link = both * 1.8 >= 0.8 * (size[:, None] + size[None]) - 1e-6
+    np.fill_diagonal(link, False)
+    assert len(names) > 3000
+    got = {x.doc_id: x.n_links for x in near_join.near_classes(docs(spark, texts), sub_bucket=1000).collect()}
+    found = sum(got.values())
+    assert found >= 0.999 * link.sum() and all(got[i] <= k for i, k in enumerate(link.sum(1)))
+
+
 def test_bands_reach_recall():
     b = near_join.choose_bands(0.8)
     assert 1 - (1 - 0.8**b.rows) ** b.bands >= 0.9999 and b.size <= 128
