@@ -510,10 +510,15 @@ def test_archives_round_trip(spark):
     assert kind[2, "response", None] == kind[1, "revisit", 2] == kind[None, "revisit", 2] == kind[9, "response", None] == kind[4, "revisit", 5] == kind[5, "response", None] == kind[5, "revisit", 5] == 1
     assert all(r.record_type == "response" for r in archives.archive_pages(d, min_bytes=1000).collect())
     assert archives.archive_pages(d.where("false")).count() == 0
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in archives.archive_pages(d.withColumn("value", F.lit(1)).coalesce(1), file_records=3).collect()) == kind
     body = archives.http_message(1, b"x")
     for v in (1, 2):
         data = archives.arc_header(v, "f") + b"\n" + archives.arc_record(v, "u", archives.DATE, "text/html", body, "f", 9) + b"\n"
-        assert [r[-1] for r in archives.parse_arc(data)] == [body]
+        import gzip
+
+        for step in (1, 7, 1 << 20):
+            for packed in (data, gzip.compress(data), gzip.compress(data[:50]) + gzip.compress(data[50:])):
+                assert [(r[0], r[-1]) for r in archives.parse_arc(packed, step)] == [(len(archives.arc_header(v, "f")) + 1, body)]
         with pytest.raises(ValueError):
             list(archives.parse_arc(data[:-3]))
 
