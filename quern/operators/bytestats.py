@@ -30,8 +30,9 @@ def histogram(df: DataFrame, text: str) -> DataFrame:
 
 def block_repeats(df: DataFrame, text: str, key: str, width: int = 64) -> DataFrame:
     """Aligned blocks of width characters that occur more than once: hash, times, owners."""
-    at = F.sequence(F.lit(0), F.greatest(F.floor(F.length(text) / width) - 1, F.lit(0)).cast("int"))
-    blocks = df.where(F.length(text) >= width).select(key, F.explode(at).alias("i"), text).select(key, F.sha1(F.encode(F.substring(F.col(text), F.col("i") * width + 1, F.lit(width)), "UTF-8")).alias("block"))
+    # cut once from the front: a text's blocks cost its length
+    cut = F.regexp_extract_all(text, F.lit(f"(?s)(.{{{width}}})"), 1)
+    blocks = df.select(key, F.explode(cut).alias("b")).select(key, F.sha1(F.encode("b", "UTF-8")).alias("block"))
     return blocks.groupBy("block", key).agg(F.count("*").alias("n")).groupBy("block").agg(F.sum("n").alias("times"), F.count("*").alias("owners")).where("times > 1")
 
 

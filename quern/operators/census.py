@@ -70,3 +70,12 @@ def two_denominators(df: DataFrame, content: str, flag: Column) -> DataFrame:
     """A flag counted over files and over distinct contents."""
     by = df.groupBy(content).agg(F.count("*").alias("n"), F.count_if(flag).alias("k"))
     return by.agg(F.sum("n").alias("files"), F.sum("k").alias("files_flagged"), F.count("*").alias("contents"), F.count_if(F.col("k") > 0).alias("contents_flagged"))
+
+
+def true_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Median (mean of the middle two) and mean per group, of exact counts: distinct values are pre-aggregated, so a hot group's rows don't meet."""
+    tally = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    run = tally.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy(value))).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    middle = (F.min(F.when(F.col("upto") >= low, F.col(value))) + F.min(F.when(F.col("upto") >= high, F.col(value)))) / 2
+    return run.groupBy(*keys).agg(middle.cast("double").alias("median"), F.round(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 4).alias("mean"))

@@ -78,3 +78,9 @@ def mirror_matrix(hashes: DataFrame, sibling: str) -> DataFrame:
     sets = hashes.groupBy("sha1").agg(F.collect_set(sibling).alias("s")).where(F.size("s") > 1)
     pairs = sets.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def subset(a: DataFrame, b: DataFrame, key: str = "sha1") -> DataFrame:
+    """One row: whether every key of a is one of b's, and how many aren't."""
+    left = a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti")
+    return left.agg(F.count("*").alias("missing")).select((F.col("missing") == 0).alias("within"), "missing")

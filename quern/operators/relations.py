@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.batches import stored
+from quern.sources.shared import stored
 
 
 def resolve(df: DataFrame, field: str, target: DataFrame, target_key: str) -> DataFrame:
@@ -163,3 +163,11 @@ def named_keys(keys: DataFrame, key: str, names: DataFrame, name: str, functions
     """Names whose value under one of the functions is a key: each name is hashed once a function, then one equi-join."""
     cells = F.array(*[F.struct(F.lit(fn).alias("fn"), c.alias(key)) for fn, c in functions.items()])
     return names.select(name, F.inline(cells)).join(keys, key).select("fn", name, key)
+
+
+def table_coverage(names: DataFrame, name: str, table: DataFrame, key: str) -> DataFrame:
+    """How many of the distinct names a table knows."""
+    known = table.select(F.col(key).alias("_k")).where("_k is not null").distinct().withColumn("_hit", F.lit(1))
+    own = names.select(F.col(name).alias("_k")).where("_k is not null").distinct()
+    rows = own.join(known, "_k", "left").agg(F.count("*").alias("names"), F.count("_hit").alias("covered"))
+    return rows.withColumn("covered_pct", F.round(F.col("covered") * 100.0 / F.col("names"), 4))

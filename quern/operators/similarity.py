@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 def word_grams(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(key, pos, gram hash) of every k-word window."""
     words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    rows = df.select(key, words.alias("w")).where(F.size("w") >= k)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
+    # a word is hashed once; windows are of hashes
+    rows = df.select(key, F.transform(words, lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= k)
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.xxhash64(F.slice("w", i, k)))
     return rows.select(key, F.posexplode(grams).alias("pos", "gram"))
 
 
@@ -37,10 +40,21 @@ def distance(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """Best neighbour of each query among all rows: a stated, bounded query set is broadcast, and the best is a grouped minimum."""
+#: Queries that travel with the tasks at once; more go in several blocks, each met by all rows.
+QUERY_BLOCK = 10_000
+
+
+def query_pairs(queries: DataFrame, rows: DataFrame, key: str, vector: str, most: int = QUERY_BLOCK) -> DataFrame:
+    """A stated query set against all other rows, in blocks of about `most` queries: query, qv beside each row's columns."""
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    pairs = rows.join(F.broadcast(q), F.col(key) != F.col("query"))
+    parts = max(1, -(-q.count() // most))
+    blocks = [q.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == i) if parts > 1 else q for i in range(parts)]
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(b), F.col(key) != F.col("query")) for b in blocks])
+
+
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """Best neighbour of each query among all rows, a grouped minimum combined before the shuffle."""
+    pairs = query_pairs(queries, rows, key, vector)
     return pairs.groupBy("query").agg(F.min(F.struct(F.round(distance("qv", vector), 6).alias("mad"), F.col(key).alias("neighbour"))).alias("b")).select("query", F.col("b.neighbour").alias("neighbour"), F.col("b.mad").alias("mad"))
 
 
@@ -55,7 +69,6 @@ def shared_regions(a: DataFrame, a_key: str, b: DataFrame, b_key: str, text: str
 
 def separation(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float = 1.5) -> DataFrame:
     """Best distance of each query beside its best distance to the same rows with their places reversed, and the factor between them."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    pairs = rows.join(F.broadcast(q), F.col(key) != F.col("query"))
+    pairs = query_pairs(queries, rows, key, vector)
     best = pairs.groupBy("query").agg(F.min(distance("qv", F.col(vector))).alias("m"), F.min(distance("qv", F.reverse(vector))).alias("s"))
     return best.select("query", F.round("m", 6).alias("mad"), F.round("s", 6).alias("control"), F.round(F.try_divide("s", "m"), 4).alias("factor"), (F.col("s") >= least * F.col("m")).alias("separates"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import checks, text
 from quern.operators import bytestats, census, clocks, crossing, relations, search, similarity
+from quern.sources import decoders, files
+from quern.sources.shared import scratch
+from quern.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,12 +78,15 @@ def share_rollup(t):
     return census.rolled_up(sized(t), "lang", "source", "size").withColumn("level", F.col("level").cast("long"))
 
 
-@query(f"SELECT sum(size)::BIGINT AS leaves, sum(size)::BIGINT AS total, 0::BIGINT AS residue FROM {SIZED}")
+@query(f"""WITH r AS (SELECT sum(size) AS s, grouping(lang, source) AS g FROM {SIZED} GROUP BY ROLLUP (lang, source))
+SELECT (sum(s) FILTER (g = 0))::BIGINT AS leaves, (sum(s) FILTER (g = 3))::BIGINT AS total, (sum(s) FILTER (g = 0) - sum(s) FILTER (g = 3))::BIGINT AS residue FROM r""")
 def share_residue(t):
     return census.reconciled(census.rolled_up(sized(t), "lang", "source", "size"))
 
 
-@query(f"SELECT CASE WHEN size < 1000 THEN 'small' WHEN size < 5000 THEN 'middle' ELSE 'large' END AS grp, 1 AS matched, count(*) AS items FROM {SIZED} GROUP BY 1")
+@query(f"""WITH g AS (SELECT doc_id, 'small' AS grp FROM {SIZED} WHERE size < 1000 UNION ALL SELECT doc_id, 'middle' FROM {SIZED} WHERE size BETWEEN 1000 AND 4999 UNION ALL SELECT doc_id, 'large' FROM {SIZED} WHERE size >= 5000),
+m AS (SELECT d.doc_id, coalesce(min(grp), 'unassigned') AS grp, count(grp)::INT AS matched FROM documents d LEFT JOIN g USING (doc_id) GROUP BY 1)
+SELECT grp, matched, count(*) AS items FROM m GROUP BY 1, 2""")
 def exhaustive_groups(t):
     s = F.col("size")
     return census.assigned(sized(t), "doc_id", {"small": s < 1000, "middle": (s >= 1000) & (s < 5000), "large": s >= 5000})
@@ -205,7 +215,8 @@ def needle_chance(t):
     return search.needle_counts(t.documents, "text", NEEDLES).select("kind", F.round("chance_windows", 9).alias("chance_windows"), F.round("chance_bytes", 9).alias("chance_bytes"))
 
 
-@query("SELECT true AS positive_ok, true AS negative_ok, true AS verdict")
+@query(f"""WITH n AS ({NEEDLE_SQL}), v AS (SELECT coalesce(bool_and(hits > 0) FILTER (kind = 'must_hit'), false) AS p, coalesce(bool_and(hits = 0) FILTER (kind = 'must_miss'), false) AS m FROM n)
+SELECT p AS positive_ok, m AS negative_ok, p AND m AS verdict FROM v""")
 def control_verdict(t):
     return checks.controls(search.needle_counts(t.documents, "text", NEEDLES))
 
@@ -403,20 +414,16 @@ def graph_roots(t):
     return relations.roots(_edges(t))
 
 
-@query(f"""WITH RECURSIVE e AS (FROM {EDGES}), r AS (SELECT src AS root FROM e WHERE src NOT IN (SELECT dst FROM e)),
-w(root, last, steps) AS (SELECT root, root, 0::BIGINT FROM r UNION ALL SELECT root, dst, steps + 1 FROM w JOIN e ON last = src WHERE steps < 8)
-SELECT root, max_by(last, steps) AS last, max(steps) AS steps FROM w GROUP BY 1""")
-def graph_walk(t):
-    return relations.walks(_edges(t), most=8)
-
-
 @query(f"""WITH RECURSIVE e AS (SELECT src, min(dst) AS dst FROM {EDGES} GROUP BY src HAVING count(*) = 1), r AS (SELECT DISTINCT src AS root FROM {EDGES} WHERE src NOT IN (SELECT dst FROM {EDGES} WHERE dst IS NOT NULL)),
 w(root, last, steps, seen) AS (SELECT root, root, 0::BIGINT, [root] FROM r UNION ALL SELECT root, dst, steps + 1, list_append(seen, dst) FROM w JOIN e ON last = src WHERE NOT list_contains(seen, dst))
 SELECT root, max_by(last, steps) AS last, max(steps) AS steps FROM w GROUP BY 1""")
-def graph_walk_whole(t):
+def graph_walk(t):
     return relations.walks(_edges(t))
 
 
+QUERIES["graph_walk_whole"], ORACLE["graph_walk_whole"] = QUERIES["graph_walk"], ORACLE["graph_walk"]
+
+
 # text and structure
 
 TOKENS = "string_split_regex(lower(text), '[^a-zäöüßñáíóúéèêçà]+')"
@@ -641,3 +648,141 @@ def weighted_entropy(t):
 @query("WITH n AS (SELECT sum(length(text) // 64)::BIGINT AS n FROM documents) SELECT n AS blocks, n::DOUBLE * (n - 1) / 2 / pow(2.0, 128) AS expected_collisions FROM n")
 def birthday_collisions(t):
     return bytestats.birthday(t.documents, "text", 64)
+
+
+# sources: files are written from the tables into the shared folder and read again
+
+
+def _item_files(t) -> str:
+    """A folder with one text file an item of benchmark."""
+    path = scratch(t._spark, "items")
+    t.benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).repartition("item_id").write.partitionBy("item_id").text(path)
+    return path
+
+
+ITEM = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id")
+#: The content of an item's file: its text and the line end.
+ITEM_FILE = "(SELECT item_id, coalesce(text, '') || chr(10) AS c FROM benchmark)"
+
+
+@query(f"SELECT item_id, strlen(c)::BIGINT AS size, '.txt' AS extension FROM {ITEM_FILE}")
+def source_tree(t):
+    return files.tree(t._spark, _item_files(t)).select(ITEM, "size", text.extension(F.col("path")).alias("extension"))
+
+
+@query(f"SELECT item_id, strlen(c)::BIGINT AS size, sha1(c) AS sha1 FROM {ITEM_FILE}")
+def source_blobs(t):
+    return files.blobs(t._spark, _item_files(t)).withColumnRenamed("label", "path").select(ITEM, "size", F.sha1("content").alias("sha1"))
+
+
+@query(f"SELECT item_id, left(hex(encode(c)), 64) AS head FROM {ITEM_FILE}")
+def source_heads(t):
+    return files.heads(files.blobs(t._spark, _item_files(t)).withColumnRenamed("label", "path"), 32).select(ITEM, F.hex("head").alias("head"))
+
+
+@query(f"SELECT item_id, len(list_filter(range(1, greatest(strlen(c), 1)), lambda i: substr(hex(encode(c)), 2 * i::INT - 1, 4) = '7468'))::BIGINT AS hits FROM {ITEM_FILE}")
+def source_chunks(t):
+    chunks = files.chunked(files.blobs(t._spark, _item_files(t)).withColumnRenamed("label", "path"), 50, 1)
+    return files.needle_in_chunks(chunks, b"th", 50).select(ITEM, "hits")
+
+
+@query(f"SELECT sha1, size, doc_id::VARCHAR || '.txt' AS path FROM {HASHED} UNION ALL SELECT NULL, NULL, NULL FROM (SELECT DISTINCT source FROM documents)")
+def source_hash_list(t):
+    path = scratch(t._spark, "hashes")
+    lines = docs_hashed(t).select(F.concat_ws(" ", "sha1", "size", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("value"))
+    lines.unionByName(t.documents.select(F.concat(F.lit("# "), "source").alias("value")).distinct()).write.text(path)
+    return files.hash_list(t._spark, path).drop("line")
+
+
+@query("SELECT x AS sha1, count(*) AS times FROM (SELECT unnest(regexp_extract_all(lower(text), '\\b([0-9a-f]{40})\\b', 1)) AS x FROM documents) GROUP BY 1")
+def source_tokens(t):
+    path = scratch(t._spark, "texts")
+    t.documents.select(F.coalesce("text", F.lit(""))).write.text(path)
+    return files.tokens40(t._spark, path).groupBy("sha1").agg(F.count("*").alias("times"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def source_tsv(t):
+    path = scratch(t._spark, "table")
+    files.write_tsv(t.nation.select("n_nationkey", "n_name", "n_regionkey"), path)
+    return files.tsv(t._spark, path, "n_nationkey long, n_name string, n_regionkey long")
+
+
+def _zipped(t) -> DataFrame:
+    """(path, content): a ZIP archive of each source and language's texts, a member a document."""
+
+    def pack(pdf):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for i, body in sorted(zip(pdf["doc_id"], pdf["text"])):
+                z.writestr(f"{i}.txt", body or "")
+        return pd.DataFrame({"path": [str(pdf["doc_id"].min())], "content": [out.getvalue()]})
+
+    some = t.documents.select("doc_id", "text", F.floor(F.col("doc_id") / 64).alias("part"))
+    return some.groupBy("part").applyInPandas(pack, "path string, content binary")
+
+
+@query("SELECT (min(doc_id) OVER (PARTITION BY doc_id // 64))::VARCHAR AS path, doc_id::VARCHAR || '.txt' AS name, strlen(coalesce(text, ''))::BIGINT AS size FROM documents")
+def source_zip(t):
+    return files.members(_zipped(t)).select("path", "name", "size")
+
+
+def _mixed(t) -> DataFrame:
+    """(label, content) of every document: as text, packed, packed and cut short, or under a false signature."""
+    @F.pandas_udf("binary")
+    def packed(bodies: pd.Series) -> pd.Series:
+        def gz(b):
+            z = zlib.compressobj(1, zlib.DEFLATED, 31)
+            return z.compress(b) + z.flush()
+
+        return bodies.map(gz)
+
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    gz, kind = packed(body), F.col("doc_id") % 4
+    content = F.when(kind == 0, body).when(kind == 1, gz).when(kind == 2, F.substring(gz, F.lit(1), F.length(gz) - 1)).otherwise(F.concat(F.unhex(F.lit("504B0304")), body))
+    return t.documents.select(F.col("doc_id").cast("string").alias("label"), content.alias("content"), F.octet_length(body).cast("long").alias("size"))
+
+
+@query(f"""WITH k AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'text' WHEN 3 THEN 'zip' ELSE 'gzip' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'undecoded' WHEN 1 THEN 'closed' ELSE 'refused' END AS outcome, size FROM {SIZED})
+SELECT kind, outcome, count(*) AS files, sum(size)::BIGINT AS bytes, round(sum(size) * 100.0 / (SELECT sum(size) FROM k), 4) AS share_pct FROM k GROUP BY 1, 2""")
+def coverage_account(t):
+    tree = _mixed(t)
+    return files.coverage(files.decode(tree), tree.select("label", "size"))
+
+
+@query("SELECT CASE WHEN text IS NULL OR regexp_full_match(text, '[\\x00-\\x7F]*') THEN 'ascii' ELSE 'utf-8' END AS codec, count(*) AS files FROM documents GROUP BY 1")
+def codec_census(t):
+    return t.documents.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")).select(decoders.text_codec("content").alias("codec")).groupBy("codec").agg(F.count("*").alias("files"))
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS events FROM events GROUP BY 1, 2")
+def stream_census(t):
+    """The whole table as a stream, in the windows of the last batch."""
+    spark = t._spark
+    path, at = scratch(spark, "census"), scratch(spark, "census-at")
+    stream = spark.readStream.schema(t.events.schema).parquet(f"{t._dir}/event[s].parquet")
+    counted = arrivals.arrival_census(stream, "ts", "event_type")
+    counted.writeStream.outputMode("complete").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3")
+def most_common(t):
+    return t.events.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
+
+
+@query("SELECT source, median(size)::DOUBLE AS median, round(avg(size), 4) AS mean FROM (SELECT source, strlen(coalesce(text, ''))::BIGINT AS size FROM documents) GROUP BY 1")
+def true_medians(t):
+    """Exact medians: sizes are counted first, so a source's rows don't meet."""
+    return census.true_medians(sized(t), ["source"], "size")
+
+
+@query(f"SELECT NOT EXISTS (SELECT sha1 FROM {ITEMS} EXCEPT SELECT sha1 FROM {HASHED}) AS items_in_documents, NOT EXISTS (SELECT DISTINCT sha1 FROM {HASHED} WHERE lang = 'en' EXCEPT SELECT sha1 FROM {HASHED}) AS english_in_documents")
+def subset_test(t):
+    all_ = docs_hashed(t)
+    return crossing.subset(items_hashed(t), all_).select(F.col("within").alias("items_in_documents")).crossJoin(crossing.subset(all_.where("lang = 'en'"), all_).select(F.col("within").alias("english_in_documents")))
+
+
+@query(f"""SELECT count(*) AS names, count(s) AS covered, round(count(s) * 100.0 / count(*), 4) AS covered_pct FROM (SELECT DISTINCT o_custkey AS c FROM orders) LEFT JOIN (SELECT DISTINCT s_suppkey AS s FROM supplier) ON c = s""")
+def table_coverage(t):
+    return relations.table_coverage(t.orders.select("o_custkey"), "o_custkey", t.supplier.select("s_suppkey"), "s_suppkey").select("names", "covered", "covered_pct")

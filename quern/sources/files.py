@@ -91,13 +91,14 @@ class _ChunkReader(DataSourceReader):
 
 
 def needle_in_chunks(chunks: DataFrame, needle: bytes, block: int) -> DataFrame:
-    """Non-overlapping occurrences by file, each counted once: a match belongs to the block it starts in."""
+    """Places of needle by file, overlapping ones included; each counts once, for the block it starts in."""
+
     @F.pandas_udf("long")
     def hits(content: pd.Series) -> pd.Series:
         def n(b):
             k, at = 0, b.find(needle)
             while 0 <= at < block:
-                k, at = k + 1, b.find(needle, at + len(needle))
+                k, at = k + 1, b.find(needle, at + 1)
             return k
 
         return content.map(n)
@@ -105,6 +106,41 @@ def needle_in_chunks(chunks: DataFrame, needle: bytes, block: int) -> DataFrame:
     return chunks.groupBy("path").agg(F.sum(hits("bytes")).alias("hits"))
 
 
+def chunked(files: DataFrame, block: int, overlap: int = 0, content: str = "content") -> DataFrame:
+    """ChunkSource's rows from files that only Spark reads: `path, size, block, start, bytes` of a frame (path, content)."""
+    size = F.octet_length(content)
+    at = F.sequence(F.lit(0), F.greatest(F.floor((size - 1) / block), F.lit(0)).cast("int"))
+    rows = files.select("path", size.cast("long").alias("size"), F.explode(at).alias("block"), F.col(content).alias("_c"))
+    return rows.select("path", "size", "block", (F.col("block") * block).cast("long").alias("start"), F.substring("_c", F.col("block") * block + 1, F.lit(block + overlap)).alias("bytes"))
+
+
+def heads(files: DataFrame, n: int, content: str = "content") -> DataFrame:
+    """path and the first n bytes of each file."""
+    return files.select("path", F.substring(content, 1, n).alias("head"))
+
+
+def members(archives: DataFrame, content: str = "content") -> DataFrame:
+    """One row a member of every ZIP archive (path, content): path, name, size, packed, offset, crc; from the directory, nothing is unpacked."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, *m) for p, c in zip(pdf["path"], pdf[content]) for m in zip_members(bytes(c))]
+            yield pd.DataFrame(rows, columns=["path", "name", "size", "packed", "offset", "crc"])
+
+    return archives.select("path", content).mapInPandas(run, "path string, name string, size long, packed long, offset long, crc long")
+
+
+def coverage(decoded: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The account of a decoded tree: by kind and outcome (closed, refused, or undecoded) files, bytes and share, beside the whole tree's bytes.
+
+    decoded is decode's result, sizes (label, size) the tree's files. Files that decode lost are the account's residue, a row of their own."""
+    outcome = F.when(F.col("error").isNotNull(), "refused").when(F.col("detail").isNotNull(), "closed").otherwise("undecoded")
+    known = decoded.select("label", "kind", outcome.alias("outcome"))
+    rows = sizes.join(known, "label", "left").withColumn("kind", F.coalesce("kind", F.lit("lost"))).withColumn("outcome", F.coalesce("outcome", F.lit("lost")))
+    by = rows.groupBy("kind", "outcome").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return by.crossJoin(F.broadcast(sizes.agg(F.sum("size").alias("total")))).withColumn("share_pct", F.round(F.col("bytes") * 100.0 / F.col("total"), 4)).drop("total")
+
+
 def zip_members(content: bytes) -> list[tuple[str, int, int, int, int]]:
     """(name, size, packed, offset, crc) from the central directory, without extraction."""
     import io

@@ -74,6 +74,10 @@ def test_chunks_count_seams_once(spark, tmp_path):
     spark.dataSource.register(files.ChunkSource)
     d = spark.read.format("chunks").option("path", str(tmp_path)).option("block", 7).option("overlap", 3).load()
     assert files.needle_in_chunks(d, b"aab", 7).first().hits == 10
+    assert files.needle_in_chunks(d, b"aa", 7).first().hits == 20
+    same = files.chunked(spark.createDataFrame([("x", b"aaaaa")], "path string, content binary"), 3, 1)
+    assert files.needle_in_chunks(same, b"aa", 3).first().hits == 4
+    assert [bytes(r.bytes) for r in files.chunked(spark.createDataFrame([("e", b""), ("f", b"abcdef")], "path string, content binary"), 3).collect()] == [b"", b"abc", b"def"]
     head = spark.read.format("chunks").option("path", str(tmp_path)).option("block", 7).option("head", "true").load().collect()
     assert len(head) == 1 and head[0].size == 40 and len(head[0].bytes) == 7
 
