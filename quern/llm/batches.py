@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from quern.sources.shared import drop_path, scratch, stored  # noqa: F401
+
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
 CHUNK_BYTES = 2 << 20
 #: Odd multiplier of the polynomial word hash modulo 2**64, and its inverse.
@@ -24,36 +25,6 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir. A local session without one gets a folder of its own; a cluster is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        elif spark.sparkContext.master.startswith("local"):
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
-            base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-    return f"{base.rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system interface."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -214,15 +185,14 @@ def split_by(doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n_docs + 1))
 
 
-#: Groups that the keys of a sampled group are dealt to before the final choice.
-SAMPLE_SALTS = 64
+#: Parts that the keys of a sampled group are dealt to; each gives its share.
+SAMPLE_SALTS = 50
 
 
 def sample_ids(df: DataFrame, key: str, group: str, per_group: int, salt: int = 0) -> DataFrame:
-    """At most per_group keys of each group, by smallest hash. Only keys are shuffled; each map task sends at most per_group of a
-    group and salt, and the task that makes the final choice gets at most SAMPLE_SALTS * per_group of a group."""
-    order = (F.xxhash64(F.col(key), F.lit(salt)), F.col(key))
+    """At most about per_group keys of each group, the smallest by hash of each of SAMPLE_SALTS parts of the group.
+
+    Only keys are shuffled, and no task gets more than its part of a group, of which each map task sends at most that part's share."""
     keys = df.select(key, group).distinct().withColumn("_salt", F.pmod(F.xxhash64(F.col(key), F.lit(salt + 1)), F.lit(SAMPLE_SALTS)).cast("int"))
-    for by in ([group, "_salt"], [group]):
-        keys = keys.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= per_group)
-    return keys.select(key, group)
+    order = Window.partitionBy(group, "_salt").orderBy(F.xxhash64(F.col(key), F.lit(salt)), F.col(key))
+    return keys.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= -(-per_group // SAMPLE_SALTS)).select(key, group)

@@ -31,7 +31,7 @@ from quern.llm.batches import U, mix, shingles, slices, small_batches, span_hash
 #: Signature estimates at which a text follows a leader, and at which it is connected to one.
 TIGHT, LOOSE, MEET = 0.8, 0.45, 0.1
 #: Members of a bucket that one task streams, and texts and n-grams of a block of exact verification.
-SUB_BUCKET, BLOCK, BLOCK_GRAMS = 4096, 512, 2_000_000
+SUB_BUCKET, BLOCK, BLOCK_GRAMS = 1024, 512, 2_000_000
 #: Parts into which labels and groups are dealt where many rows ask for one of them.
 SALTS = 16
 NO_KEY = -(1 << 63)
