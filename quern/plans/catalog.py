@@ -660,30 +660,33 @@ def _item_files(t) -> str:
     return path
 
 
-ITEM = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id")
+def _item():
+    return F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id")
+
+
 #: The content of an item's file: its text and the line end.
 ITEM_FILE = "(SELECT item_id, coalesce(text, '') || chr(10) AS c FROM benchmark)"
 
 
 @query(f"SELECT item_id, strlen(c)::BIGINT AS size, '.txt' AS extension FROM {ITEM_FILE}")
 def source_tree(t):
-    return files.tree(t._spark, _item_files(t)).select(ITEM, "size", text.extension(F.col("path")).alias("extension"))
+    return files.tree(t._spark, _item_files(t)).select(_item(), "size", text.extension(F.col("path")).alias("extension"))
 
 
 @query(f"SELECT item_id, strlen(c)::BIGINT AS size, sha1(c) AS sha1 FROM {ITEM_FILE}")
 def source_blobs(t):
-    return files.blobs(t._spark, _item_files(t)).withColumnRenamed("label", "path").select(ITEM, "size", F.sha1("content").alias("sha1"))
+    return files.blobs(t._spark, _item_files(t)).withColumnRenamed("label", "path").select(_item(), "size", F.sha1("content").alias("sha1"))
 
 
 @query(f"SELECT item_id, left(hex(encode(c)), 64) AS head FROM {ITEM_FILE}")
 def source_heads(t):
-    return files.heads(files.blobs(t._spark, _item_files(t)).withColumnRenamed("label", "path"), 32).select(ITEM, F.hex("head").alias("head"))
+    return files.heads(files.blobs(t._spark, _item_files(t)).withColumnRenamed("label", "path"), 32).select(_item(), F.hex("head").alias("head"))
 
 
 @query(f"SELECT item_id, len(list_filter(range(1, greatest(strlen(c), 1)), lambda i: substr(hex(encode(c)), 2 * i::INT - 1, 4) = '7468'))::BIGINT AS hits FROM {ITEM_FILE}")
 def source_chunks(t):
     chunks = files.chunked(files.blobs(t._spark, _item_files(t)).withColumnRenamed("label", "path"), 50, 1)
-    return files.needle_in_chunks(chunks, b"th", 50).select(ITEM, "hits")
+    return files.needle_in_chunks(chunks, b"th", 50).select(_item(), "hits")
 
 
 @query(f"SELECT sha1, size, doc_id::VARCHAR || '.txt' AS path FROM {HASHED} UNION ALL SELECT NULL, NULL, NULL FROM (SELECT DISTINCT source FROM documents)")
