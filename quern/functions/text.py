@@ -91,6 +91,30 @@ def sdbm(name: Column) -> Column:
     return _folded_hash(name, 0, lambda h, x: (h * 65599 + x).bitwiseAND(F.lit(LOW32)))
 
 
+def elf(name: Column) -> Column:
+    def step(h, x):
+        h = (F.shiftleft(h, 4) + x).bitwiseAND(F.lit(LOW32))
+        high = h.bitwiseAND(F.lit(0xF0000000))
+        return h.bitwiseXOR(F.shiftright(high, 24)).bitwiseXOR(high)
+
+    return _folded_hash(name, 0, step)
+
+
+def one_at_a_time(name: Column) -> Column:
+    """The one-at-a-time hash: mixed after each byte, and three times more at the end."""
+    low = lambda c: c.bitwiseAND(F.lit(LOW32))
+
+    def step(h, x):
+        h = low(h + x)
+        h = low(h + F.shiftleft(h, 10))
+        return h.bitwiseXOR(F.shiftright(h, 6))
+
+    h = _folded_hash(name, 0, step)
+    h = low(h + F.shiftleft(h, 3))
+    h = h.bitwiseXOR(F.shiftright(h, 11))
+    return low(h + F.shiftleft(h, 15))
+
+
 def unescaped(text: Column) -> Column:
     """The five named entities decoded, the ampersand last, so that nothing is decoded twice."""
     for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):

@@ -171,3 +171,15 @@ def table_coverage(names: DataFrame, name: str, table: DataFrame, key: str) -> D
     own = names.select(F.col(name).alias("_k")).where("_k is not null").distinct()
     rows = own.join(known, "_k", "left").agg(F.count("*").alias("names"), F.count("_hit").alias("covered"))
     return rows.withColumn("covered_pct", F.round(F.col("covered") * 100.0 / F.col("names"), 4))
+
+
+def field_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, field, old, new, change) of every field that differs between two versions of records, and of records in one only.
+
+    One full outer join on the key; values are compared as text, nulls equal."""
+    names = [c for c in old.columns if c != key]
+    side = lambda df, tag: df.select(key, F.struct(*[F.col(c).cast("string").alias(c) for c in names]).alias(tag))
+    both = side(old, "_old").join(side(new, "_new"), key, "full")
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_old.{c}").alias("old"), F.col(f"_new.{c}").alias("new")) for c in names])
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("changed").alias("change")
+    return both.select(key, change, F.inline(cells)).where(~F.col("old").eqNullSafe(F.col("new")))

@@ -789,3 +789,45 @@ def subset_test(t):
 @query(f"""SELECT count(*) AS names, count(s) AS covered, round(count(s) * 100.0 / count(*), 4) AS covered_pct FROM (SELECT DISTINCT o_custkey AS c FROM orders) LEFT JOIN (SELECT DISTINCT s_suppkey AS s FROM supplier) ON c = s""")
 def table_coverage(t):
     return relations.table_coverage(t.orders.select("o_custkey"), "o_custkey", t.supplier.select("s_suppkey"), "s_suppkey").select("names", "covered", "covered_pct")
+
+
+@query("SELECT event_type, CASE WHEN event_id % 50 = 0 THEN 'refused' ELSE 'read' END AS outcome, count(*) AS events, sum(CASE WHEN event_id % 50 <> 0 THEN event_id END)::BIGINT AS ids FROM events GROUP BY 1, 2")
+def source_json(t):
+    """Events as JSON lines, each fiftieth cut short: read where whole, refused and counted where not."""
+    path = scratch(t._spark, "lines")
+    line = F.to_json(F.struct("event_id", "event_type"))
+    t.events.select(F.when(F.col("event_id") % 50 == 0, F.concat_ws("", F.lit("{\"event_type\": \""), "event_type", F.lit("\", \"event_id\": "))).otherwise(line)).write.text(path)
+    got = files.json_lines(t._spark, path, "event_id long, event_type string")
+    kind = F.coalesce(F.when(F.col("refused").isNull(), F.col("event_type")), F.regexp_extract("refused", r'"event_type": "([^"]*)"', 1))
+    whole = F.when(F.col("refused").isNull(), F.col("event_id"))
+    return got.groupBy(kind.alias("event_type"), F.when(F.col("refused").isNull(), "read").otherwise("refused").alias("outcome")).agg(F.count("*").alias("events"), F.sum(whole).alias("ids"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, CASE WHEN n_nationkey % 5 <> 0 THEN n_regionkey::BIGINT END AS n_regionkey, n_nationkey % 5 = 0 AS refused FROM nation")
+def source_xml(t):
+    """Nations as XML elements, each fifth with a region that is no number: read field by field, refused by name."""
+    path = scratch(t._spark, "elements")
+    region = F.when(F.col("n_nationkey") % 5 == 0, "none").otherwise(F.col("n_regionkey").cast("string"))
+    t.nation.select("n_nationkey", "n_name", region.alias("n_regionkey")).write.format("xml").option("rowTag", "nation").option("rootTag", "nations").save(path)
+    got = files.xml_rows(t._spark, path, "nation", "n_nationkey long, n_name string, n_regionkey long")
+    return got.select("n_nationkey", "n_name", "n_regionkey", F.col("refused").isNotNull().alias("refused"))
+
+
+@query("""WITH o AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 7 <> 0),
+n AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN upper(c_name) || '!' ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 11 <> 0),
+b AS (SELECT c_custkey, o.c_custkey IS NULL AS a, n.c_custkey IS NULL AS r, o.c_name AS o1, n.c_name AS n1, o.c_mktsegment AS o2, n.c_mktsegment AS n2, o.c_nationkey::VARCHAR AS o3, n.c_nationkey::VARCHAR AS n3
+FROM o FULL JOIN n USING (c_custkey)), f AS (SELECT c_custkey, a, r, 'c_name' AS field, o1 AS old, n1 AS new FROM b UNION ALL SELECT c_custkey, a, r, 'c_mktsegment', o2, n2 FROM b UNION ALL SELECT c_custkey, a, r, 'c_nationkey', o3, n3 FROM b)
+SELECT c_custkey, CASE WHEN a THEN 'added' WHEN r THEN 'removed' ELSE 'changed' END AS change, field, old, new FROM f WHERE old IS DISTINCT FROM new""")
+def field_diff(t):
+    rows = t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    key = F.col("c_custkey")
+    new = rows.where(key % 11 != 0).withColumn("c_name", F.when(key % 5 == 0, F.concat(F.upper("c_name"), F.lit("!"))).otherwise(F.col("c_name"))).withColumn("c_mktsegment", F.when(key % 3 != 0, F.col("c_mktsegment")))
+    return relations.field_changes(rows.where(key % 7 != 0), new, "c_custkey")
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), h AS (SELECT name, {_fold_sql(0, 'xor(xor((h * 16 + x) % 4294967296, (((h * 16 + x) % 4294967296) // 268435456) * 16), (((h * 16 + x) % 4294967296) // 268435456) * 268435456)')} AS elf,
+{_fold_sql(0, 'xor(((h + x) * 1025) % 4294967296, (((h + x) * 1025) % 4294967296) // 64)')}::HUGEINT AS j FROM n), j AS (SELECT *, (j * 9) % 4294967296 AS k FROM h)
+SELECT name, elf, ((xor(k, k // 2048) * 32769) % 4294967296)::BIGINT AS one_at_a_time FROM j""")
+def more_name_hashes(t):
+    name = F.col("name")
+    return t.part.select(F.col("p_name").alias("name")).distinct().select("name", text.elf(name).alias("elf"), text.one_at_a_time(name).alias("one_at_a_time"))

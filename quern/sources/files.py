@@ -47,6 +47,16 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.option("sep", "\t").option("header", True).csv(path)
 
 
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of JSON lines with a column `refused`: the line that is no such record, null for those that are. No line is dropped."""
+    return spark.read.schema(f"{schema}, refused string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "refused").json(path)
+
+
+def xml_rows(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
+    """Elements named row of XML files with a column `refused`: the element's text if it doesn't hold what the schema declares."""
+    return spark.read.format("xml").schema(f"{schema}, refused string").option("rowTag", row).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "refused").load(path)
+
+
 class _Part(InputPartition):
     def __init__(self, path: str, start: int, length: int, number: int):
         self.path, self.start, self.length, self.number = path, start, length, number

@@ -39,3 +39,19 @@ def test_entry_points():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(catalog.QUERIES) <= set(e.queries())
+
+
+def test_name_hashes_by_published_values(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import text
+
+    fox = "The quick brown fox jumps over the lazy dog"
+    got = {r.n: (r.e, r.j) for r in spark.createDataFrame([("a",), (fox,), ("",)], "n string").select("n", text.elf(F.col("n")).alias("e"), text.one_at_a_time(F.col("n")).alias("j")).collect()}
+    assert got["a"] == (97, 0xCA2E9442) and got[fox][1] == 0x519E91F5 and got[""] == (0, 0)
+    h = 0
+    for c in fox.encode():
+        h = (h << 4) + c
+        g = h & 0xF0000000
+        h = (h ^ g >> 24) & ~g & 0xFFFFFFFF
+    assert got[fox][0] == h
