@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quern.sources.shared import drop_path, scratch, stored  # noqa: F401
+from quern.sources.shared import discard, drop_path, scratch, stored  # noqa: F401
 
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
 CHUNK_BYTES = 2 << 20

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.batches import U, mix, shingles, slices, small_batches, span_hash, stored, text_buffers, words_of
+from quern.llm.batches import U, discard, mix, shingles, slices, small_batches, span_hash, stored, text_buffers, words_of
 
 #: Signature estimates at which a text follows a leader, and at which it is connected to one.
 TIGHT, LOOSE, MEET = 0.8, 0.45, 0.1
@@ -215,14 +215,15 @@ def connected(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
         told = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(told, "id").select("id", "label", F.least("label", "near").alias("new"))
+        step = labels.select("id", "label").join(told, "id").select("id", "label", F.least("label", "near").alias("new"))
         # many nodes ask for the label of one: those asked for are few, and are dealt to every salt
         jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far")).join(step.select("new").distinct(), "new", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         step = step.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         nxt = stored(step.join(jump, ["new", "salt"]).select("id", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved")), "labels")
-        done = nxt.where("moved").limit(1).count() == 0
-        labels = nxt.select("id", "label")
+        discard(labels)
+        labels, done = nxt, nxt.where("moved").limit(1).count() == 0
         if done:
+            discard(both)
             return labels
 
 
@@ -363,7 +364,8 @@ def _near(docs: DataFrame, repeats: bool, width: int = 5, threshold: float = 0.8
     second = _bucket_edges(led.repartition(parts, "bucket").sortWithinPartitions("bucket", "id"), banding.size, TIGHT, MEET, False)
     edges = first.where("b is not null").select("a", "b").unionByName(second.where("b is not null").select("a", "b")).distinct()
     labels = connected(edges)
-    comp = labels.join(reps.select("id", "copies", "grams"), "id")
+    discard(first)
+    comp = labels.select("id", "label").join(reps.select("id", "copies", "grams"), "id")
     sizes = comp.groupBy("label").agg(F.count("*").alias("m"), F.sum("grams").alias("g")).withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("g") / block_grams)).cast("long"))
     comp = comp.join(sizes.select("label", "blocks"), "label").withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")))
     comp = stored(comp, "near-components")
@@ -386,11 +388,13 @@ def _near(docs: DataFrame, repeats: bool, width: int = 5, threshold: float = 0.8
     links = got.groupBy("id").agg(F.sum("links").alias("links"))
     spread = got.where("not alone").select(F.col("id").alias("a"), F.col("root").alias("b"))
     roots = got.where("alone").select("id", F.col("root").alias("label"))
-    if spread.limit(1).count():
-        roots = roots.unionByName(connected(spread))
+    joined = connected(spread) if spread.limit(1).count() else None
+    if joined:
+        roots = roots.unionByName(joined.select("id", "label"))
     result = links.join(roots, "id").select(F.col("id").alias("rep"), F.col("links"), F.col("label").alias("root"))
     # a group is joined with its result once; a text without copies is its group, and copies look theirs up dealt by a salt
     each = stored(groups.join(result, "rep", "left").select("rep", "set1", "set2", "grams", "copies", F.coalesce("root", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "near-result")
+    discard(groups, reps, labels, comp, got, *([joined] if joined else []))
     alone = each.where("copies = 1").select(F.col("rep").alias("id"), "class", F.col("rep").alias("copy"), "n_links")
     several = each.where("copies > 1").drop("copies").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = all_.select("id", "set1", "set2", "grams").withColumn("salt", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quern.llm.batches import small_batches, stored
+from quern.llm.batches import discard, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE, SECRET = KINDS[:4], 4
@@ -191,11 +191,13 @@ def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, min_confide
         tally = rows.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
         scored = tally.groupBy("pattern").agg(F.max_by(F.struct("kind", "n"), F.when(F.col("kind") >= 0, F.struct("n", -F.col("kind")))).alias("main"), F.sum("n").alias("all"))
         scored = scored.select("pattern", F.col("main.kind").alias("kind"), (F.col("main.n") / (F.col("all") + F.lit(SHRINK))).alias("confidence"), F.col("main.n").alias("support"))
-        found = stored(scored.where((F.col("kind") >= 0) & (F.col("confidence") >= min_confidence) & (F.col("support") >= min_support)), f"pii-round{i}")
+        last, found = found, stored(scored.where((F.col("kind") >= 0) & (F.col("confidence") >= min_confidence) & (F.col("support") >= min_support)), f"pii-round{i}")
+        discard(*[x for x in (last, believed) if x is not None])
         if i + 1 < rounds:
             told = salted(edges.where("kind < 0"), "instance").drop("kind").join(every_salt(found.select("pattern", "kind", "confidence")), ["pattern", "salt"])
             best = told.groupBy("instance").agg(F.max(F.struct("confidence", -F.col("kind"), "kind")).alias("best"))
             believed = stored(best.select("instance", F.col("best.kind").alias("kind")), f"pii-beliefs{i}")
+    discard(edges)
     return found
 
 
