@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import near_join, packing, pii, suffix_quality, toxicity
-from quern.llm.batches import scratch
+from quern.llm.batches import drop_path, scratch
 from quern.llm.queries import remainder, table, tokenizer
 
 
@@ -48,10 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is a Parquet table in the shared folder, reread by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's result is a Parquet table in the shared folder, reread by the next and then deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
