@@ -115,6 +115,49 @@ def one_at_a_time(name: Column) -> Column:
     return low(h + F.shiftleft(h, 15))
 
 
+def byte_pairs(data: Column) -> Column:
+    """Each byte as two hexadecimal digits, split in one pass."""
+    return F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0))
+
+
+def byte_codes(data: Column) -> Column:
+    return F.transform(byte_pairs(data), lambda p: F.conv(p, 16, 10).cast("long"))
+
+
+def crc16(data: Column, poly: int = 0xA001) -> Column:
+    """Reflected 16-bit checksum of bytes, bit by bit: a byte enters, eight shifts (-1) follow."""
+    shift = F.lit(-1).cast("long")
+    steps = F.flatten(F.transform(byte_codes(data), lambda b: F.array(b, *[shift] * 8)))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda h, x: F.when(x >= 0, h.bitwiseXOR(x)).otherwise(F.shiftright(h, 1).bitwiseXOR(h.bitwiseAND(F.lit(1)) * poly)))
+
+
+def jamcrc(data: Column) -> Column:
+    """CRC-32 without its last inversion."""
+    return F.crc32(data).bitwiseXOR(F.lit(LOW32))
+
+
+def xored(data: Column, key: int) -> Column:
+    """Bytes XORed with a one-byte key, as hexadecimal digits; twice gives the bytes back."""
+    return F.array_join(F.transform(byte_codes(data), lambda b: F.lpad(F.hex(b.bitwiseXOR(F.lit(key))), 2, "0")), "")
+
+
+def byte_swapped(data: Column) -> Column:
+    """Each pair of bytes swapped, as hexadecimal digits; an odd last byte stays."""
+    return F.regexp_replace(F.hex(data), "(..)(..)", "$2$1")
+
+
+def stem(path: Column) -> Column:
+    """Last component without its extension; leading dots belong to the stem."""
+    base = F.regexp_extract(path, r"([^/]*)$", 1)
+    cut = F.regexp_extract(base, r"^(\.*[^.].*?)\.[^.]*$", 1)
+    return F.when(cut == "", base).otherwise(cut)
+
+
+def top_dir(path: Column) -> Column:
+    """First component of a path that has several, else `(root)`."""
+    return F.when(F.contains(path, F.lit("/")), F.split_part(path, F.lit("/"), F.lit(1))).otherwise("(root)")
+
+
 def unescaped(text: Column) -> Column:
     """The five named entities decoded, the ampersand last, so that nothing is decoded twice."""
     for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):

@@ -79,3 +79,10 @@ def true_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
     middle = (F.min(F.when(F.col("upto") >= low, F.col(value))) + F.min(F.when(F.col("upto") >= high, F.col(value)))) / 2
     return run.groupBy(*keys).agg(middle.cast("double").alias("median"), F.round(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 4).alias("mean"))
+
+
+def fixed_width(df: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """A line of text a row: text columns to the left, numbers to the right, each cut to its width; null is blank."""
+    kinds = dict(df.dtypes)
+    cell = lambda c, n: (F.rpad if kinds[c] == "string" else F.lpad)(F.coalesce(F.col(c).cast("string"), F.lit("")), n, " ")
+    return df.select(F.concat_ws(" ", *[cell(c, n) for c, n in widths.items()]).alias("line"))

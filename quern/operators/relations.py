@@ -183,3 +183,18 @@ def field_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_old.{c}").alias("old"), F.col(f"_new.{c}").alias("new")) for c in names])
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("changed").alias("change")
     return both.select(key, change, F.inline(cells)).where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def edit_classes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, verdict, fields): same; translation where only text fields differ, with text on both sides; structure for any other change; added, removed.
+
+    One full outer join on the key; a null against a value is a change of structure."""
+    fields = [(c, kind) for c, kind in old.dtypes if c != key]
+    side = lambda df, tag: df.select(key, F.struct(*[F.col(c) for c, _ in fields]).alias(tag))
+    both = side(old, "_old").join(side(new, "_new"), key, "full")
+    number = lambda tests: sum((F.when(x, 1).otherwise(0) for x in tests), F.lit(0))
+    differs = {c: ~F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}")) for c, _ in fields}
+    reworded = [differs[c] & F.col(f"_old.{c}").isNotNull() & F.col(f"_new.{c}").isNotNull() for c, kind in fields if kind == "string"]
+    counted = both.select(key, "_old", "_new", number(differs.values()).alias("n"), number(reworded).alias("texts"))
+    verdict = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("n") == 0, "same").when(F.col("n") == F.col("texts"), "translation").otherwise("structure")
+    return counted.select(key, verdict.alias("verdict"), F.col("n").alias("fields"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,3 +99,36 @@ def encoded_needles(needles: list[str], encodings: tuple[str, ...] = ("utf-8", "
             except UnicodeEncodeError:
                 continue
     return [(needle, "|".join(encs), raw) for (needle, raw), encs in out.items()]
+
+
+def wide_counts(df: DataFrame, text: str, needles: list[str]) -> DataFrame:
+    """Literals searched twice: in the text's own bytes, and as UTF-16LE in its UTF-16LE bytes. Zeros are kept."""
+    latin = lambda c, codec: F.decode(F.encode(c, codec), "ISO-8859-1")
+    sums = []
+    for n in needles:
+        for form, codec in (("narrow", "UTF-8"), ("wide", "UTF-16LE")):
+            whole, part = latin(F.col(text), codec), n.encode(codec).decode("ISO-8859-1")
+            hits = (F.length(whole) - F.length(F.replace(whole, F.lit(part), F.lit("")))) / F.lit(len(part))
+            sums.append(F.struct(F.lit(n).alias("needle"), F.lit(form).alias("form"), F.coalesce(F.sum(hits), F.lit(0)).cast("long").alias("hits")))
+    return df.agg(F.array(*sums).alias("rows")).select(F.inline("rows"))
+
+
+def links(df: DataFrame, markup: str) -> DataFrame:
+    """(kind, target) of href and src attributes in either quotes, and of bare URLs outside of tags; fragment and query are stripped."""
+    found = lambda c, pattern: F.coalesce(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))
+    attribute = F.concat(found(F.col(markup), r'(?:href|src)="([^"]*)"'), found(F.col(markup), r"(?:href|src)='([^']*)'"))
+    bare = found(F.regexp_replace(markup, "<[^>]*>", " "), r"(https?://[^ \t\r\n\"'<>]+)")
+    told = lambda urls, kind: F.transform(urls, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("u")))
+    rows = df.select(F.inline(F.concat(told(attribute, "attribute"), told(bare, "bare"))))
+    return rows.select("kind", F.substring_index(F.substring_index("u", "#", 1), "?", 1).alias("target"))
+
+
+def runs_at(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """(key, at, length) of every printable run of at least `least` characters, `at` counted from 0. Null has none."""
+    pattern = re.compile(f"[ -~]{{{least},}}")
+
+    @F.pandas_udf("array<struct<at: long, length: long>>")
+    def places(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: [{"at": m.start(), "length": m.end() - m.start()} for m in pattern.finditer(x or "")])
+
+    return df.select(key, F.inline(places(text)))

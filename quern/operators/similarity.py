@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import byte_pairs
+
 
 def word_grams(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(key, pos, gram hash) of every k-word window."""
@@ -58,15 +60,48 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str) -> DataF
     return pairs.groupBy("query").agg(F.min(F.struct(F.round(distance("qv", vector), 6).alias("mad"), F.col(key).alias("neighbour"))).alias("b")).select("query", F.col("b.neighbour").alias("neighbour"), F.col("b.mad").alias("mad"))
 
 
-def shared_regions(a: DataFrame, a_key: str, b: DataFrame, b_key: str, text: str, k: int = 8) -> DataFrame:
-    """Every maximal run of at least k words that a pair shares: its places in both texts (from 0) and its words."""
-    right = word_grams(b, b_key, text, k).withColumnRenamed("pos", "q")
+def _regions(a: DataFrame, a_key: str, right: DataFrame, b_key: str, text: str, k: int) -> DataFrame:
     hits = word_grams(a, a_key, text, k).join(right, "gram").withColumn("d", F.col("pos") - F.col("q"))
     w = Window.partitionBy(a_key, b_key, "d").orderBy("pos")
     run = hits.withColumn("g", F.col("pos") - F.row_number().over(w)).groupBy(a_key, b_key, "d", "g").agg(F.min("pos").cast("long").alias("doc_start"), F.count("*").alias("n"))
     return run.select(a_key, b_key, "doc_start", (F.col("doc_start") - F.col("d")).alias("item_start"), (F.col("n") + (k - 1)).alias("words"))
 
 
+def shared_regions(a: DataFrame, a_key: str, b: DataFrame, b_key: str, text: str, k: int = 8) -> DataFrame:
+    """Every maximal run of at least k words that a pair shares: its places in both texts (from 0) and its words."""
+    return _regions(a, a_key, word_grams(b, b_key, text, k).withColumnRenamed("pos", "q"), b_key, text, k)
+
+
+def novel_runs(a: DataFrame, a_key: str, b: DataFrame, b_key: str, known: DataFrame, known_key: str, text: str, k: int = 8) -> DataFrame:
+    """Shared runs by content, each once, with the pairs and the texts of a that have it. Grams of `known` break runs.
+
+    b is the smaller collection: its grams alone are looked up in `known`, before they meet a. Null and short texts have no grams."""
+    grams = word_grams(b, b_key, text, k).withColumnRenamed("pos", "q")
+    seen = word_grams(known, known_key, text, k).select("gram").join(grams.select("gram").distinct(), "gram", "left_semi").distinct()
+    regions = _regions(a, a_key, grams.join(seen, "gram", "left_anti"), b_key, text, k)
+    words = b.select(b_key, F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ").alias("w"))
+    run = F.array_join(F.slice("w", (F.col("item_start") + 1).cast("int"), F.col("words").cast("int")), " ")
+    placed = regions.join(words, b_key).select(a_key, b_key, "words", F.sha1(F.encode(run, "UTF-8")).alias("run_sha1"))
+    return placed.groupBy("run_sha1", "words").agg(F.count("*").alias("places"), F.count_distinct(a_key).alias("texts"))
+
+
+def byte_diffs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, at, length) of every island of differing bytes of two strings laid side by side; the rest of the longer differs.
+
+    Each row is worked on where it lies, in time linear in its bytes. Null counts as empty; equal strings give no row."""
+    pairs = lambda c: byte_pairs(F.encode(F.coalesce(c, F.lit("")), "UTF-8"))
+    rows = df.select(key, F.zip_with(pairs(a), pairs(b), lambda p, q: ~p.eqNullSafe(q)).alias("d"))
+    no = F.lit(False)
+
+    def edges(beside):
+        flags = F.zip_with("d", beside, lambda x, y: F.coalesce(x, no) & ~F.coalesce(y, no))
+        return F.filter(F.transform(flags, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+
+    starts, ends = edges(F.concat(F.array(no), "d")), edges(F.slice("d", F.lit(2), F.size("d")))
+    islands = rows.select(key, F.explode(F.zip_with(starts, ends, lambda s, e: F.struct(s.cast("long").alias("at"), (e - s + 1).cast("long").alias("length")))).alias("i"))
+    return islands.select(key, "i.at", "i.length")
+
+
 def separation(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float = 1.5) -> DataFrame:
     """Best distance of each query beside its best distance to the same rows with their places reversed, and the factor between them."""
     pairs = query_pairs(queries, rows, key, vector)

@@ -813,16 +813,30 @@ def source_xml(t):
     return got.select("n_nationkey", "n_name", "n_regionkey", F.col("refused").isNotNull().alias("refused"))
 
 
-@query("""WITH o AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 7 <> 0),
+VERSIONS = """o AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 7 <> 0),
 n AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN upper(c_name) || '!' ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 11 <> 0),
 b AS (SELECT c_custkey, o.c_custkey IS NULL AS a, n.c_custkey IS NULL AS r, o.c_name AS o1, n.c_name AS n1, o.c_mktsegment AS o2, n.c_mktsegment AS n2, o.c_nationkey::VARCHAR AS o3, n.c_nationkey::VARCHAR AS n3
-FROM o FULL JOIN n USING (c_custkey)), f AS (SELECT c_custkey, a, r, 'c_name' AS field, o1 AS old, n1 AS new FROM b UNION ALL SELECT c_custkey, a, r, 'c_mktsegment', o2, n2 FROM b UNION ALL SELECT c_custkey, a, r, 'c_nationkey', o3, n3 FROM b)
-SELECT c_custkey, CASE WHEN a THEN 'added' WHEN r THEN 'removed' ELSE 'changed' END AS change, field, old, new FROM f WHERE old IS DISTINCT FROM new""")
-def field_diff(t):
+FROM o FULL JOIN n USING (c_custkey))"""
+
+
+def _versions(t):
+    """Two versions of the customers: some removed, some added, names and segments changed in the second."""
     rows = t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     key = F.col("c_custkey")
     new = rows.where(key % 11 != 0).withColumn("c_name", F.when(key % 5 == 0, F.concat(F.upper("c_name"), F.lit("!"))).otherwise(F.col("c_name"))).withColumn("c_mktsegment", F.when(key % 3 != 0, F.col("c_mktsegment")))
-    return relations.field_changes(rows.where(key % 7 != 0), new, "c_custkey")
+    return rows.where(key % 7 != 0), new
+
+
+@query(f"""WITH {VERSIONS}, f AS (SELECT c_custkey, a, r, 'c_name' AS field, o1 AS old, n1 AS new FROM b UNION ALL SELECT c_custkey, a, r, 'c_mktsegment', o2, n2 FROM b UNION ALL SELECT c_custkey, a, r, 'c_nationkey', o3, n3 FROM b)
+SELECT c_custkey, CASE WHEN a THEN 'added' WHEN r THEN 'removed' ELSE 'changed' END AS change, field, old, new FROM f WHERE old IS DISTINCT FROM new""")
+def field_diff(t):
+    return relations.field_changes(*_versions(t), "c_custkey")
+
+
+@query(f"""WITH {VERSIONS}, d AS (SELECT *, (o1 IS DISTINCT FROM n1)::INT + (o2 IS DISTINCT FROM n2)::INT + (o3 IS DISTINCT FROM n3)::INT AS n, coalesce(o1 <> n1, false)::INT + coalesce(o2 <> n2, false)::INT AS s FROM b)
+SELECT CASE WHEN a THEN 'added' WHEN r THEN 'removed' WHEN n = 0 THEN 'same' WHEN n = s THEN 'translation' ELSE 'structure' END AS verdict, count(*) AS records FROM d GROUP BY 1""")
+def edit_classes(t):
+    return relations.edit_classes(*_versions(t), "c_custkey").groupBy("verdict").agg(F.count("*").alias("records"))
 
 
 @query(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), h AS (SELECT name, {_fold_sql(0, 'xor(xor((h * 16 + x) % 4294967296, (((h * 16 + x) % 4294967296) // 268435456) * 16), (((h * 16 + x) % 4294967296) // 268435456) * 268435456)')} AS elf,
@@ -831,3 +845,105 @@ SELECT name, elf, ((xor(k, k // 2048) * 32769) % 4294967296)::BIGINT AS one_at_a
 def more_name_hashes(t):
     name = F.col("name")
     return t.part.select(F.col("p_name").alias("name")).distinct().select("name", text.elf(name).alias("elf"), text.one_at_a_time(name).alias("one_at_a_time"))
+
+
+def _crc_sql(start: int, poly: int) -> str:
+    bits = f"flatten(list_transform(string_split(name, ''), lambda c: [ord(c)::BIGINT{', -1' * 8}]))"
+    return f"list_reduce(list_prepend({start}::BIGINT, {bits}), lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) ELSE xor(h // 2, (h % 2) * {poly}) END)"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT name, {_crc_sql(4294967295, 3988292384)} AS jamcrc, {_crc_sql(0, 40961)} AS crc16 FROM n)
+SELECT name, xor(jamcrc, 4294967295) AS crc32, jamcrc, crc16 FROM c""")
+def name_checksums(t):
+    data = F.encode("name", "UTF-8")
+    return t.part.select(F.col("p_name").alias("name")).distinct().select("name", F.crc32(data).alias("crc32"), text.jamcrc(data).alias("jamcrc"), text.crc16(data).alias("crc16"))
+
+
+@query(r"""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ''), lambda c: printf('%02X', xor(ord(c), 90))), '') AS xored, regexp_replace(hex(encode(p_name)), '(..)(..)', '\2\1', 'g') AS swapped FROM part""")
+def xor_and_swap(t):
+    data = F.encode("p_name", "UTF-8")
+    return t.part.select("p_partkey", text.xored(data, 90).alias("xored"), text.byte_swapped(data).alias("swapped"))
+
+
+# paths, links, runs, reports
+
+
+@query(r"""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1) AS path FROM pages), b AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS base FROM p),
+s AS (SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root)' END AS top, coalesce(nullif(regexp_extract(base, '^(\.*[^.].*?)\.[^.]*$', 1), ''), base) AS stem FROM b),
+h AS (SELECT stem, count(DISTINCT top) AS homes FROM s GROUP BY 1)
+SELECT top, count(*) AS pages, count(DISTINCT stem) AS stems, count(DISTINCT stem) FILTER (WHERE homes > 1) AS ambiguous FROM s JOIN h USING (stem) GROUP BY 1""")
+def path_parts(t):
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]+/([^?#]*)", 1)
+    pairs = t.pages.select(text.top_dir(path).alias("top"), text.stem(path).alias("stem")).groupBy("top", "stem").agg(F.count("*").alias("n"))
+    homes = pairs.groupBy("stem").agg(F.count("*").alias("homes"))
+    return pairs.join(homes, "stem").groupBy("top").agg(F.sum("n").alias("pages"), F.count("*").alias("stems"), F.count_if(F.col("homes") > 1).alias("ambiguous"))
+
+
+@query(r"""WITH u AS (SELECT 'attribute' AS kind, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1) || regexp_extract_all(html, '(?:href|src)=''([^'']*)''', 1)) AS u FROM pages
+UNION ALL SELECT 'bare', unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '(https?://[^ \t\r\n"''<>]+)', 1)) FROM pages)
+SELECT kind, split_part(split_part(u, '#', 1), '?', 1) AS target, count(*) AS links FROM u GROUP BY 1, 2""")
+def links_by_kind(t):
+    return search.links(t.pages, "html").groupBy("kind", "target").agg(F.count("*").alias("links"))
+
+
+@query("""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '[^ -~]', chr(10), 'g'), chr(10)) AS p FROM documents), r AS (SELECT doc_id, unnest(p) AS run, generate_subscripts(p, 1) AS i FROM p),
+c AS (SELECT doc_id, length(run) AS length, sum(length(run) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(run) - 1 AS a FROM r) SELECT doc_id, a::BIGINT AS at, length FROM c WHERE length >= 6""")
+def printable_runs_at(t):
+    return search.runs_at(t.documents, "doc_id", "text", 6)
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS needle, '{form}' AS form, coalesce(sum((length(text) - length(replace(text, '{n}', ''))) // {len(n)}), 0)::BIGINT AS hits FROM documents" for n in ("the", "und", "zqxj") for form in ("narrow", "wide")))
+def needles_wide(t):
+    return search.wide_counts(t.documents, "text", ["the", "und", "zqxj"])
+
+
+@query("SELECT rpad(coalesce(source, ''), 12, ' ') || ' ' || lpad(count(*)::VARCHAR, 8, ' ') || ' ' || lpad(sum(strlen(coalesce(text, '')))::VARCHAR, 14, ' ') AS line FROM documents GROUP BY source")
+def fixed_width_report(t):
+    return census.fixed_width(sized(t).groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")), {"source": 12, "files": 8, "bytes": 14})
+
+
+# clocks by format
+
+#: The raw number that each kind of event keeps its time in.
+RAW = """CASE event_type WHEN 'view' THEN s WHEN 'click' THEN s + 2082844800 WHEN 'error' THEN (s + 11644473600) * 10000000 WHEN 'signup' THEN (s + 12219292800) * 10000000
+ELSE ((y - 1980) << 25) + (mo << 21) + (d << 16) + (h << 11) + (mi << 5) + (se // 2) END"""
+TICKS = " UNION ALL ".join(f"SELECT event_type, s, '{name}' AS reader, raw // {ticks} - {zero} AS r FROM w" for name, (ticks, zero) in clocks.READERS.items())
+
+
+@query(f"""WITH e AS (SELECT event_type, floor(epoch(ts))::BIGINT AS s, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS se FROM events), w AS (SELECT event_type, s, ({RAW})::BIGINT AS raw FROM e),
+p AS (SELECT *, (raw >> 25) + 1980 AS y, (raw >> 21) & 15 AS mo, (raw >> 16) & 31 AS d, (raw >> 11) & 31 AS h, (raw >> 5) & 63 AS mi, raw & 31 AS se FROM w WHERE raw BETWEEN 0 AND 4294967295),
+k AS (SELECT *, make_date(y, greatest(1, least(mo, 12)), 1) AS first FROM p),
+r AS ({TICKS} UNION ALL SELECT event_type, s, 'dos', (first - DATE '1970-01-01') * 86400 + (d - 1) * 86400 + h * 3600 + mi * 60 + se * 2 FROM k WHERE mo BETWEEN 1 AND 12 AND h < 24 AND mi < 60 AND se < 30 AND d BETWEEN 1 AND day(last_day(first)))
+SELECT event_type, reader, count(*) AS plausible, count(*) FILTER (WHERE s - r BETWEEN 0 AND 1) AS exact FROM r WHERE r BETWEEN {clocks.PLAUSIBLE[0]} AND {clocks.PLAUSIBLE[1]} GROUP BY 1, 2""")
+def clock_readers(t):
+    ts, s = F.col("ts"), F.unix_seconds(F.col("ts").cast("timestamp"))
+    dos = F.lit(0).cast("long")
+    for part, at in ((F.year(ts) - 1980, 25), (F.month(ts), 21), (F.day(ts), 16), (F.hour(ts), 11), (F.minute(ts), 5), (F.floor(F.second(ts) / 2), 0)):
+        dos = dos + F.shiftleft(part.cast("long"), at)
+    kind = F.col("event_type")
+    raw = F.when(kind == "view", s).when(kind == "click", s + 2082844800).when(kind == "error", (s + 11644473600) * 10_000_000).when(kind == "signup", (s + 12219292800) * 10_000_000).otherwise(dos)
+    read = clocks.clock_readings(t.events.select("event_type", s.alias("s"), raw.alias("raw")), "raw")
+    return read.groupBy("event_type", "reader").agg(F.count("*").alias("plausible"), F.count_if((F.col("s") - F.col("seconds")).between(0, 1)).alias("exact"))
+
+
+# byte and word runs
+
+
+@query("""WITH b AS (SELECT s_suppkey AS key, hex(encode(s_name)) AS x, hex(encode(c_name)) AS y FROM supplier JOIN customer ON s_suppkey = c_custkey), i AS (SELECT *, unnest(range(greatest(length(x), length(y)) // 2)) AS i FROM b),
+d AS (SELECT key, i, i - row_number() OVER (PARTITION BY key ORDER BY i) AS g FROM i WHERE substr(x, (2 * i + 1)::BIGINT, 2) <> substr(y, (2 * i + 1)::BIGINT, 2)) SELECT key, min(i) AS at, count(*) AS length FROM d GROUP BY key, g""")
+def byte_diffs(t):
+    both = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey")).select(F.col("s_suppkey").alias("key"), "s_name", "c_name")
+    return similarity.byte_diffs(both, "key", "s_name", "c_name")
+
+
+@query(GRAM_CTE.split("dg AS")[0].replace("FROM documents", "FROM documents WHERE lang = 'en'", 1) + r"""k AS (SELECT string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE lang <> 'en'),
+kg AS (SELECT DISTINCT array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT w, unnest(range(1, len(w) - 6)) AS p FROM k WHERE len(w) >= 8)),
+dg AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8)),
+ig AS (SELECT item_id, p AS q, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS p FROM i WHERE len(w) >= 8)),
+h AS (SELECT doc_id, item_id, q, p - q AS d FROM dg JOIN ig USING (g) WHERE g NOT IN (SELECT g FROM kg)),
+r AS (SELECT *, q - row_number() OVER (PARTITION BY doc_id, item_id, d ORDER BY q) AS run FROM h), u AS (SELECT doc_id, item_id, min(q) AS q, count(*) + 7 AS words FROM r GROUP BY doc_id, item_id, d, run)
+SELECT sha1(array_to_string(w[q:q + words - 1], ' ')) AS run_sha1, words, count(*) AS places, count(DISTINCT doc_id) AS texts FROM u JOIN i USING (item_id) GROUP BY 1, 2""")
+def novel_runs(t):
+    """What English documents share with the benchmark and no document of another language has."""
+    docs = t.documents
+    return similarity.novel_runs(docs.where("lang = 'en'"), "doc_id", t.benchmark, "item_id", docs.where("lang <> 'en'"), "doc_id", "text")
