@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +45,17 @@ def without(df: DataFrame, column: str, names: list[str]) -> DataFrame:
     if idle := sorted(set(names) - seen):
         raise Refused(f"exclusions that match nothing: {idle}")
     return df.where(~F.col(column).isin(names) | F.col(column).isNull())
+
+
+def seeded_order(n: int, seed: int) -> list[int]:
+    """The places 0 to n - 1 in an order that depends on the seed alone."""
+    return sorted(range(n), key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())
+
+
+def derived_needles(df: DataFrame, text: str, seed: int) -> dict[str, str]:
+    """must_hit: the commonest lower-case word of four letters or more (ties: the last by code). must_miss: its letters in a seeded order."""
+    words = df.select(F.explode(F.regexp_extract_all(text, F.lit("[a-z]{4,}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    best = words.agg(F.max(F.struct("n", "w")).alias("b")).first().b
+    if best is None:
+        raise Refused("no word to derive a control from")
+    return {"must_hit": best.w, "must_miss": "".join(best.w[i] for i in seeded_order(len(best.w), seed))}

@@ -198,3 +198,17 @@ def edit_classes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     counted = both.select(key, "_old", "_new", number(differs.values()).alias("n"), number(reworded).alias("texts"))
     verdict = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("n") == 0, "same").when(F.col("n") == F.col("texts"), "translation").otherwise("structure")
     return counted.select(key, verdict.alias("verdict"), F.col("n").alias("fields"))
+
+
+def owned(df: DataFrame, file: str, start: str, end: str, claimant: str, order: list[str]) -> DataFrame:
+    """(file, owner, bytes): each place of a file belongs to the first claimant in order whose intervals [start, end) cover it; uncovered places to none.
+
+    Claims are counted a boundary before the sweep, so repeated intervals are one row of it. Empty, null and unlisted claims count for nothing."""
+    ends = F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))
+    marks = df.where((F.col(end) > F.col(start)) & F.col(claimant).isin(order)).select(file, claimant, F.inline(ends))
+    open_ = [f"_open{i}" for i in range(len(order))]
+    steps = marks.groupBy(file, "at").agg(*[F.coalesce(F.sum(F.when(F.col(claimant) == c, F.col("step"))), F.lit(0)).alias(o) for c, o in zip(order, open_)])
+    w = Window.partitionBy(file).orderBy("at")
+    swept = steps.select(file, (F.lead("at").over(w) - F.col("at")).alias("bytes"), *[F.sum(o).over(w).alias(o) for o in open_])
+    owner = F.coalesce(*[F.when(F.col(o) > 0, c) for c, o in zip(order, open_)])
+    return swept.select(file, owner.alias("owner"), "bytes").where("owner is not null").groupBy(file, "owner").agg(F.sum("bytes").alias("bytes"))

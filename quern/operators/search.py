@@ -15,6 +15,7 @@ PERSONAL = {
     "po_box": r"[Pp]\.? ?[Oo]\.? [Bb]ox [0-9]+",
     "home_dir": r"(?:/home/|/Users/|C:\\Users\\)[A-Za-z0-9._-]+",
     "street": r"[0-9]{1,5} [A-Z][a-z]+ (?:Street|Road|Avenue|Lane)",
+    "postcode_town": r"(?:[A-Z]{1,2}-)?[0-9]{5} [A-Z][a-z]+",
 }
 BUILD = {"drive": r"[A-Z]:\\[A-Za-z0-9_\\.-]+", "pdb": r"[A-Za-z0-9_-]+\.pdb", "source": r"[A-Za-z0-9_-]+\.(?:cpp|java|py|rs)", "unix_src": r"/(?:usr|opt|src)/[A-Za-z0-9_/.-]+"}
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}"

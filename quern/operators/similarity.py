@@ -102,8 +102,9 @@ def byte_diffs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return islands.select(key, "i.at", "i.length")
 
 
-def separation(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float = 1.5) -> DataFrame:
-    """Best distance of each query beside its best distance to the same rows with their places reversed, and the factor between them."""
-    pairs = query_pairs(queries, rows, key, vector)
-    best = pairs.groupBy("query").agg(F.min(distance("qv", F.col(vector))).alias("m"), F.min(distance("qv", F.reverse(vector))).alias("s"))
+def separation(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float = 1.5, order: list[int] | None = None) -> DataFrame:
+    """Best distance of each query beside its best distance to the same rows with their places reversed, or in `order`, and the factor between them."""
+    control = F.reverse(vector) if order is None else F.transform(F.array(*[F.lit(i) for i in order]), lambda i: F.get(vector, i))
+    pairs = query_pairs(queries, rows.select(key, vector, control.alias("_control")), key, vector)
+    best = pairs.groupBy("query").agg(F.min(distance("qv", F.col(vector))).alias("m"), F.min(distance("qv", F.col("_control"))).alias("s"))
     return best.select("query", F.round("m", 6).alias("mad"), F.round("s", 6).alias("control"), F.round(F.try_divide("s", "m"), 4).alias("factor"), (F.col("s") >= least * F.col("m")).alias("separates"))

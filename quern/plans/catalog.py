@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import io
+import lzma
 import zipfile
 import zlib
 from collections.abc import Callable
@@ -947,3 +950,45 @@ def novel_runs(t):
     """What English documents share with the benchmark and no document of another language has."""
     docs = t.documents
     return similarity.novel_runs(docs.where("lang = 'en'"), "doc_id", t.benchmark, "item_id", docs.where("lang <> 'en'"), "doc_id", "text")
+
+
+@query("""WITH p AS (SELECT l_suppkey, l_returnflag AS f, unnest(range(l_partkey, l_partkey + l_quantity::BIGINT)) AS place FROM lineitem), o AS (SELECT l_suppkey, place, min(f) AS owner FROM p GROUP BY 1, 2)
+SELECT l_suppkey, owner, count(*) AS bytes FROM o GROUP BY 1, 2""")
+def owned_intervals(t):
+    """Parts in stock as intervals of each supplier, owned by the first of three flags that claims a place."""
+    claims = t.lineitem.select("l_suppkey", "l_returnflag", "l_partkey", (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
+    return relations.owned(claims, "l_suppkey", "l_partkey", "end", "l_returnflag", ["A", "N", "R"])
+
+
+# controls taken from the data
+
+
+@query(f"""WITH c AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{{4,}}')) AS w FROM documents) GROUP BY 1), b AS (SELECT w FROM c ORDER BY n DESC, w DESC LIMIT 1),
+p AS (SELECT w, array_to_string(list_transform(list_sort(list_transform(range(length(w)), lambda i: md5('7:' || i) || i)), lambda k: substr(w, substr(k, 33)::BIGINT + 1, 1)), '') AS s FROM b),
+k AS (SELECT 'must_hit' AS kind, w AS needle FROM p UNION ALL SELECT 'must_miss', s FROM p)
+SELECT kind, needle, sum((length(text) - length(replace(text, needle, ''))) // length(needle))::BIGINT AS hits, count(*) FILTER (contains(text, needle)) AS docs FROM k, documents GROUP BY 1, 2""")
+def derived_controls(t):
+    """The corpus's commonest word as the needle that must hit, its letters in a seeded order as the one that must miss."""
+    return search.needle_counts(t.documents, "text", checks.derived_needles(t.documents, "text", 7)).select("kind", "needle", "hits", "docs")
+
+
+@query("""WITH o AS (SELECT list(i ORDER BY md5('7:' || i)) AS o FROM (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS i)), e AS (SELECT vec_id, embedding, list_transform(o, lambda i: embedding[i + 1]) AS control FROM embeddings, o),
+p AS (SELECT q.vec_id AS query, list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / len(q.embedding) AS mad,
+list_sum(list_transform(list_zip(q.embedding, r.control), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / len(q.embedding) AS shuffled FROM e q JOIN e r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0),
+m AS (SELECT query, min(mad) AS m, min(shuffled) AS s FROM p GROUP BY 1) SELECT query, round(m, 6) AS mad, round(s, 6) AS control, round(s / m, 4) AS factor, s >= 1.5 * m AS separates FROM m""")
+def mad_permuted_control(t):
+    places = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return similarity.separation(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding", order=checks.seeded_order(places, 7))
+
+
+@query(f"SELECT CASE doc_id % 3 WHEN 0 THEN 'gzip' WHEN 1 THEN 'bzip2' ELSE 'xz' END AS kind, doc_id % 7 <> 0 AS closed, count(*) AS files, coalesce(sum(CASE WHEN doc_id % 7 <> 0 THEN size END), 0)::BIGINT AS unpacked FROM {SIZED} GROUP BY 1, 2")
+def source_packed(t):
+    """Every document packed by one of three codecs, each seventh cut short: unpacked and counted, or refused."""
+    @F.pandas_udf("binary")
+    def packed(bodies: pd.Series, keys: pd.Series) -> pd.Series:
+        codecs = (gzip.compress, bz2.compress, lzma.compress)
+        return pd.Series([codecs[k % 3](b)[: None if k % 7 else -1] for b, k in zip(bodies, keys)])
+
+    tree = t.documents.select(F.col("doc_id").cast("string").alias("label"), packed(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "doc_id").alias("content"))
+    size = F.regexp_extract("detail", r"^\([0-9]+, ([0-9]+)\)$", 1)
+    return files.decode(tree).groupBy("kind", F.col("error").isNull().alias("closed")).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.when(size != "", size.cast("long"))), F.lit(0)).alias("unpacked"))

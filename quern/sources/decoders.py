@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bz2
+import lzma
 import struct
 import zlib
 from datetime import datetime, timedelta, timezone
@@ -113,6 +115,32 @@ def gzip_content(content: bytes) -> tuple[int, int]:
     return members, size
 
 
+def _unpacked(content: bytes, start, bad) -> tuple[int, int]:
+    """(members, bytes) of members laid end to end, unpacked a megabyte at a time; a cut member or bytes left over refuse it."""
+    members = size = 0
+    need(len(content) > 0, "nothing to unpack")
+    while content:
+        z = start()
+        try:
+            size += len(z.decompress(content, 1 << 20))
+            while not z.eof and not z.needs_input:
+                size += len(z.decompress(b"", 1 << 20))
+        except bad as e:
+            raise ValueError(str(e)) from None
+        need(z.eof, "ends inside a member")
+        members, content = members + 1, z.unused_data
+    return members, size
+
+
+def bzip2_content(content: bytes) -> tuple[int, int]:
+    return _unpacked(content, bz2.BZ2Decompressor, (OSError, EOFError))
+
+
+def xz_content(content: bytes) -> tuple[int, int]:
+    """Streams of an .xz or .lzma content."""
+    return _unpacked(content, lzma.LZMADecompressor, (lzma.LZMAError, EOFError))
+
+
 def msgpack_value(content: bytes):
     """The one value that a MessagePack content holds; bytes left over refuse it."""
 

@@ -252,6 +252,8 @@ DECODERS = {
     "ogg": decoders.ogg_pages,
     "pe": decoders.pe_sections,
     "gzip": decoders.gzip_content,
+    "bzip2": decoders.bzip2_content,
+    "xz": decoders.xz_content,
     "iso9660": decoders.iso9660_records,
     "ole2": formats.compound_entries,
     "cabinet": formats.cabinet_members,
@@ -262,7 +264,7 @@ DECODERS = {
 def sniffed(content: str = "content"):
     """First match wins; `opaque` without one. Cheap prefix tests on the JVM side."""
     c, out = F.col(content), None
-    for name, magic in (("png", "89504E470D0A1A0A"), ("zip", "504B0304"), ("midi", "4D546864"), ("ole2", "D0CF11E0A1B11AE1"), ("gzip", "1F8B"), ("pe", "4D5A"), ("ogg", "4F676753"), ("cabinet", "4D534346"), ("psd", "38425053")):
+    for name, magic in (("png", "89504E470D0A1A0A"), ("zip", "504B0304"), ("midi", "4D546864"), ("ole2", "D0CF11E0A1B11AE1"), ("gzip", "1F8B"), ("bzip2", "425A68"), ("xz", "FD377A585A00"), ("pe", "4D5A"), ("ogg", "4F676753"), ("cabinet", "4D534346"), ("psd", "38425053")):
         test = F.substring(c, 1, len(magic) // 2) == F.unhex(F.lit(magic))
         out = F.when(test, name) if out is None else out.when(test, name)
     riff = F.substring(c, 1, 4) == F.unhex(F.lit("52494646"))

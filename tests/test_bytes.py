@@ -1,11 +1,16 @@
 """Checksums, byte operations, diffs, edits, links, runs and clocks by published values and plain loops."""
 
+import bz2
+import lzma
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import text
+from quern.functions import checks, text
 from quern.operators import clocks, relations, search, similarity
+from quern.sources import decoders, files
 
 
 def one(spark, column, value="123456789"):
@@ -85,3 +90,51 @@ def test_clock_readings(spark):
     assert got[(dos, "dos")] == got[(1582979696, "unix")] == got[(132274532960000000, "filetime")] == 1582979696
     assert (dos + (1 << 16), "dos") not in got and (dos - (2 << 21), "dos") not in got
     assert not [k for k in got if k[0] in (-1, None)]
+
+
+def test_owned_against_a_plain_count(spark):
+    draw = random.Random(5)
+    claims = [(draw.randrange(3), (lo := draw.randrange(60)), lo + draw.randrange(-2, 15), draw.choice("ABX")) for _ in range(120)]
+    claims += claims[:20] + [(0, None, 5, "A"), (0, 1, 9, None), (None, 3, 6, "B")]
+    want = {}
+    for file in (None, 0, 1, 2):
+        for place in range(80):
+            over = {c for f, lo, hi, c in claims if f == file and lo is not None and lo <= place < hi and c in ("B", "A")}
+            if over:
+                k = (file, "B" if "B" in over else "A")
+                want[k] = want.get(k, 0) + 1
+    rows = spark.createDataFrame(claims, "f int, lo int, hi int, c string")
+    assert {(r.f, r.owner): r.bytes for r in relations.owned(rows, "f", "lo", "hi", "c", ["B", "A"]).collect()} == want
+    assert relations.owned(rows.limit(0), "f", "lo", "hi", "c", ["B", "A"]).count() == 0
+
+
+@pytest.mark.parametrize("pack, read", [(bz2.compress, decoders.bzip2_content), (lzma.compress, decoders.xz_content)])
+def test_packed_contents(pack, read):
+    data = b"abc" * 2_000_000
+    assert read(pack(data)) == (1, len(data)) and read(pack(b"ab") + pack(b"") + pack(b"c")) == (3, 3)
+    for bad in (b"", pack(data)[:-1], pack(data) + b"rest", b"junk"):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
+def test_packed_contents_are_classified_and_refused_by_name(spark):
+    rows = [("b", bz2.compress(b"abc")), ("x", lzma.compress(b"abcd")), ("cut", bz2.compress(b"abc")[:-2]), ("t", b"BZ text")]
+    got = {r.label: (r.kind, r.detail, r.error) for r in files.decode(spark.createDataFrame(rows, "label string, content binary")).collect()}
+    assert got["b"] == ("bzip2", "(1, 3)", None) and got["x"] == ("xz", "(1, 4)", None) and got["t"][0] == "text"
+    assert got["cut"][0] == "bzip2" and got["cut"][2] == "ValueError: ends inside a member"
+
+
+def test_controls_from_the_data(spark):
+    rows = spark.createDataFrame([("aaaa bbbb bbbb",), ("cats cats, dog dog dog",), (None,)], "t string")
+    needles = checks.derived_needles(rows, "t", 7)
+    assert needles["must_hit"] == "cats" and sorted(needles["must_miss"]) == sorted("cats")
+    assert sorted(checks.seeded_order(50, 7)) == list(range(50)) and checks.seeded_order(50, 7) != checks.seeded_order(50, 8)
+    with pytest.raises(checks.Refused):
+        checks.derived_needles(rows.limit(0), "t", 7)
+
+
+def test_separation_in_a_given_order(spark):
+    vectors = [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 4.0]), (2, [9.0, 9.0, 9.0])]
+    rows = spark.createDataFrame(vectors, "k int, v array<double>")
+    got = similarity.separation(rows.where("k = 0"), rows, "k", "v", order=[2, 0, 1]).first()
+    assert (got.mad, got.control, got.separates) == (round(1 / 3, 6), round((3 + 1 + 1) / 3, 6), True)
