@@ -183,3 +183,13 @@ def verb_deltas(df: DataFrame, text: str, side: str, a: str, b: str) -> DataFram
     lines = df.select(side, F.explode(F.split(text, "\n")).alias("line")).where(F.trim("line") != "")
     by = lines.groupBy(F.substring_index("line", " ", 1).alias("verb")).agg(F.count_if(F.col(side) == a).alias("a"), F.count_if(F.col(side) == b).alias("b"))
     return by.where("a <> b").withColumn("delta", F.col("a") - F.col("b"))
+
+
+def terminated_names(data: Column, least: int = 6, most: int = 64) -> Column:
+    """Printable names that a NUL ends, of `least` to `most` characters; of a longer run the last `most` before the NUL."""
+    return F.regexp_extract_all(data, F.lit(f"([ -~]{{{least},{most}}})\\x00"), F.lit(1))
+
+
+def version_free(name: Column) -> Column:
+    """A disc's file name without its version (`;1`) and the dot that a missing extension leaves."""
+    return F.regexp_replace(F.regexp_replace(name, ";[0-9]+$", ""), r"\.$", "")

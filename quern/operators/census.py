@@ -86,3 +86,11 @@ def fixed_width(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     kinds = dict(df.dtypes)
     cell = lambda c, n: (F.rpad if kinds[c] == "string" else F.lpad)(F.coalesce(F.col(c).cast("string"), F.lit("")), n, " ")
     return df.select(F.concat_ws(" ", *[cell(c, n) for c, n in widths.items()]).alias("line"))
+
+
+def set_sizes(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of two collections, shared and together, and the residue that must be 0. Null is no key."""
+    sides = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(key, F.lit(0).alias("a"), F.lit(1).alias("b"))).where(F.col(key).isNotNull())
+    each = sides.groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    n = each.agg(F.count_if(F.col("a") == 1).alias("in_a"), F.count_if(F.col("b") == 1).alias("in_b"), F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("shared"), F.count("*").alias("together"))
+    return n.withColumn("residue", F.col("in_a") + F.col("in_b") - F.col("shared") - F.col("together"))

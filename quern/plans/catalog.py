@@ -992,3 +992,16 @@ def source_packed(t):
     tree = t.documents.select(F.col("doc_id").cast("string").alias("label"), packed(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "doc_id").alias("content"))
     size = F.regexp_extract("detail", r"^\([0-9]+, ([0-9]+)\)$", 1)
     return files.decode(tree).groupBy("kind", F.col("error").isNull().alias("closed")).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.when(size != "", size.cast("long"))), F.lit(0)).alias("unpacked"))
+
+
+@query("""WITH n AS (SELECT p_partkey, unnest([p_name, p_type, p_brand, p_partkey::VARCHAR]) AS s FROM part) SELECT p_partkey, s AS name FROM n WHERE length(s) BETWEEN 6 AND 64""")
+def terminated_names(t):
+    """Names read back from records of four strings, a NUL after each."""
+    record = F.concat(*[F.concat(F.col(c).cast("string"), F.lit("\0")) for c in ("p_name", "p_type", "p_brand", "p_partkey")])
+    return t.part.select("p_partkey", F.explode(text.terminated_names(record)).alias("name"))
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT user_id AS k FROM events), s AS (SELECT count(*) AS n FROM a JOIN b USING (k)), u AS (SELECT count(*) AS n FROM (SELECT k FROM a UNION SELECT k FROM b))
+SELECT x.n AS in_a, y.n AS in_b, s.n AS shared, u.n AS together, x.n + y.n - s.n - u.n AS residue FROM (SELECT count(*) AS n FROM a) x, (SELECT count(*) AS n FROM b) y, s, u""")
+def set_sizes(t):
+    return census.set_sizes(t.orders.select(F.col("o_custkey").alias("k")), t.events.select(F.col("user_id").alias("k")), "k")

@@ -138,3 +138,18 @@ def test_separation_in_a_given_order(spark):
     rows = spark.createDataFrame(vectors, "k int, v array<double>")
     got = similarity.separation(rows.where("k = 0"), rows, "k", "v", order=[2, 0, 1]).first()
     assert (got.mad, got.control, got.separates) == (round(1 / 3, 6), round((3 + 1 + 1) / 3, 6), True)
+
+
+def test_terminated_names_and_versions(spark):
+    rows = spark.createDataFrame([("abcdef\0abc\0" + "x" * 70 + "\0open ended",), (None,), ("",)], "s string")
+    assert [r[0] for r in rows.select(text.terminated_names(F.col("s"))).collect()] == [["abcdef", "x" * 64], None, []]
+    names = spark.createDataFrame([("READ.ME;1",), ("README.;12",), ("a;b",), (None,)], "s string")
+    assert [r[0] for r in names.select(text.version_free(F.col("s"))).collect()] == ["READ.ME", "README", "a;b", None]
+
+
+def test_set_sizes(spark):
+    from quern.operators import census
+
+    a, b = (spark.createDataFrame([(k,) for k in keys], "k int") for keys in ((1, 1, 2, None), (2, 3, 3, None)))
+    assert tuple(census.set_sizes(a, b, "k").first()) == (2, 2, 1, 3, 0)
+    assert tuple(census.set_sizes(a.limit(0), b.limit(0), "k").first()) == (0, 0, 0, 0, 0)
