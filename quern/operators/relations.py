@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.sources.shared import stored
+from quern.sources.shared import discard, stored
 
 
 def resolve(df: DataFrame, field: str, target: DataFrame, target_key: str) -> DataFrame:
@@ -78,24 +78,34 @@ def walks(edges: DataFrame, most: int | None = None) -> DataFrame:
     """From each root along nodes with exactly one successor, until none, several or a node of the walk again: (root, last, steps).
 
     With `most`, a walk also ends after so many steps."""
-    only = edges.distinct().groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1").select("src", "dst")
-    at = roots(edges).select(F.col("node").alias("root"))
+    same = F.col("_least").isNotNull() & (F.col("_least") == F.col("_most")) & (F.col("_n") == F.col("_known"))
+    nodes = edges.where("src is not null").groupBy("src").agg(F.min("dst").alias("_least"), F.max("dst").alias("_most"), F.count("*").alias("_n"), F.count("dst").alias("_known"))
+    reached = edges.where("dst is not null").select(F.col("dst").alias("src"), F.lit(True).alias("_reached")).distinct()
+    nodes = stored(nodes.select("src", F.when(same, F.col("_least")).alias("dst")).join(reached, "src", "left").select("src", "dst", F.col("_reached").isNull().alias("top")), "nodes")
+    only, tops = nodes.where("dst is not null").select("src", "dst"), nodes.where("top").select(F.col("src").alias("root"), F.col("dst").alias("to"))
     if most is not None:
-        at = at.select("root", F.col("root").alias("last"), F.lit(0).cast("long").alias("steps"))
+        at = tops.select("root", F.col("root").alias("last"), F.lit(0).cast("long").alias("steps"))
         for _ in range(most):
             at = at.join(only, at["last"] == only["src"], "left").select("root", F.coalesce("dst", "last").alias("last"), (F.col("steps") + F.when(F.col("dst").isNotNull(), 1).otherwise(0)).alias("steps"))
         return at
-    only = stored(only.where("dst is not null"), "successors")
+    # roots are often most of the nodes and nothing leads to them: only the others are walked again and again, and a root joins its successor's end once
+    only = nodes.where("dst is not null and not top").select("src", "dst")
     ends, turning = _ends(only)
-    out = at.join(ends, F.col("root") == F.col("src"), "left").select("root", F.coalesce("last", "root").alias("last"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"))
     if not turning:
-        return out
+        return _from_tops(tops, ends)
     ring = _rings(ends, only)
     ends, _ = _ends(only.join(ring.select(F.col("entry").alias("src")), "src", "left_anti"))
-    out = at.join(ends, F.col("root") == F.col("src"), "left").select("root", F.coalesce("last", "root").alias("entry"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    out = _from_tops(tops, ends).withColumnRenamed("last", "entry")
     return out.join(ring, "entry", "left").select("root", F.coalesce("before", "entry").alias("last"), (F.col("steps") + F.coalesce(F.col("length") - 1, F.lit(0))).cast("long").alias("steps"))
 
 
+def _from_tops(tops: DataFrame, ends: DataFrame) -> DataFrame:
+    """(root, last, steps) of roots (root, to) whose successor's end, if it has one of its own, is in ends."""
+    first = F.when(F.col("to").isNull(), 0).otherwise(1)
+    found = tops.join(ends.select(F.col("src").alias("to"), "last", "steps"), "to", "left")
+    return found.select("root", F.coalesce("last", "to", "root").alias("last"), (first + F.coalesce("steps", F.lit(0))).cast("long").alias("steps"))
+
+
 def _doubled(at: DataFrame) -> DataFrame:
     """Each row of at (src, last, steps) taken on by its last node's own row; `moved` if there is one."""
     on = at.select(F.col("src").alias("last"), F.col("last").alias("far"), F.col("steps").alias("more"))
@@ -108,7 +118,8 @@ def _ends(only: DataFrame) -> tuple[DataFrame, int]:
     While a row moves that has an end, one has its end a step beyond the last leap and stops next, so an unchanged count means that none is left."""
     at, before = stored(only.select("src", F.col("dst").alias("last"), F.lit(1).cast("long").alias("steps")), "walks"), None
     while True:
-        at = _doubled(at.select("src", "last", "steps"))
+        done, at = at, _doubled(at.select("src", "last", "steps"))
+        discard(done)
         moved = at.where("moved").count()
         if moved in (0, before):
             return at, moved

@@ -37,3 +37,13 @@ def test_whole_walks(spark, name):
     got = relations.walks(spark.createDataFrame(CASES[name], "src long, dst long")).collect()
     assert {r.root: (r["last"], r.steps) for r in got} == brute(CASES[name])
     assert len(got) == len(brute(CASES[name]))
+
+
+def test_roots_are_not_walked(spark, monkeypatch):
+    """Rows joined again and again are those something leads to; repeated edges and null ends are no second successor or node."""
+    seen, whole = [], relations._doubled
+    monkeypatch.setattr(relations, "_doubled", lambda at: seen.append(at.count()) or whole(at))
+    edges = [(1000 + i, i % 5) for i in range(500)] + CHAIN[:9] * 2 + [(2000, None), (2001, None), (2001, 3), (None, 7)]
+    got = {r.root: (r["last"], r.steps) for r in relations.walks(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {1000 + i: (9, 10 - i % 5) for i in range(500)} | {2000: (2000, 0), 2001: (2001, 0)}
+    assert seen and max(seen) <= 9
