@@ -64,9 +64,18 @@ def first_claimant(df: DataFrame, unit: str, owner: str, precedence: str) -> Dat
 
 
 def islands(df: DataFrame, group: str, at: str) -> DataFrame:
-    """Runs of consecutive integers."""
-    w = Window.partitionBy(group).orderBy(at)
-    return df.select(group, at).distinct().withColumn("_i", F.col(at) - F.row_number().over(w)).groupBy(group, "_i").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("length")).drop("_i")
+    """Runs of consecutive integers. A null is a run of its own.
+
+    One sort: a run's ends are seen beside their neighbours, so no table of values or of runs is held in memory."""
+    w = Window.partitionBy(group).orderBy(F.asc_nulls_first(at))
+    apart = lambda x, y: F.coalesce(F.try_subtract(x, y) > 1, F.lit(True))
+    before, after, none = F.lag(at).over(w), F.lead(at).over(w), F.col(at).isNull()
+    starts = F.when(none, F.lag(F.lit(1)).over(w).isNull()).otherwise(apart(F.col(at), before))
+    ends = F.when(none, F.lead(F.lit(1)).over(w).isNull() | after.isNotNull()).otherwise(apart(after, F.col(at)))
+    edge = df.select(group, at, starts.alias("_s"), ends.alias("_e")).where("_s or _e")
+    last = F.when(F.col("_e"), F.col(at)).otherwise(F.lead(at).over(w))
+    runs = edge.select(group, F.col(at).alias("first"), last.alias("last"), "_s").where("_s")
+    return runs.select(group, "first", "last", F.coalesce(F.col("last") - F.col("first") + 1, F.lit(1)).cast("long").alias("length"))
 
 
 def roots(edges: DataFrame) -> DataFrame:

@@ -47,3 +47,12 @@ def test_roots_are_not_walked(spark, monkeypatch):
     got = {r.root: (r["last"], r.steps) for r in relations.walks(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {1000 + i: (9, 10 - i % 5) for i in range(500)} | {2000: (2000, 0), 2001: (2001, 0)}
     assert seen and max(seen) <= 9
+
+
+def test_runs_hold_no_table(spark):
+    rows = [("a", i) for i in (3, 1, 2, 2, 7, 9, 10, None, None)] + [("b", None), (None, 4), (None, 5), ("c", 2**63 - 1), ("c", -(2**63))]
+    df = relations.islands(spark.createDataFrame(rows, "g string, n long"), "g", "n")
+    want = [("a", 1, 3, 3), ("a", 7, 7, 1), ("a", 9, 10, 2), ("a", None, None, 1), ("b", None, None, 1), (None, 4, 5, 2), ("c", 2**63 - 1, 2**63 - 1, 1), ("c", -(2**63), -(2**63), 1)]
+    assert df.columns == ["g", "first", "last", "length"]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+    assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
