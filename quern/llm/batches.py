@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quern.sources.shared import discard, drop_path, scratch, stored  # noqa: F401
+from quern.sources.shared import discard, drop_path, scratch, small_batches, stored  # noqa: F401
 
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
 CHUNK_BYTES = 2 << 20
@@ -82,14 +82,6 @@ def filter_rows(df: DataFrame, text: str, make: Callable, most: int = CHUNK_BYTE
     return small_batches(df).mapInArrow(run, df.schema)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the bytes that one Arrow batch brings to a Python worker."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return df
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(CHUNK_BYTES + 4096, 1 << int(n).bit_length() if n > CHUNK_BYTES + 4096 else 0)
     if size not in _powers:

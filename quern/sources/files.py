@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quern.sources import decoders, formats
+from quern.sources.shared import small_batches
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
@@ -137,7 +138,7 @@ def members(archives: DataFrame, content: str = "content") -> DataFrame:
             rows = [(p, *m) for p, c in zip(pdf["path"], pdf[content]) for m in zip_members(bytes(c))]
             yield pd.DataFrame(rows, columns=["path", "name", "size", "packed", "offset", "crc"])
 
-    return archives.select("path", content).mapInPandas(run, "path string, name string, size long, packed long, offset long, crc long")
+    return small_batches(archives.select("path", content)).mapInPandas(run, "path string, name string, size long, packed long, offset long, crc long")
 
 
 def coverage(decoded: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -288,4 +289,4 @@ def decode(files: DataFrame) -> DataFrame:
                     rows.append((label, kind, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["label", "kind", "parts", "detail", "error"])
 
-    return files.select("label", sniffed().alias("kind"), "content").mapInPandas(run, "label string, kind string, parts long, detail string, error string")
+    return small_batches(files.select("label", sniffed().alias("kind"), "content")).mapInPandas(run, "label string, kind string, parts long, detail string, error string")
