@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.shared import small_batches
+
 
 def entropy(df: DataFrame, text: str, key: str, digits: int = 4) -> DataFrame:
     """Bits a character of each text, -sum(p log2 p), without a shuffle: characters are counted inside the row. Empty or null: 0."""
@@ -20,7 +22,7 @@ def entropy(df: DataFrame, text: str, key: str, digits: int = 4) -> DataFrame:
             out.append(float(-(p * np.log2(p)).sum()) if len(k) > 1 else 0.0)
         return pd.Series(out, dtype="float64")
 
-    return df.select(key, F.round(bits(text), digits).alias("entropy"), F.length(text).cast("long").alias("chars"))
+    return small_batches(df).select(key, F.round(bits(text), digits).alias("entropy"), F.length(text).cast("long").alias("chars"))
 
 
 def histogram(df: DataFrame, text: str) -> DataFrame:
@@ -54,7 +56,7 @@ def entropy_blocks(df: DataFrame, text: str, key: str, width: int, over: float)
             rows.append((len(h), h.max(), int((h >= over).sum())))
         return pd.DataFrame(rows, columns=["blocks", "most", "over"])
 
-    return df.where(F.length(text) > 0).select(key, measure(text).alias("m")).select(key, "m.*")
+    return small_batches(df).where(F.length(text) > 0).select(key, measure(text).alias("m")).select(key, "m.*")
 
 
 def birthday(df: DataFrame, text: str, width: int) -> DataFrame:
