@@ -30,7 +30,7 @@ from quern.llm.batches import BASE, INVERSE, U, mix, slices, small_batches
 SPACE = "▁"
 #: Samples a text, sharpness of the scores, score of a byte piece, longest piece in characters, bytes of text a step.
 SAMPLES, ALPHA, BYTE_SCORE, LONGEST, CHUNK = 2, 1.0, -12.0, 16, 2 << 20
-SIEVE_BITS = 22
+SIEVE_BITS = 20
 #: Places of a path whose branchings are told apart at once, and the mark of the set of all later ones.
 NEAR, TAIL = 48, (-1,)
 
@@ -62,8 +62,11 @@ class Vocabulary:
         self.score = np.array([-alpha * np.log(order[i] + 2) for i in ids])[o]
         # beginnings of pieces: where a text's characters begin no piece, longer pieces needn't be looked up
         begun = np.array(sorted({piece_hash(p[:j]) for p in text for j in range(1, len(p))}), U)
-        self.sieve, self.begun = np.zeros(1 << SIEVE_BITS, bool), np.zeros(1 << SIEVE_BITS, bool)
-        self.sieve[(self.hash >> U(64 - SIEVE_BITS)).astype(np.int64)] = True
+        # first piece of each bucket of hashes, and whether a bucket holds several; -1 for none
+        self.slot, self.begun = np.full(1 << SIEVE_BITS, -1, np.int32), np.zeros(1 << SIEVE_BITS, bool)
+        bucket = (self.hash >> U(64 - SIEVE_BITS)).astype(np.int64)
+        self.slot[bucket[::-1]] = np.arange(len(bucket), dtype=np.int32)[::-1]
+        self.crowded = np.append(bucket[1:] == bucket[:-1], False)
         self.begun[(begun >> U(64 - SIEVE_BITS)).astype(np.int64)] = True
 
     def decode(self, ids) -> str:
@@ -159,10 +162,13 @@ class Lattice:
                 return
             h = mix((c[open_ + k] - c[open_]) * down[open_] + U(k))
             bucket = (h >> U(64 - SIEVE_BITS)).astype(np.int64)
-            at = np.flatnonzero(vocab.sieve[bucket])
-            i = np.searchsorted(vocab.hash, h[at])
-            i[i == len(vocab.hash)] = 0
-            ok = vocab.hash[i] == h[at]
+            i = vocab.slot[bucket]
+            at = np.flatnonzero(i >= 0)
+            i, found = i[at].astype(np.int64), h[at]
+            many = np.flatnonzero(vocab.crowded[i])
+            if len(many):
+                i[many] = np.minimum(np.searchsorted(vocab.hash, found[many]), len(vocab.hash) - 1)
+            ok = vocab.hash[i] == found
             if k == 1:
                 every = np.full(n, -1)
                 every[at[ok]] = i[ok]
@@ -250,7 +256,7 @@ def branches(lat: Lattice, path: tuple, lo: int, hi: int, before: float) -> tupl
     return at + lo, (before + np.cumsum(logq) - logq + rest)[at]
 
 
-def truncated(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def truncated(mass: np.ndarray, bound: float | np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables of these log masses, below bound."""
     return -np.logaddexp(-bound, np.log(-np.log(u)) - mass)
 
@@ -263,8 +269,9 @@ def remaining(lat: Lattice, node: int, out: tuple[int, ...]) -> np.ndarray:
     return room
 
 
-def split(lat: Lattice, s: Search, value: float, path: tuple, at: int, out: tuple[int, ...], sample: int, keep: int) -> None:
+def split(lat: Lattice, s: Search, value: float, path: tuple, at: int, out: tuple[int, ...]) -> tuple[int, np.ndarray, np.ndarray]:
     """Cut what is left of a popped set along its drawn path: the same prefix without the edges in out, and each later branching.
+    Returns (place of the tail, places, log masses).
 
     Branchings beyond the next NEAR places are one set, the tail, cut up only if it is popped."""
     node, edge = path
@@ -285,12 +292,22 @@ def split(lat: Lattice, s: Search, value: float, path: tuple, at: int, out: tupl
         ahead = before + float(logq[at:hi].sum())
         if total < ahead - 1e-7:
             place, mass = np.append(place, hi), np.append(mass, ahead + np.log(-np.expm1(total - ahead)))
-    if not len(place):
-        return
-    g = truncated(mass, value, uniform(np.full(len(place), s.seed, U), place, [sample * 65536 + 40_000]))
-    for i in np.argsort(-g, kind="stable")[:keep].tolist():
-        j = int(place[i])
-        s.push(float(g[i]), me, j, TAIL if j == hi else (*out, int(edge[j])) if out and j == at else (int(edge[j]),))
+    return hi, place, mass
+
+
+def push_all(cuts: list[tuple], sample: int, keep: int) -> None:
+    """Queue the best sets of every text's cut (search, value, path, at, edges out, tail, places, log masses); all are drawn at once."""
+    size = np.array([len(c[6]) for c in cuts])
+    place, mass = np.concatenate([c[6] for c in cuts]), np.concatenate([c[7] for c in cuts])
+    seed, bound = np.array([c[0].seed for c in cuts], U), np.array([c[1] for c in cuts])
+    g = truncated(mass, np.repeat(bound, size), uniform(np.repeat(seed, size), place, [sample * 65536 + 40_000]))
+    hi = 0
+    for (s, _, path, at, out, tail, places, _), n in zip(cuts, size.tolist()):
+        lo, hi = hi, hi + n
+        one, edge, me = g[lo:hi], path[1], len(s.paths) - 1
+        for i in np.argsort(-one, kind="stable")[:keep].tolist():
+            j = int(places[i])
+            s.push(float(one[i]), me, j, TAIL if j == tail else (*out, int(edge[j])) if out and j == at else (int(edge[j]),))
 
 
 def pop(lat: Lattice, s: Search, sample: int, keep: int) -> tuple[float, int, int, tuple[int, ...]] | None:
@@ -325,11 +342,12 @@ def sample_texts(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int
     all_ = [Search(w, int(x)) for w, x in zip(words, seeds.tolist())]
     for r in range(k):
         jobs = []  # (search, value, prefix length, prefix path, forced edges out)
+        if r == 0:
+            firsts = (-np.log(-np.log(uniform(seeds, [1], [2])))).tolist()
         node, end, seed, word, size = [], [], [], [], []
         for i, s in enumerate(all_):
             if r == 0:
-                u = uniform(np.array([s.seed], U), [1], [2])[0]
-                jobs.append((s, float(-np.log(-np.log(u))), None, 0, ()))
+                jobs.append((s, firsts[i], None, 0, ()))
                 node.append(lat.start[s.words])
                 end.append(lat.end[s.words])
                 word.append(np.arange(len(s.words)))
@@ -358,6 +376,7 @@ def sample_texts(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int
             break
         count, nd, ed = complete(lat, np.concatenate(node), np.concatenate(end), np.concatenate(seed), np.concatenate(word), r)
         cut = np.append(0, np.cumsum(count))[np.append(0, np.cumsum(size))]
+        cuts = []
         for j, (s, value, p, at, how) in enumerate(jobs):
             path = (nd[cut[j] : cut[j + 1]], ed[cut[j] : cut[j + 1]])
             out: tuple[int, ...] = ()
@@ -365,7 +384,8 @@ def sample_texts(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int
                 on, oe = s.paths[p]
                 out, e = how
                 path = tuple(np.concatenate([a[:at], [b], c]) for a, b, c in zip((on, oe), (on[at], e), path))
-            split(lat, s, value, path, at, out, r, k - r)
+            cuts.append((s, value, path, at, out, *split(lat, s, value, path, at, out)))
+        push_all(cuts, r, k - r)
     result = []
     for s in all_:
         limit = -s.queue[0][0] if s.queue else -np.inf
